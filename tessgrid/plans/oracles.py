@@ -182,7 +182,7 @@ ORACLES["leaf_extraction"] = f"""{GRID}
 SELECT frame_id, level, node, max(driver) AS driver, count(*) AS n_points FROM tagged_cells GROUP BY ALL"""
 ORACLES["majority_class"] = f"{GRID} SELECT frame_id, level, code, cls FROM cells"
 ORACLES["level_usage"] = f"""{GRID}, levels AS (
-  SELECT level, 204.8e0 / power(2e0, level) AS size FROM (SELECT unnest(range(13)) AS level) q),
+  SELECT level, 204.8e0 / power(2e0, level) AS size FROM (SELECT CAST(unnest(range(13)) AS INT) AS level) q),
 bands AS (
   SELECT m AS metre, (SELECT min(level) FROM levels l WHERE l.level = 12
          OR l.size <= CASE WHEN m <= 10 THEN 0.05e0 ELSE 0.05e0 + (m - 10) / 90e0 * 0.45e0 END) AS level
@@ -205,11 +205,11 @@ for _key, _name in (("level", "level_legend"), ("cls", "class_legend")):
 _MEM = _memory("count(*)", "sum(n_points)")
 ORACLES["frame_stats"] = f"""{GRID} SELECT frame_id, CAST(sum(n_points) AS BIGINT) AS n_points,
   count(*) AS n_cells, round_even(min({SIZE}), 4) AS cell_size_min_m,
-  round_even(max({SIZE}), 4) AS cell_size_max_m, count_if(driver <> 0) AS risk_driven_cells,
-  count_if({HAZARD}) AS hazard_cells, count_if({FAR}) AS hazard_cells_beyond_fovea,
-  count_if(conf < 0.6e0) AS degraded_cells, round_even(min(z), 2) AS z_low, round_even(max(z), 2) AS z_high,
-  {", ".join(f"count_if(level = {n}) AS level_{n}" for n in range(9, 13))},
-  count_if(driver = 3) AS boundary_cells, count_if(cls = 40) AS pothole_cells,
+  round_even(max({SIZE}), 4) AS cell_size_max_m, count(driver <> 0 OR NULL) AS risk_driven_cells,
+  count({HAZARD} OR NULL) AS hazard_cells, count({FAR} OR NULL) AS hazard_cells_beyond_fovea,
+  count(conf < 0.6e0 OR NULL) AS degraded_cells, round_even(min(z), 2) AS z_low, round_even(max(z), 2) AS z_high,
+  {", ".join(f"count(level = {n} OR NULL) AS level_{n}" for n in range(9, 13))},
+  count(driver = 3 OR NULL) AS boundary_cells, count(cls = 40 OR NULL) AS pothole_cells,
   {_listed(_MEM, "adaptive_bytes", "reduction_vs_dense")} FROM cells GROUP BY frame_id"""
 ORACLES["memory_reduction"] = f"""{GRID} SELECT frame_id, count(*) AS n_cells,
   CAST(sum(n_points) AS BIGINT) AS n_points, {_listed(_MEM)} FROM cells GROUP BY frame_id"""
@@ -220,17 +220,17 @@ ORACLES["decimate_l9_plain"] = f"{GRID}, {_decimated(9, False, 'link')} SELECT {
 ORACLES["decimation_report"] = f"""{GRID}, {_decimated(9, True, 'link')}
 SELECT frame_id, 9 AS max_level, 0.4e0 AS max_cell_m, CAST(sum(merged_from) AS BIGINT) AS cells_before,
   count(*) AS cells_after, CAST(sum(CASE WHEN kept THEN 0 ELSE merged_from END) AS BIGINT) AS merged_from,
-  count_if(NOT kept) AS merged_into, count_if(kept AND driver <> 0) AS preserved_risk_cells,
+  count(NOT kept OR NULL) AS merged_into, count(kept AND driver <> 0 OR NULL) AS preserved_risk_cells,
   true AS preserve_risk,
   {_listed(_MEM, "adaptive_bytes", "reduction_vs_dense", "reduction_vs_cloud", "reduction_vs_dense_3d")}
 FROM link GROUP BY frame_id"""
 _AB = f"""SELECT frame_id, '{{name}}' AS scenario, count(*) AS n_cells,
-  CAST(sum(n_points) AS BIGINT) AS n_points, count_if(driver = 0) AS cells_range,
-  count_if(driver = 1) AS cells_hazard, count_if(driver = 2) AS cells_low_confidence,
-  count_if(driver = 3) AS cells_class_boundary, count_if({FAR}) AS hazard_cells_beyond_fovea,
+  CAST(sum(n_points) AS BIGINT) AS n_points, count(driver = 0 OR NULL) AS cells_range,
+  count(driver = 1 OR NULL) AS cells_hazard, count(driver = 2 OR NULL) AS cells_low_confidence,
+  count(driver = 3 OR NULL) AS cells_class_boundary, count({FAR} OR NULL) AS hazard_cells_beyond_fovea,
   round_even(quantile_cont({SIZE}, 0.5) FILTER (WHERE {FAR}), 3) AS median_hazard_cell_m,
   round_even(min({SIZE}) FILTER (WHERE {FAR}), 3) AS finest_hazard_cell_m,
-  count_if(conf < 0.6e0) AS degraded_cells,
+  count(conf < 0.6e0 OR NULL) AS degraded_cells,
   {_listed(_MEM, "adaptive_bytes", "dense_uniform_bytes", "raw_cloud_bytes", "reduction_vs_dense",
            "reduction_vs_dense_3d", "reduction_vs_cloud")}
 FROM {{source}} GROUP BY frame_id"""
@@ -251,7 +251,7 @@ FROM t{n}{"r" if keep else "p"} GROUP BY frame_id"""
     )
 )
 _SIDE = f"""SELECT frame_id, CAST(sum(n_points) AS BIGINT) AS n_points, count(*) AS n_cells,
-  count_if(driver <> 0) AS risk_driven_cells, count_if({HAZARD}) AS hazard_cells,
+  count(driver <> 0 OR NULL) AS risk_driven_cells, count({HAZARD} OR NULL) AS hazard_cells,
   max({SIZE}) AS cell_size_max_m FROM {{source}} GROUP BY frame_id"""
 ORACLES["onboard_vs_link"] = f"""{GRID}, {_decimated(9, True, 'link')},
 full_side AS ({_SIDE.format(source="cells")}), link_side AS ({_SIDE.format(source="link")})
@@ -312,7 +312,7 @@ objects AS (SELECT frame_id, object_id, round_even(x, 2) AS x, round_even(y, 2)
   FROM ranged WHERE rm <= 100e0)"""
 ORACLES["object_list"] = f"{_OBJECTS} SELECT * FROM objects ORDER BY frame_id, r, object_id"
 ORACLES["nearest_objects"] = f"""{_OBJECTS} SELECT frame_id, object_id, r,
-  row_number() OVER (PARTITION BY frame_id ORDER BY r, object_id) AS rank FROM objects
+  CAST(row_number() OVER (PARTITION BY frame_id ORDER BY r, object_id) AS INT) AS rank FROM objects
 QUALIFY rank <= 10"""
 ORACLES["object_changes"] = f"""{_OBJECTS}, a AS (SELECT DISTINCT cls, r FROM objects WHERE frame_id = 0),
 b AS (SELECT DISTINCT cls, r FROM objects WHERE frame_id = 1)
@@ -378,7 +378,7 @@ FROM cut c JOIN firsts f ON c.export_path = f.export_path AND c.label = f.label
 GROUP BY c.export_path, c.label, c.band"""
 _CHECKS = f"WITH checks AS ({_sql(inputs.CHECKS)})"
 ORACLES["checklist_rollup"] = f"""{_CHECKS}
-SELECT export_path, split_part(check_id, '.', 1) AS phase, count_if(done) AS done, count(*) AS total
+SELECT export_path, split_part(check_id, '.', 1) AS phase, count(done OR NULL) AS done, count(*) AS total
 FROM checks GROUP BY GROUPING SETS ((export_path, split_part(check_id, '.', 1)), (export_path))"""
 ORACLES["evidence_status"] = f"""{_LEDGER}, checks AS ({_sql(inputs.CHECKS)}),
 exports AS (SELECT export_path FROM ledger UNION SELECT export_path FROM checks),
@@ -389,7 +389,7 @@ SELECT e.export_path, b.block, CASE WHEN p.block IS NOT NULL THEN 'measured'
 FROM exports e CROSS JOIN blocks b LEFT JOIN proofs p ON p.export_path = e.export_path AND p.block = b.block"""
 
 # ------------------------------------------------------------- quality
-_CHECK = "SELECT frame_id, '{name}' AS \"check\", count_if({broken}) AS violations FROM {source} GROUP BY frame_id"
+_CHECK = "SELECT frame_id, '{name}' AS \"check\", count({broken} OR NULL) AS violations FROM {source} GROUP BY frame_id"
 _GAP = """, put AS (SELECT frame_id, count(*) AS n FROM pts WHERE abs(x) < 102.4e0 AND abs(y) < 102.4e0 GROUP BY 1),
 got AS (SELECT frame_id, sum(n_points) AS m FROM {source} GROUP BY 1)
 SELECT coalesce(p.frame_id, g.frame_id) AS frame_id, 'conservation' AS "check",
@@ -425,10 +425,10 @@ ORACLES["check_roundtrip"] = f"""{_PACKED} {_CHECK.format(name="roundtrip", sour
 ORACLES["check_points"] = f"""WITH {PTS}, spoilt AS (SELECT frame_id, x, y,
   CASE WHEN conf > 0.93e0 THEN conf + 0.2e0 ELSE conf END AS conf, cls = 5 AS no_z,
   CASE WHEN frame_id % 2 = 1 THEN CAST(cls AS VARCHAR) ELSE source END AS source FROM pts)
-SELECT frame_id, 'points' AS "check", count_if(NOT (conf BETWEEN 0 AND 1) OR no_z)
+SELECT frame_id, 'points' AS "check", count(NOT (conf BETWEEN 0 AND 1) OR no_z OR NULL)
   + CASE WHEN min(source) <> max(source) THEN 1 ELSE 0 END AS violations FROM spoilt GROUP BY frame_id"""
 ORACLES["check_tail"] = f"""{GRID} SELECT DISTINCT frame_id, 'tail' AS "check", CAST(0 AS BIGINT) AS violations FROM cells"""
-ORACLES["check_sparse"] = f"""{GRID} SELECT frame_id, 'sparse' AS "check", count_if(n_points <= 0)
+ORACLES["check_sparse"] = f"""{GRID} SELECT frame_id, 'sparse' AS "check", count(n_points <= 0 OR NULL)
   + CASE WHEN count(*) * 100 >= 16000000 THEN 1 ELSE 0 END AS violations FROM cells GROUP BY frame_id"""
 ORACLES["check_hazard_depth"] = f"""{GRID} SELECT frame_id, 'hazard_depth' AS "check",
   CAST(coalesce(avg(z) FILTER (WHERE cls = 40) >= avg(z) FILTER (WHERE cls = 1), false) AS BIGINT) AS violations
