@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessgrid.functions import spatial
 from tessgrid.operators.grid import CELL_COLUMNS, majority_rank
+from tessgrid.operators.ordered import salted_join
 from tessgrid.operators.stats import far_hazard, memory_columns
 from tessgrid.params import DRIVER_RANGE, GridParams
 
@@ -66,35 +67,45 @@ def decimate_tiers(
             for t in tiers
         ]
     )
-    protected = F.col("t.preserve") & (F.col("driver") != DRIVER_RANGE)
-    tagged = (
-        gathered.withColumn("t", F.explode(wanted))
-        .withColumn("kept", (F.col("level") <= F.col("t.max_level")) | protected)
-        .withColumn("node", spatial.prefix_at(F.col("code"), F.col("t.max_level"), params))
-        .select(
-            "frame_id",
-            place,
-            "t.tier",
-            "t.max_level",
-            "kept",
-            F.when(F.col("kept"), F.col("level")).otherwise(F.col("t.max_level")).alias("level"),
-            F.when(F.col("kept"), F.col("code"))
-            .otherwise(
-                F.call_function(
-                    "shiftleft",
-                    F.col("node"),
-                    F.lit(2) * (F.lit(params.max_depth) - F.col("t.max_level")),
-                )
-            )
-            .alias("code"),
-            "cls",
-            F.when(F.col("kept"), F.col("driver")).otherwise(F.lit(DRIVER_RANGE)).alias("driver"),
-            "z",
-            "z_min",
-            "z_max",
-            "conf",
-            "n_points",
-        )
+    return _coarsen(gathered.withColumn("t", F.explode(wanted)).select("*", "t.*").drop("t"), place, params)
+
+
+def decimate_asof(cells: DataFrame, settings: DataFrame, params: GridParams = GridParams()) -> DataFrame:
+    """Cells coarsened to each frame's own tier. `settings` has one row per frame: `frame_id`,
+    `link_tier` (null: as built) and `preserve_risk`."""
+    own = settings.select(
+        "frame_id",
+        F.lit("link").alias("tier"),
+        F.coalesce(F.col("link_tier").cast("int"), F.lit(params.max_depth)).alias("max_level"),
+        F.coalesce("preserve_risk", F.lit(True)).alias("preserve"),
+    )
+    joined = salted_join(cells, own, ["frame_id"], F.col("code")).where(F.col("max_level").isNotNull())
+    # tiers differ by row, so no square is known to hold every merge: shuffle partial sums
+    return _coarsen(joined.withColumn("square", F.lit(0)), "square", params).select(*CELL_COLUMNS)
+
+
+def _coarsen(asked: DataFrame, place: str, params: GridParams) -> DataFrame:
+    """Merge cells that carry (tier, max_level, preserve), grouped under `place`."""
+    protected = F.col("preserve") & (F.col("driver") != DRIVER_RANGE)
+    up = F.lit(2) * (F.lit(params.max_depth) - F.col("max_level"))
+    node = spatial.prefix_at(F.col("code"), F.col("max_level"), params)
+    tagged = asked.withColumn("kept", (F.col("level") <= F.col("max_level")) | protected).select(
+        "frame_id",
+        place,
+        "tier",
+        "max_level",
+        "kept",
+        F.when(F.col("kept"), F.col("level")).otherwise(F.col("max_level")).alias("level"),
+        F.when(F.col("kept"), F.col("code"))
+        .otherwise(F.call_function("shiftleft", node, up))
+        .alias("code"),
+        "cls",
+        F.when(F.col("kept"), F.col("driver")).otherwise(F.lit(DRIVER_RANGE)).alias("driver"),
+        "z",
+        "z_min",
+        "z_max",
+        "conf",
+        "n_points",
     )
     out = ["frame_id", place, "tier", "max_level", "kept", "level", "code"]
     n = F.col("n_points")

@@ -84,8 +84,8 @@ sums_{s} AS (SELECT frame_id, level, node, min(code) AS code, avg(z) AS z, min(z
 
 
 GRID = f"WITH {EDGED}, {_grid(True)}"
-TIDY = """frame_id, code, level, round(x, 9) AS x, round(y, 9) AS y, round(z, 9) AS z,
-  round(z_min, 9) AS z_min, round(z_max, 9) AS z_max, cls, round(conf, 9) AS conf, driver, n_points"""
+TIDY = """frame_id, code, level, x, y, round(z, 9) AS z, z_min, z_max, cls, round(conf, 9) AS conf, driver,
+  n_points"""
 
 
 def _decimated(max_level: int, preserve: bool, name: str) -> str:
@@ -276,7 +276,7 @@ SELECT frame_id, wire_bytes, round_even(wire_bytes / 1024e0, 1) AS kb_per_frame,
   round_even(wire_bytes * 80e0 / 1000e0, 1) AS kbps, round_even(wire_bytes * 80e0 / 1e6, 3) AS mbps,
   wire_bytes * 80 <= 256000 AS fits_256kbps_link, wire_bytes * 80 <= 1000000 AS fits_1mbps_link FROM sized"""
 ORACLES["unpack_roundtrip"] = f"""{_PACKED} SELECT frame_id, level, round(xq * 0.025e0, 9) AS x,
-  round(yq * 0.025e0, 9) AS y, round(zq / 100e0, 9) AS z, cls, round(confq / 255e0, 9) AS conf, driver,
+  round(yq * 0.025e0, 9) AS y, zq / 100e0 AS z, cls, confq / 255e0 AS conf, driver,
   {SIZE} AS size_m FROM packed"""
 
 # ------------------------------------------------------------- views
