@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessgrid.functions.spatial import level_for, target_size
+from tessgrid.functions.spatial import level_for
 from tessgrid.params import DRIVER_OF_PRIORITY, GridParams
 
 
@@ -46,10 +46,10 @@ def conf_or_default(conf: Column) -> Column:
 
 
 def required_level(
-    range_m: Column, cls: Column, conf: Column, params: GridParams, settings: RiskSettings
+    base: Column, cls: Column, conf: Column, params: GridParams, settings: RiskSettings
 ) -> tuple[Column, Column]:
-    """Level and priority (0 range, 2 low confidence, 3 hazard) before the class-boundary rule."""
-    base = target_size(range_m, params)
+    """Level and priority (0 range, 2 low confidence, 3 hazard) before the class-boundary rule, from the
+    cell size that range alone asks for."""
     risky = settings.risk_adaptive
     low = risky & (conf < settings.conf_threshold)
     hazard = risky & is_hazard(cls, params)

@@ -40,7 +40,10 @@ def _byte(v: Column, i: int) -> Column:
 
 def _bytewise(v: Column, table: list[int], n_bytes: int, out_bits: int) -> Column:
     lookup = F.lit(table).cast("array<bigint>")
-    parts = [F.shiftleft(F.get(lookup, _byte(v, i)), out_bits * i) for i in range(n_bytes)]
+    zero = F.lit(0).cast("long")
+    parts = [
+        F.shiftleft(F.coalesce(F.get(lookup, _byte(v, i)), zero), out_bits * i) for i in range(n_bytes)
+    ]
     return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
 

@@ -25,7 +25,7 @@ def attach_predictions(points: DataFrame, predictions: DataFrame, source: str =
     """Replace class and confidence by a model's (`pred_cls`, `pred_conf`), matched by position. Points
     without a prediction become unknown (0) with full confidence. Keys are unique on both sides."""
     joined = points.drop("cls", "conf", "source").join(
-        predictions.select("frame_id", "point_idx", "pred_cls", "pred_conf"),
+        predictions.select("frame_id", "point_idx", "pred_cls", "pred_conf").hint("merge"),
         ["frame_id", "point_idx"],
         "left",
     )

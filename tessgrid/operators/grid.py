@@ -19,8 +19,6 @@ no single task its whole size:
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,19 +49,25 @@ def keyed_points(
     """Crop to the root square and give each point its code, tile, run and, per scenario, the refinement
     key it asks for off a class boundary (`key_i`) and whether the boundary rule applies (`risky_i`)."""
     p = scenarios[0]
+    # What is known not to be null needs no null checks in the generated code, which must stay small.
     placed = (
-        points.where(spatial.in_root(F.col("x"), F.col("y"), p))
+        points.where(
+            spatial.in_root(F.col("x"), F.col("y"), p)
+            & F.col("frame_id").isNotNull()
+            & F.col("point_idx").isNotNull()
+        )
         .withColumn("cls", risk.class_id(F.col("cls")))
         .withColumn("ix", spatial.grid_index(F.col("x"), p))
         .withColumn("iy", spatial.grid_index(F.col("y"), p))
         .withColumn("range_m", spatial.polar_range(F.col("x"), F.col("y")))
         .withColumn("code", spatial.morton_encode(F.col("ix"), F.col("iy"), p.max_depth))
+        .withColumn("base_m", spatial.target_size(F.col("range_m"), p))
     )
     keys = {}
     for i, scenario in enumerate(scenarios):
         settings = risk.RiskSettings.of(scenario, overrides)
         level, priority = risk.required_level(
-            F.col("range_m"), F.col("cls"), F.col("conf"), scenario, settings
+            F.col("base_m"), F.col("cls"), F.col("conf"), scenario, settings
         )
         keys[_key(i)] = risk.refinement_key(level, priority)
         keys[_risky(i)] = settings.risk_adaptive
@@ -177,8 +181,10 @@ def _with_neighbour_classes(runs: DataFrame, edges: DataFrame, nodes: list[str])
     Only head rows offer a value, so other rows of a run are skipped on the way to its neighbours."""
     order = ", ".join([*nodes, "run", "head DESC"])
     along = f"IGNORE NULLS OVER (PARTITION BY {', '.join(TILE)} ORDER BY {order})"
+    # Two ids per tile against the runs of the tile: hashing the tiles leaves the runs unsorted until the
+    # one sort below. Size estimates of such a summary are far too low to leave a broadcast to them.
     return (
-        runs.join(edges, TILE)
+        runs.join(edges.hint("shuffle_hash"), TILE)
         .withColumn("closed_by", F.when(F.col("head"), F.col("last_cls")))
         .withColumn("opened_by", F.when(F.col("head"), F.col("first_cls")))
         .withColumn("run_before", F.expr(f"coalesce(lag(closed_by) {along}, tile_before)"))
@@ -192,7 +198,8 @@ def leaf_runs(
     overrides: dict[str, str] | None = None,
     by_run: bool = False,
 ) -> DataFrame:
-    """(run, class) tallies with `leaf_i` (level) and `driver_i` of the leaf they belong to, per scenario."""
+    """(run, class) tallies with `leaf_i`, the level of the leaf they belong to, per scenario. The largest
+    `key_i` among the rows of a leaf tells its driver."""
     p = scenarios[0]
     keyed = keyed_points(points, scenarios, overrides)
     risky = any(s.risk_adaptive for s in scenarios) or "risk_adaptive" in (overrides or {})
@@ -210,19 +217,19 @@ def leaf_runs(
                     F.when(leaves, F.col(f"last_key_{i}")),
                 ),
             )
-    # Deepest node first: every coarser window then finds its rows already in order.
-    levels = list(range(p.tile_level, p.max_depth + 1))
+    # Deepest node first: every coarser window then finds its rows already in order. The finest level
+    # needs none, as what is no leaf above it is one there.
+    levels = list(range(p.tile_level, p.max_depth))
     for level in reversed(levels):
         node = Window.partitionBy(*TILE, *nodes[: level - p.tile_level])
         for i in range(len(scenarios)):
             runs = runs.withColumn(f"node_key_{i}_{level}", F.max(_key(i)).over(node))
     for i in range(len(scenarios)):
-        top = {level: F.col(f"node_key_{i}_{level}") for level in levels}
-        leaf = F.coalesce(
-            *[F.when(risk.key_level(top[level]) <= level, F.lit(level)) for level in levels]
-        )
-        key = F.coalesce(*[F.when(risk.key_level(top[level]) <= level, top[level]) for level in levels])
-        runs = runs.withColumn(f"leaf_{i}", leaf).withColumn(f"driver_{i}", risk.key_driver(key))
+        done = [
+            F.when(risk.key_level(F.col(f"node_key_{i}_{level}")) <= level, F.lit(level))
+            for level in levels
+        ]
+        runs = runs.withColumn(f"leaf_{i}", F.coalesce(*done, F.lit(p.max_depth)))
     return runs
 
 
@@ -233,7 +240,7 @@ def majority_rank(n: Column, cls: Column) -> Column:
 
 
 def _cells(leaves: DataFrame, params: GridParams, extra: list[str]) -> DataFrame:
-    """Aggregate (run, class) tallies that carry (level, driver) into cells. Every key starts with
+    """Aggregate (run, class) tallies that carry (level, key) into cells. Every key starts with
     (frame, tile), so no row moves."""
     keys = [*TILE, *extra, "level", "node"]
     node = spatial.prefix_at(F.col("code"), F.col("level"), params)
@@ -247,7 +254,7 @@ def _cells(leaves: DataFrame, params: GridParams, extra: list[str]) -> DataFrame
             F.max("max_z").alias("max_z"),
             F.sum("sum_conf").alias("sum_conf"),
             F.min("code").alias("code"),
-            F.max("driver").alias("driver"),
+            F.max("key").alias("key"),
         )
     )
     cells = per_class.groupBy(*keys).agg(
@@ -257,7 +264,7 @@ def _cells(leaves: DataFrame, params: GridParams, extra: list[str]) -> DataFrame
         F.max("max_z").alias("z_max"),
         F.max_by("cls", majority_rank(F.col("n"), F.col("cls"))).alias("cls"),
         (F.sum("sum_conf") / F.sum("n")).alias("conf"),
-        F.max("driver").alias("driver"),
+        risk.key_driver(F.max("key")).alias("driver"),
         F.sum("n").alias("n_points"),
     )
     x, y = spatial.cell_centre(F.col("node"), F.col("level"), params)
@@ -278,7 +285,7 @@ def adaptive_grid(
     """
     leaves = leaf_runs(points, [params], overrides)
     cells = _cells(
-        leaves.withColumnsRenamed({"leaf_0": "level", "driver_0": "driver"}), params, []
+        leaves.withColumnsRenamed({"leaf_0": "level", _key(0): "key"}), params, []
     )
     return cells if keep_tile else cells.drop("tile")
 
@@ -299,14 +306,14 @@ def scenario_grids(points: DataFrame, scenarios: dict[str, GridParams]) -> DataF
             F.struct(
                 F.lit(name).alias("scenario"),
                 F.col(f"leaf_{i}").alias("level"),
-                F.col(f"driver_{i}").alias("driver"),
+                F.col(_key(i)).alias("key"),
             )
             for i, (name, _) in enumerate(named)
         ]
     )
     tallies = [*TILE, "code", "cls", "n", "sum_z", "min_z", "max_z", "sum_conf"]
     fanned = leaves.select(*tallies, F.explode(variants).alias("v")).select(
-        *tallies, "v.scenario", "v.level", "v.driver"
+        *tallies, "v.scenario", "v.level", "v.key"
     )
     return _cells(fanned, base, ["scenario"]).drop("tile")
 
@@ -339,7 +346,7 @@ def _flag_edges(keyed: DataFrame, params: GridParams) -> DataFrame:
     )
     return (
         _with_run_neighbours(keyed)
-        .join(around, RUN)
+        .join(around.hint("merge"), RUN)
         .withColumn(
             "edge",
             _differs(F.coalesce("before", "run_before"), F.col("cls"))
@@ -357,19 +364,17 @@ def class_edges(points: DataFrame, params: GridParams = GridParams()) -> DataFra
 
 def assign_points(points: DataFrame, params: GridParams = GridParams()) -> DataFrame:
     """Each point with its one leaf. Joined per run, so no key holds more points than a run does."""
-    leaves = leaf_runs(points, [params], by_run=True).where("head").select(
-        *RUN, F.col("leaf_0").alias("level"), F.col("driver_0").alias("driver")
+    leaves = leaf_runs(points, [params], by_run=True)
+    node = spatial.prefix_at(F.col("code"), F.col("level"), params)
+    top = F.max(_key(0)).over(Window.partitionBy(*TILE, "level", "node"))
+    leaves = (
+        leaves.withColumn("level", F.col("leaf_0"))
+        .withColumn("node", node)
+        .withColumn("driver", risk.key_driver(top))
+        .where("head")
+        .select(*RUN, "level", "node", "driver")
     )
     keyed = keyed_points(points, [params], carry=["x", "y"])
-    node = spatial.prefix_at(F.col("code"), F.col("level"), params)
-    return keyed.join(leaves, RUN).select(
-        "frame_id", "point_idx", "x", "y", "z", "code", "level", node.alias("node"), "driver"
+    return keyed.join(leaves.hint("merge"), RUN).select(
+        "frame_id", "point_idx", "x", "y", "z", "code", "level", "node", "driver"
     )
-
-
-def counts_by(cells: DataFrame, key: str, keys: tuple[str, ...] = ("frame_id",)) -> DataFrame:
-    return cells.groupBy(*keys, key).agg(F.count(F.lit(1)).alias("n_cells"))
-
-
-def any_of(flags: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, flags)

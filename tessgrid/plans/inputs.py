@@ -31,6 +31,9 @@ FROM (
               ELSE CASE WHEN l_linenumber = 7 THEN 5 ELSE 1 END END AS cls,
          0.953e0 - l_discount * 4e0 AS conf
   FROM {lineitem}
+  WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL AND l_partkey IS NOT NULL
+    AND l_suppkey IS NOT NULL AND l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL
+    AND l_discount IS NOT NULL AND l_tax IS NOT NULL
 ) p
 """
 
