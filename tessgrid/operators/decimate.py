@@ -137,11 +137,14 @@ def _coarsen(asked: DataFrame, place: str, params: GridParams) -> DataFrame:
         spatial.prefix_at(F.col("code"), F.col("level"), params), F.col("level"), params
     )
     return (
-        merged.withColumn("z", F.when(F.col("kept"), F.col("z")).otherwise(F.col("mean_z")))
-        .withColumn("conf", F.when(F.col("kept"), F.col("conf")).otherwise(F.col("mean_conf")))
-        .withColumn("x", x)
-        .withColumn("y", y)
-        .select("tier", "max_level", "kept", "merged_from", *CELL_COLUMNS)
+        merged.withColumns(
+            {
+                "z": F.when(F.col("kept"), F.col("z")).otherwise(F.col("mean_z")),
+                "conf": F.when(F.col("kept"), F.col("conf")).otherwise(F.col("mean_conf")),
+                "x": x,
+                "y": y,
+            }
+        ).select("tier", "max_level", "kept", "merged_from", *CELL_COLUMNS)
     )
 
 

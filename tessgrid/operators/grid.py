@@ -9,8 +9,8 @@ no single task its whole size:
 
 * a *run* is (frame, finest cell, point_idx >> run_bits). Indices are unique in a frame, so a run holds
   at most 2**run_bits points. Class changes between neighbouring points are found inside runs.
-* a *tile* is a node at `params.tile_level`, no finer than any leaf and at most 64 finest cells wide with
-  the default parameters. Runs are shuffled by (frame, tile) once; neighbours across runs, node maxima
+* a *tile* is a node at `params.tile_level`, no finer than any leaf: 1,024 finest cells with the default
+  parameters. A tile therefore gathers at most 1,024 rows for every 2**run_bits points of its frame. Runs are shuffled by (frame, tile) once; neighbours across runs, node maxima
   of every level and the cell aggregates are all computed in that one partitioning and one sort order.
 * the class change across a tile edge needs the last class of the tile before and the first of the tile
   after. Both come from a per-tile summary built with map-side aggregation, at most 4**tile_level rows
@@ -56,12 +56,20 @@ def keyed_points(
             & F.col("frame_id").isNotNull()
             & F.col("point_idx").isNotNull()
         )
-        .withColumn("cls", risk.class_id(F.col("cls")))
-        .withColumn("ix", spatial.grid_index(F.col("x"), p))
-        .withColumn("iy", spatial.grid_index(F.col("y"), p))
-        .withColumn("range_m", spatial.polar_range(F.col("x"), F.col("y")))
-        .withColumn("code", spatial.morton_encode(F.col("ix"), F.col("iy"), p.max_depth))
-        .withColumn("base_m", spatial.target_size(F.col("range_m"), p))
+        .withColumns(
+            {
+                "cls": risk.class_id(F.col("cls")),
+                "ix": spatial.grid_index(F.col("x"), p),
+                "iy": spatial.grid_index(F.col("y"), p),
+                "range_m": spatial.polar_range(F.col("x"), F.col("y")),
+            }
+        )
+        .withColumns(
+            {
+                "code": spatial.morton_encode(F.col("ix"), F.col("iy"), p.max_depth),
+                "base_m": spatial.target_size(F.col("range_m"), p),
+            }
+        )
     )
     keys = {}
     for i, scenario in enumerate(scenarios):
@@ -166,14 +174,18 @@ def tile_edges(keyed: DataFrame, params: GridParams) -> DataFrame:
     )
 
 
+def _node_levels(params: GridParams) -> list[int]:
+    """Levels below the tile at which a leaf may lie, short of the finest cell, which is its own node."""
+    return list(range(max(params.coarsest_leaf, params.tile_level + 1), params.max_depth))
+
+
 def _nested_nodes(df: DataFrame, params: GridParams) -> tuple[DataFrame, list[str]]:
-    """Node columns from the tile's children down to the finest cell. As partition keys listed in this
-    order they share one sort."""
-    names = []
-    for level in range(params.tile_level + 1, params.max_depth):
-        df = df.withColumn(f"node_{level}", spatial.prefix(F.col("code"), level, params))
-        names.append(f"node_{level}")
-    return df, [*names, "code"]
+    """Node columns from coarse to fine, the finest cell last. As partition keys listed in this order
+    they share one sort."""
+    nodes = {
+        f"node_{level}": spatial.prefix(F.col("code"), level, params) for level in _node_levels(params)
+    }
+    return df.withColumns(nodes), [*nodes, "code"]
 
 
 def _with_neighbour_classes(runs: DataFrame, edges: DataFrame, nodes: list[str]) -> DataFrame:
@@ -185,10 +197,18 @@ def _with_neighbour_classes(runs: DataFrame, edges: DataFrame, nodes: list[str])
     # one sort below. Size estimates of such a summary are far too low to leave a broadcast to them.
     return (
         runs.join(edges.hint("shuffle_hash"), TILE)
-        .withColumn("closed_by", F.when(F.col("head"), F.col("last_cls")))
-        .withColumn("opened_by", F.when(F.col("head"), F.col("first_cls")))
-        .withColumn("run_before", F.expr(f"coalesce(lag(closed_by) {along}, tile_before)"))
-        .withColumn("run_after", F.expr(f"coalesce(lead(opened_by) {along}, tile_after)"))
+        .withColumns(
+            {
+                "closed_by": F.when(F.col("head"), F.col("last_cls")),
+                "opened_by": F.when(F.col("head"), F.col("first_cls")),
+            }
+        )
+        .withColumns(
+            {
+                "run_before": F.expr(f"coalesce(lag(closed_by) {along}, tile_before)"),
+                "run_after": F.expr(f"coalesce(lead(opened_by) {along}, tile_after)"),
+            }
+        )
     )
 
 
@@ -206,31 +226,36 @@ def leaf_runs(
     runs, nodes = _nested_nodes(_class_runs(keyed, scenarios, by_run or risky), p)
     if risky:
         runs = _with_neighbour_classes(runs, tile_edges(keyed, p), nodes)
-        for i in range(len(scenarios)):
-            enters = _differs(F.col("run_before"), F.col("cls"))
-            leaves = _differs(F.col("run_after"), F.col("cls"))
-            runs = runs.withColumn(
-                _key(i),
-                F.greatest(
+        enters = _differs(F.col("run_before"), F.col("cls"))
+        leaves = _differs(F.col("run_after"), F.col("cls"))
+        runs = runs.withColumns(
+            {
+                _key(i): F.greatest(
                     F.col(_key(i)),
                     F.when(enters, F.col(f"first_key_{i}")),
                     F.when(leaves, F.col(f"last_key_{i}")),
-                ),
-            )
+                )
+                for i in range(len(scenarios))
+            }
+        )
     # Deepest node first: every coarser window then finds its rows already in order. The finest level
     # needs none, as what is no leaf above it is one there.
-    levels = list(range(p.tile_level, p.max_depth))
+    levels = list(range(p.coarsest_leaf, p.max_depth))
     for level in reversed(levels):
-        node = Window.partitionBy(*TILE, *nodes[: level - p.tile_level])
-        for i in range(len(scenarios)):
-            runs = runs.withColumn(f"node_key_{i}_{level}", F.max(_key(i)).over(node))
-    for i in range(len(scenarios)):
+        within = [f"node_{n}" for n in _node_levels(p) if n <= level]
+        node = Window.partitionBy(*TILE, *within)
+        runs = runs.withColumns(
+            {f"node_key_{i}_{level}": F.max(_key(i)).over(node) for i in range(len(scenarios))}
+        )
+
+    def leaf(i: int) -> Column:
         done = [
             F.when(risk.key_level(F.col(f"node_key_{i}_{level}")) <= level, F.lit(level))
             for level in levels
         ]
-        runs = runs.withColumn(f"leaf_{i}", F.coalesce(*done, F.lit(p.max_depth)))
-    return runs
+        return F.coalesce(*done, F.lit(p.max_depth))
+
+    return runs.withColumns({f"leaf_{i}": leaf(i) for i in range(len(scenarios))})
 
 
 def majority_rank(n: Column, cls: Column) -> Column:
@@ -268,7 +293,7 @@ def _cells(leaves: DataFrame, params: GridParams, extra: list[str]) -> DataFrame
         F.sum("n").alias("n_points"),
     )
     x, y = spatial.cell_centre(F.col("node"), F.col("level"), params)
-    return cells.withColumn("x", x).withColumn("y", y).select("tile", *extra, *CELL_COLUMNS)
+    return cells.withColumns({"x": x, "y": y}).select("tile", *extra, *CELL_COLUMNS)
 
 
 def adaptive_grid(

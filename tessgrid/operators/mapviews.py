@@ -16,13 +16,12 @@ CONFIDENCE_BINS = 16
 def _touches(
     west: float, east: float, south: float, north: float, params: GridParams
 ) -> Column:
+    # Each coordinate is named once: as a predicate moves below the projection that computes it, every
+    # mention becomes a copy of that computation.
     half = spatial.cell_size(F.col("level"), params) / 2.0
-    return (
-        (F.col("x") - half <= east)
-        & (F.col("x") + half >= west)
-        & (F.col("y") - half <= north)
-        & (F.col("y") + half >= south)
-    )
+    near_x = F.abs(F.col("x") - F.lit((west + east) / 2)) <= F.lit((east - west) / 2) + half
+    near_y = F.abs(F.col("y") - F.lit((south + north) / 2)) <= F.lit((north - south) / 2) + half
+    return near_x & near_y
 
 
 def viewport_cells(

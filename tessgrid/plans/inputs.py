@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 # (order, line, price, part), which is unique in a frame and follows the order of the table.
 POINTS = """
 SELECT frame_id,
-       ((pos * 16777216 + cents) * 262144 + part) AS point_idx,
+       ((pos * 16777216 + cents) * 16384 + part) AS point_idx,
        (ix * 50 + 13 - 102400) / 1000e0 AS x,
        (iy * 50 + 13 - 102400) / 1000e0 AS y,
        z, cls, conf, 'derived' AS source
@@ -21,7 +21,7 @@ FROM (
   SELECT CAST(floor(l_orderkey / 4096e0) AS BIGINT) AS frame_id,
          CAST((l_orderkey % 4096) * 8 + l_linenumber AS BIGINT) AS pos,
          CAST(round(l_extendedprice * 100e0, 0) AS BIGINT) AS cents,
-         CAST(l_partkey % 262144 AS BIGINT) AS part,
+         CAST(l_partkey % 16384 AS BIGINT) AS part,
          (l_suppkey * 1237) % (1000 * (1 + l_suppkey % 4)) - 500 * (1 + l_suppkey % 4)
            + 2023 + CAST(l_quantity AS INT) AS ix,
          (l_suppkey * 2917) % (1000 * (1 + l_suppkey % 4)) - 500 * (1 + l_suppkey % 4)

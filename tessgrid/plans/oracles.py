@@ -280,8 +280,8 @@ ORACLES["unpack_roundtrip"] = f"""{_PACKED} SELECT frame_id, level, round(xq * 0
   {SIZE} AS size_m FROM packed"""
 
 # ------------------------------------------------------------- views
-_SEEN = f"""x - {SIZE} / 2 <= 60e0 AND x + {SIZE} / 2 >= -40e0
-  AND y - {SIZE} / 2 <= 45e0 AND y + {SIZE} / 2 >= -30e0"""
+_SEEN = f"""x - {SIZE} / 2 <= 60.01e0 AND x + {SIZE} / 2 >= -40.02e0
+  AND y - {SIZE} / 2 <= 45.02e0 AND y + {SIZE} / 2 >= -30.03e0"""
 ORACLES["viewport_cells"] = f"{GRID} SELECT {TIDY} FROM cells WHERE {_SEEN}"
 ORACLES["viewport_lod"] = f"""{GRID} SELECT frame_id, code, level FROM cells
 WHERE {_SEEN} AND {SIZE} * 16e0 >= 4e0

@@ -31,7 +31,8 @@ from tessgrid.sources import frames
 
 P = GridParams()
 PLAIN = replace(P, risk_adaptive=False)
-WINDOW = (-40.0, 60.0, -30.0, 45.0)
+# edges off the cell lattice, so that no cell merely touches the window
+WINDOW = (-40.02, 60.01, -30.03, 45.02)
 PIXELS_PER_M = 16.0
 LOD_CAP = 500
 SECTOR = (37.7, 52.3)
@@ -174,8 +175,8 @@ def _height_model(block: pd.DataFrame) -> pd.DataFrame:
 
 @query
 def predict_hook(spark, sf_dir):
-    # the derived index spans 57 bits, so a block of 2**50 is 1/128 of a frame
-    found = attach.predict_frames(points(spark, sf_dir), _height_model, "height-model", block_bits=50)
+    # the derived index spans 53 bits, so a block of 2**46 is 1/128 of a frame
+    found = attach.predict_frames(points(spark, sf_dir), _height_model, "height-model", block_bits=46)
     return _rounded(found, "conf")
 
 
@@ -290,7 +291,7 @@ def ab_compare(spark, sf_dir):
 
 @query
 def tier_matrix(spark, sf_dir):
-    return decimate.tier_matrix(_cells(spark, sf_dir), params=P)
+    return decimate.tier_matrix(_cells(spark, sf_dir, tile=True), params=P)
 
 
 @query

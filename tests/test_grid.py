@@ -191,3 +191,31 @@ def test_plan_moves_points_once_and_runs_once(spark, small):
     assert plan.count("Exchange hashpartitioning") == 5
     assert "SinglePartition" not in plan and "CartesianProduct" not in plan
     assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
+def test_generated_code_stays_small_enough_to_be_compiled(spark, small):
+    """The JVM never compiles a method of more than 8,000 bytes; one such method makes a scan ten times
+    slower."""
+    import re
+
+    from tessgrid.plans.queries import QUERIES
+
+    debug = spark._jvm.org.apache.spark.sql.execution.debug
+    codegen = getattr(getattr(debug, "package$"), "MODULE$")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name in ("adaptive_grid", "class_edges", "ab_compare", "tier_matrix", "viewport_lod"):
+            plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan()
+            sizes = map(int, re.findall(r"maxMethodCodeSize:(\d+)", codegen.codegenString(plan)))
+            assert max(sizes) < 8000, name
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_one_sort_serves_every_window_of_a_tile(spark, small):
+    from tessgrid.plans.inputs import points
+
+    plan = grid.adaptive_grid(points(spark, small))._jdf.queryExecution().executedPlan().toString()
+    by_tile = [line for line in plan.splitlines() if "Sort [frame_id" in line and "tile#" in line and "node_" in line]
+    assert len(by_tile) == 1
