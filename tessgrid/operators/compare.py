@@ -12,17 +12,29 @@ from tessgrid.operators.decimate import Tier, decimate_tiers
 from tessgrid.operators.grid import scenario_grids
 from tessgrid.operators.stats import far_hazard, memory_columns, summarise
 from tessgrid.params import DRIVERS, GridParams
+from tessgrid.sources.frames import pack_frames
 
 
-def ab_compare(points: DataFrame, params: GridParams = GridParams()) -> DataFrame:
-    """Risk-adaptive against range-only, per frame. Both grids come from one pass over the points."""
-    grids = scenario_grids(
+def ab_grids(points: DataFrame, params: GridParams = GridParams()) -> DataFrame:
+    """Risk-adaptive and range-only cells (`scenario`), both from one pass over the points."""
+    return scenario_grids(
         points,
         {
             "risk_adaptive": replace(params, risk_adaptive=True),
             "range_only": replace(params, risk_adaptive=False),
         },
     )
+
+
+def ab_wire(points: DataFrame, params: GridParams = GridParams()) -> DataFrame:
+    """What the frames of either scenario cost once packed."""
+    grids = ab_grids(points, params).withColumnRenamed("scenario", "variant")
+    return pack_frames(grids, params=params).drop("wire").withColumnRenamed("variant", "scenario")
+
+
+def ab_compare(points: DataFrame, params: GridParams = GridParams()) -> DataFrame:
+    """Risk-adaptive against range-only, per frame."""
+    grids = ab_grids(points, params)
     far, size = far_hazard(params), spatial.cell_size(F.col("level"), params)
     sums = grids.groupBy("frame_id", "scenario").agg(
         F.count(F.lit(1)).alias("n_cells"),

@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessgrid.functions import spatial
+from tessgrid.functions.wire import link_budget
 from tessgrid.operators.grid import CELL_COLUMNS, majority_rank
 from tessgrid.operators.ordered import salted_join
 from tessgrid.operators.stats import far_hazard, memory_columns
 from tessgrid.params import DRIVER_RANGE, GridParams
+from tessgrid.sources.frames import pack_frames
 
 # A square this many levels above the finest holds at most 4**8 = 65,536 leaves.
 _GATHER_DEPTH = 8
@@ -222,3 +224,12 @@ def tier_matrix(
             F.bround("median", 3).alias("median_hazard_cell_m"),
         )
     )
+
+
+def tier_wire(
+    cells: DataFrame, tiers: list[Tier] | None = None, params: GridParams = GridParams()
+) -> DataFrame:
+    """What each tier of each frame costs once packed, and its rate at the target frame rate."""
+    coarse = decimate_tiers(cells, tiers or link_tiers(), params).withColumnRenamed("tier", "variant")
+    packed = pack_frames(coarse, params=params).drop("wire").withColumnRenamed("variant", "tier")
+    return link_budget(packed, params.target_hz)

@@ -294,6 +294,16 @@ def tier_matrix(spark, sf_dir):
     return decimate.tier_matrix(_cells(spark, sf_dir, tile=True), params=P)
 
 
+@query
+def tier_wire(spark, sf_dir):
+    return decimate.tier_wire(_cells(spark, sf_dir, tile=True), params=P)
+
+
+@query
+def ab_wire(spark, sf_dir):
+    return compare.ab_wire(points(spark, sf_dir), P)
+
+
 @query
 def onboard_vs_link(spark, sf_dir):
     return compare.onboard_vs_link(_cells(spark, sf_dir, tile=True), 9, True, P)

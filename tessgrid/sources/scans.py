@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("intensity", "<f4")])
@@ -62,16 +62,15 @@ def path_ranks(paths: DataFrame) -> DataFrame:
         .orderBy("path")
         .select("path", in_partition.alias("at"))
         .checkpoint()
-        .select("path", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+        .select(
+            "path",
+            F.shiftright("at", 33).alias("part"),
+            F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"),
+        )
     )
     sizes = listed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    later = sizes.select(F.col("part").alias("before"), "n")
-    offsets = (
-        sizes.select("part")
-        .join(F.broadcast(later), F.col("before") < F.col("part"), "left")
-        .groupBy("part")
-        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("offset"))
-    )
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     return listed.join(F.broadcast(offsets), "part").select(
         "path", (F.col("offset") + F.col("at")).alias("frame_id")
     )

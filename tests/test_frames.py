@@ -98,3 +98,15 @@ def test_link_budget(spark):
     assert [r.fits_256kbps_link for r in got] == [True, False, False, False]
     assert [r.fits_1mbps_link for r in got] == [True, True, True, False]
     assert got[2].mbps == 1.0 and got[0].kbps == 256.0
+
+
+def test_tiers_cost_less_the_coarser_they_are(spark, cells):
+    from tessgrid.operators import decimate
+
+    got = {r.tier: r for r in decimate.tier_wire(cells, params=P).collect()}
+    counted = {r.tier: r.n_cells for r in decimate.tier_matrix(cells, params=P).collect()}
+    assert {t: r.n_cells for t, r in got.items()} == counted and len(got) == 8
+    assert all(r.raw_bytes == 28 + 10 * r.n_cells for r in got.values())
+    assert got["level8_plain"].wire_bytes <= got["level11_plain"].wire_bytes
+    assert got["level9_plain"].wire_bytes <= got["level9_risk_preserved"].wire_bytes
+    assert all(abs(r.mbps - r.wire_bytes * 80 / 1e6) < 0.001 for r in got.values())
