@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessgrid.llm import bpe, exact_dedup, hilbert, mixing, quotes, token_counts, token_files
+from tessgrid.llm import bpe, exact_dedup, hilbert, jaccard, mixing, quotes, token_counts, token_files
 from tessgrid.llm.common import shared_folder
 
 TOKEN_LIMIT = 4096
@@ -93,6 +93,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+@query
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
