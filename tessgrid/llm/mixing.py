@@ -34,8 +34,9 @@ def source_targets(
     most_repeats: int = MOST_REPEATS,
 ) -> DataFrame:
     """source, source_size, target. A target stops at `most_repeats` times its source; what is left
-    over goes to the others by weight until none is above its bound: the level at which the capped
-    targets add up, read off running sums over one row per source in order of their bounds."""
+    over goes to the others by weight until none is above its bound. In order of bounds, the level of a source is what a unit of
+    weight gets if all sources before it are capped; of the levels that respect their source's bound the
+    largest holds. One row per source."""
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int"))
@@ -55,7 +56,7 @@ def source_targets(
                 "weight_from": F.sum("weight").over(up.rowsBetween(0, Window.unboundedFollowing)),
             }
         )
-        .withColumn("level", F.min(F.when(level <= F.col("bound"), level)).over(everything))
+        .withColumn("level", F.max(F.when(level <= F.col("bound"), level)).over(everything))
         .select(
             "source",
             "source_size",

@@ -61,6 +61,19 @@ WITH RECURSIVE told AS (
     LEFT JOIN conversations a ON a.conv_id = m.conv_id AND a.turn = m.turn - 1
     LEFT JOIN conversations b ON b.conv_id = m.conv_id AND b.turn = m.turn - 2
 ){_THREADS}""",
+    "op7_pivot_topk": """
+WITH d AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.v, d.v) AS BIGINT) AS score
+    FROM d AS q JOIN d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+""",
     "op9_mixing": rf"""
 WITH d AS (
     SELECT doc_id, source,
@@ -80,7 +93,7 @@ WITH d AS (
 ), targets AS (
     SELECT source, source_size,
            least(CAST(2 * source_size AS DOUBLE),
-                 coalesce(min(level) FILTER (WHERE level <= bound) OVER () * weight, 2 * source_size)) AS target
+                 coalesce(max(level) FILTER (WHERE level <= bound) OVER () * weight, 2 * source_size)) AS target
     FROM capped
 ), plan AS (
     SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole
