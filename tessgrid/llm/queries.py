@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessgrid.llm import bpe, exact_dedup, hilbert, jaccard, mixing, quotes, token_counts, token_files
+from tessgrid.llm import bpe, exact_dedup, hilbert, jaccard, mixing, quality, quotes, token_counts, token_files, topk
 from tessgrid.llm.common import shared_folder
 
 TOKEN_LIMIT = 4096
@@ -93,6 +93,17 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+@query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.integer_vectors(_table(spark, sf_dir, "embeddings"))
+    return topk.search(rows, rows.where("vec_id % 100 = 0"))
+
+
 @query
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(_table(spark, sf_dir, "documents"))
