@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tessgrid.dims import category_bridge, class_dim
 from tessgrid.functions import risk, spatial
 from tessgrid.operators.ordered import salted_join
-from tessgrid.operators.stats import named
 from tessgrid.params import CATEGORIES, GridParams
 
 _PREDICTED = "frame_id LONG, point_idx LONG, cls INT, conf DOUBLE, source STRING"
@@ -38,35 +37,54 @@ def attach_predictions(points: DataFrame, predictions: DataFrame, source: str =
     )
 
 
-def predict_frames(
+def _predicted(block: pd.DataFrame, found: pd.DataFrame, source: str) -> pd.DataFrame:
+    return pd.DataFrame(
+        {
+            "frame_id": block["frame_id"].to_numpy(),
+            "point_idx": block["point_idx"].to_numpy(),
+            "cls": found["cls"].to_numpy().astype("int32"),
+            "conf": found["conf"].fillna(1.0).to_numpy(),
+            "source": source,
+        }
+    )
+
+
+def predict_points(
+    points: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], source: str = "model"
+) -> DataFrame:
+    """Run a pointwise model: x, y, z in, a frame with `cls` and `conf` in the same order out. What the
+    model says of a point must depend on that point alone; it sees arbitrary batches. Nothing is shuffled."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in batches:
+            yield _predicted(block, model(block[["x", "y", "z"]]), source)
+
+    return points.select("frame_id", "point_idx", "x", "y", "z").mapInPandas(run, _PREDICTED)
+
+
+def predict_tiles(
     points: DataFrame,
     model: Callable[[pd.DataFrame], pd.DataFrame],
+    tile_level: int,
     source: str = "model",
-    block_bits: int = 20,
+    params: GridParams = GridParams(),
 ) -> DataFrame:
-    """Run a user model over points: x, y, z in, a frame with `cls` and `conf` in the same order out.
-
-    The model sees a frame in blocks of at most 2**block_bits consecutive indices, so an ordinary sensor
-    frame arrives whole and an outsized one never lands in a single task.
-    """
+    """Run a model that uses context: it sees all points of one frame in one square of `tile_level`, in
+    index order. The caller chooses the square, and with it how many points a call may hold. Points
+    outside the root square are left out."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("point_idx", ignore_index=True)
-        found = model(block[["x", "y", "z"]])
-        return pd.DataFrame(
-            {
-                "frame_id": block["frame_id"],
-                "point_idx": block["point_idx"],
-                "cls": found["cls"].to_numpy().astype("int32"),
-                "conf": found["conf"].fillna(1.0).to_numpy(),
-                "source": source,
-            }
-        )
-
-    blocked = points.select(
-        "frame_id", "point_idx", "x", "y", "z", F.shiftright("point_idx", block_bits).alias("block")
+        return _predicted(block, model(block[["x", "y", "z"]]), source)
+
+    x, y = F.col("x"), F.col("y")
+    code = spatial.morton_encode(
+        spatial.grid_index(x, params), spatial.grid_index(y, params), params.max_depth
+    )
+    placed = points.where(spatial.in_root(x, y, params)).select(
+        "frame_id", "point_idx", "x", "y", "z", spatial.prefix(code, tile_level, params).alias("tile")
     )
-    return blocked.groupBy("frame_id", "block").applyInPandas(run, _PREDICTED)
+    return placed.groupBy("frame_id", "tile").applyInPandas(run, _PREDICTED)
 
 
 def image_bins(points: DataFrame, height: int, width: int, params: GridParams = GridParams()) -> DataFrame:
@@ -112,9 +130,8 @@ def sector_confidence(points: DataFrame, centre_deg: float, half_width_deg: floa
 
 def class_lookup(points: DataFrame) -> DataFrame:
     """Class name, group and hazard flag of each point; unknown ids keep their number as their name."""
-    dim = class_dim(points.sparkSession)
-    facts = F.broadcast(dim.select("cls", "class_group", "hazard"))
-    return named(points, dim, "cls", "name").join(facts, "cls", "left")
+    facts = F.broadcast(class_dim(points.sparkSession).select("cls", "name", "class_group", "hazard"))
+    return points.join(facts, "cls", "left").withColumn("name", F.coalesce("name", F.col("cls").cast("string")))
 
 
 def category_coverage(points: DataFrame) -> DataFrame:
@@ -130,10 +147,10 @@ def category_coverage(points: DataFrame) -> DataFrame:
 
 
 def missing_categories(points: DataFrame) -> DataFrame:
-    """Per frame, the named categories without a single point in it."""
-    listed = F.array(*[F.lit(name) for name, _ in CATEGORIES])
-    bridge = category_bridge(points.sparkSession)
-    seen = points.select("frame_id", "cls").distinct()
-    found = seen.join(F.broadcast(bridge), "cls").select("frame_id", "category")
-    wanted = seen.select("frame_id").distinct().withColumn("category", F.explode(listed))
-    return wanted.join(found, ["frame_id", "category"], "left_anti")
+    """Per frame, the named categories without a single point in it. One flag per category, so the points
+    are read once and a frame is one row of flags."""
+    flags = [F.max(F.col("cls").isin(*ids)).alias(f"has_{name}") for name, ids in CATEGORIES]
+    absent = F.array(*[F.when(~F.coalesce(f"has_{n}", F.lit(False)), F.lit(n)) for n, _ in CATEGORIES])
+    return points.groupBy("frame_id").agg(*flags).select(
+        "frame_id", F.explode(F.array_compact(absent)).alias("category")
+    )

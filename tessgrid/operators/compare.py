@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 from tessgrid.functions import spatial
 from tessgrid.operators.decimate import Tier, decimate_tiers
 from tessgrid.operators.grid import scenario_grids
-from tessgrid.operators.stats import far_hazard, memory_columns, summarise
+from tessgrid.operators.stats import (
+    LEVEL_COUNT,
+    far_hazard,
+    level_counts,
+    median_size,
+    memory_columns,
+    summarise,
+)
 from tessgrid.params import DRIVERS, GridParams
 from tessgrid.sources.frames import pack_frames
 
@@ -44,13 +51,15 @@ def ab_compare(points: DataFrame, params: GridParams = GridParams()) -> DataFram
             for i, name in DRIVERS
         ],
         F.count_if(far).alias("hazard_cells_beyond_fovea"),
-        F.bround(F.median(F.when(far, size)), 3).alias("median_hazard_cell_m"),
+        *level_counts(far, params),
         F.bround(F.min(F.when(far, size)), 3).alias("finest_hazard_cell_m"),
         F.count_if(F.col("conf") < params.conf_threshold).alias("degraded_cells"),
     )
     memory = memory_columns(params, F.col("n_cells"), F.col("n_points"))
+    named = [c for c in sums.columns if not c.startswith(LEVEL_COUNT)]
     return sums.select(
-        "*",
+        *named,
+        F.bround(median_size(params), 3).alias("median_hazard_cell_m"),
         *[
             memory[name].alias(name)
             for name in (

@@ -16,14 +16,10 @@ from tessgrid.functions import spatial
 from tessgrid.functions.wire import link_budget
 from tessgrid.operators.grid import CELL_COLUMNS, majority_rank
 from tessgrid.operators.ordered import salted_join
-from tessgrid.operators.stats import far_hazard, memory_columns
+from tessgrid.operators.stats import far_hazard, level_counts, median_size, memory_columns
 from tessgrid.params import DRIVER_RANGE, GridParams
 from tessgrid.sources.frames import pack_frames
 
-# A square this many levels above the finest holds at most 4**8 = 65,536 leaves.
-_GATHER_DEPTH = 8
-
-
 @dataclass(frozen=True)
 class Tier:
     """A link tier: cells finer than `max_level` are merged, unless a risk rule set their size."""
@@ -47,9 +43,9 @@ def decimate_tiers(
     """Cells of every tier, with `tier`, `max_level`, `kept` and `merged_from` (input cells behind each
     output cell).
 
-    All tiers come from one pass over `cells`. Where the coarsest tier still has small squares, cells are
-    gathered by square, a bounded group, and everything else is local; below that the aggregations
-    shuffle partial sums instead.
+    All tiers come from one pass over `cells`. Sums are grouped by the square of the coarsest tier, or by
+    the tile that `cells` carry if no square reaches beyond it: cells already lie together by tile, so
+    nothing moves.
     """
     coarsest = min(t.max_level for t in tiers)
     if "tile" in cells.columns and coarsest >= params.tile_level:
@@ -57,8 +53,6 @@ def decimate_tiers(
     else:
         place = "square"
         gathered = cells.withColumn(place, spatial.prefix(F.col("code"), coarsest, params))
-        if params.max_depth - coarsest <= _GATHER_DEPTH:
-            gathered = gathered.repartition("frame_id", place)
     wanted = F.array(
         *[
             F.struct(
@@ -205,15 +199,14 @@ def tier_matrix(
     cells: DataFrame, tiers: list[Tier] | None = None, params: GridParams = GridParams()
 ) -> DataFrame:
     """Per frame and tier: coarsest cell, cell count and the median size of hazard cells beyond the
-    fovea. The median's buffer holds one count per level."""
-    size = spatial.cell_size(F.col("level"), params)
+    fovea."""
     return (
         decimate_tiers(cells, tiers or link_tiers(), params)
         .groupBy("frame_id", "tier", "max_level")
         .agg(
             F.count(F.lit(1)).alias("n_cells"),
             F.sum("n_points").alias("n_points"),
-            F.median(F.when(far_hazard(params), size)).alias("median"),
+            *level_counts(far_hazard(params), params),
         )
         .select(
             "frame_id",
@@ -221,7 +214,7 @@ def tier_matrix(
             F.bround(F.lit(params.root_size_m) / F.pow(F.lit(2.0), "max_level"), 3).alias("max_cell_m"),
             "n_cells",
             "n_points",
-            F.bround("median", 3).alias("median_hazard_cell_m"),
+            F.bround(median_size(params), 3).alias("median_hazard_cell_m"),
         )
     )
 

@@ -1,5 +1,5 @@
 """Reports on measured evidence, per export. A figure is reported only if an export holds it; what is
-missing is named as missing, with the way to produce it."""
+missing is named as missing, with the source that held nothing."""
 
 from __future__ import annotations
 
@@ -16,29 +16,14 @@ BAND_MARK = "_mIoU_"
 DEFAULT_BOARD = "Jetson Orin Nano 8GB"
 # End of fixed values
 
-# block -> (what is missing, how to produce it); pass another mapping to name your own commands
+# block -> where its rows come from; named in a report when nothing was found there
 BLOCKS = {
-    "per_class": (
-        "Per-class accuracy for the named categories",
-        "run the per-class evaluation and save its table beside the export",
-    ),
-    "distance": (
-        "Accuracy by range band",
-        "run the distance-stratified evaluation and save its summary beside the export",
-    ),
-    "edge": (
-        "Latency, rate and peak memory on the edge board",
-        "run the board benchmark and ingest its results into the ledger",
-    ),
-    "baselines": (
-        "Named baselines with the checkpoint of each",
-        "fill in the checkpoint of every baseline and export again",
-    ),
-    "segmentation": (
-        "Segmentation accuracy before and after training",
-        "plot the training curve so that its figures enter the ledger",
-    ),
-    "checklist": ("Verification checklist", "run the checklist and export again"),
+    "per_class": "run files ps_category_table_*.json in the folder of the export",
+    "distance": "run files distance_stratified_*.json in the folder of the export, or ledger tag distance",
+    "edge": "ledger tag edge with a metric that ends in a board suffix",
+    "baselines": "baselines of the export that have a checkpoint",
+    "segmentation": "ledger tag segmentation",
+    "checklist": "checks of the export",
 }
 
 
@@ -149,65 +134,58 @@ def segmentation_entries(ledger: DataFrame) -> DataFrame:
     return ledger.where(F.col("tag") == "segmentation")
 
 
+def _board() -> Column:
+    return F.coalesce(F.when(F.col("edge_board") != "", F.col("edge_board")), F.lit(DEFAULT_BOARD))
+
+
 def board(exports: DataFrame) -> DataFrame:
-    given = F.when(F.col("edge_board") != "", F.col("edge_board"))
-    return exports.select("export_path", F.coalesce(given, F.lit(DEFAULT_BOARD)).alias("board"))
+    return exports.select("export_path", _board().alias("board"))
 
 
-def evidence_status(
-    exports: DataFrame,
-    measured: dict[str, DataFrame],
-    blocks: dict[str, tuple[str, str]] = BLOCKS,
-) -> DataFrame:
-    """Every block of every export: `measured`, or not with what is missing and how to get it.
+def evidence_status(proofs: DataFrame, blocks: dict[str, str] = BLOCKS) -> DataFrame:
+    """Every block of every export: `measured`, or not, then with the source that held nothing.
 
-    `measured` maps a block to rows that prove it, keyed by export_path. Each is first cut down to its
-    distinct (export, block) pairs.
+    `proofs` holds (export_path, block), any number of rows for a block that has some; a block null
+    names an export that may have none. One pass: an export is one row with a flag per block.
     """
-    proofs = None
-    for block, rows in measured.items():
-        pair = rows.select("export_path", F.lit(block).alias("block"))
-        proofs = pair if proofs is None else proofs.unionByName(pair)
-    proven = proofs.distinct().withColumn("proven", F.lit(True))
+    flags = [F.max(F.coalesce(F.col("block") == b, F.lit(False))).alias(f"has_{b}") for b in blocks]
     listed = F.array(
         *[
-            F.struct(F.lit(b).alias("block"), F.lit(what).alias("what"), F.lit(how).alias("how"))
-            for b, (what, how) in blocks.items()
+            F.struct(F.lit(b).alias("block"), F.lit(source).alias("source"), F.col(f"has_{b}").alias("found"))
+            for b, source in blocks.items()
         ]
     )
-    wanted = (
-        exports.select("export_path")
-        .distinct()
-        .select("export_path", F.explode(listed).alias("b"))
-        .select("export_path", "b.*")
-    )
-    found = F.coalesce("proven", F.lit(False))
-    missing = F.when(F.col("block") == "checklist", "absent").otherwise("not_measured")
-    return wanted.join(proven, ["export_path", "block"], "left").select(
+    told = proofs.groupBy("export_path").agg(*flags).select("export_path", F.explode(listed).alias("b"))
+    missing = F.when(F.col("b.block") == "checklist", "absent").otherwise("not_measured")
+    return told.select(
         "export_path",
-        "block",
-        F.when(found, "measured").otherwise(missing).alias("status"),
-        F.when(~found, F.col("what")).alias("what"),
-        F.when(~found, F.col("how")).alias("how"),
+        "b.block",
+        F.when(F.col("b.found"), "measured").otherwise(missing).alias("status"),
+        F.when(~F.col("b.found"), F.col("b.source")).alias("missing"),
     )
 
 
-def evidence_snapshot(
-    exports: DataFrame, class_runs: DataFrame, distance_runs: DataFrame, ledger: DataFrame,
-    checks: DataFrame, blocks: dict[str, tuple[str, str]] = BLOCKS,
-) -> DataFrame:
-    """Status of every block of every export read from disk."""
-    return evidence_status(
-        exports,
-        {
-            "per_class": class_runs,
-            "distance": distance_runs.select("export_path").unionByName(
-                ledger.where(F.col("tag") == "distance").select("export_path")
-            ),
-            "edge": ledger.where(F.col("tag") == "edge"),
-            "baselines": named_baselines(exports),
-            "segmentation": segmentation_entries(ledger),
-            "checklist": checks,
-        },
-        blocks,
-    )
+def evidence_snapshot(exports: DataFrame, proofs: DataFrame, blocks: dict[str, str] = BLOCKS) -> DataFrame:
+    """Status of every block of every export, with what the export says of itself: whether it could be
+    read, when it was generated, its board, caveats and the claims of its comparisons."""
+    known = exports.select("export_path", F.lit(None).cast("string").alias("block"))
+    told = evidence_status(known.unionByName(proofs.select("export_path", "block")), blocks)
+    about = exports.select(
+        "export_path", "available", "generated", _board().alias("board"), "data_caveats",
+        F.transform("comparisons", lambda c: c["claim"]).alias("claims"),
+    )
+    return told.join(about, "export_path")
+
+
+def proofs_of(
+    exports: DataFrame, class_runs: DataFrame, distance_runs: DataFrame, ledger: DataFrame, checks: DataFrame
+) -> DataFrame:
+    """(export_path, block) for what was read from disk. A block of the ledger is named by its tag."""
+    tagged = ledger.where(F.col("tag").isin("distance", "edge", "segmentation"))
+    found = tagged.select("export_path", F.col("tag").alias("block"))
+    for block, rows in (
+        ("per_class", class_runs), ("distance", distance_runs), ("baselines", named_baselines(exports)),
+        ("checklist", checks),
+    ):
+        found = found.unionByName(rows.select("export_path", F.lit(block).alias("block")))
+    return found

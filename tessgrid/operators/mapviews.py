@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessgrid.functions import risk, spatial
-from tessgrid.operators.ordered import ranked, salted_join
+from tessgrid.operators.ordered import salted_join
 from tessgrid.params import GridParams
 
 ELEVATION_BINS = 24
@@ -34,16 +34,12 @@ def viewport_cells(
 
 def viewport_lod(
     cells: DataFrame, x_from: float, x_to: float, y_from: float, y_to: float, pixels_per_m: float,
-    cap: int = 30_000, min_pixels: float = 4.0, params: GridParams = GridParams(),
+    min_pixels: float = 4.0, params: GridParams = GridParams(),
 ) -> DataFrame:
-    """Cells large enough on screen to outline, the first `cap` of each frame in Morton order."""
-    readable = viewport_cells(cells, x_from, x_to, y_from, y_to, params).where(
+    """Every cell of the window that is large enough on screen to outline."""
+    return viewport_cells(cells, x_from, x_to, y_from, y_to, params).where(
         spatial.cell_size(F.col("level"), params) * F.lit(pixels_per_m) >= F.lit(min_pixels)
     )
-    ordered = readable.withColumn("__at", F.shiftleft("code", 4).bitwiseOR(F.col("level").cast("long")))
-    return ranked(ordered, ["frame_id"], "__at", bits=20, name="__rank").where(
-        F.col("__rank") < cap
-    ).drop("__at", "__rank")
 
 
 def _bin(share: Column, bins: int) -> Column:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessgrid.functions import spatial
 from tessgrid.functions.wire import roundtrip_error
-from tessgrid.operators.grid import adaptive_grid, assign_points
 from tessgrid.params import DRIVER_RANGE, HAZARD_IDS, GridParams
 
 _NOISE = 1e-9
@@ -34,13 +31,13 @@ def check_conservation(points: DataFrame, cells: DataFrame, params: GridParams =
 
 
 def check_containment(
-    points: DataFrame, params: GridParams = GridParams(), tolerance: float = 1e-4
+    assigned: DataFrame, params: GridParams = GridParams(), tolerance: float = 1e-4
 ) -> DataFrame:
-    """Points outside the square of the cell they were assigned to."""
+    """Points outside the square of the cell they were assigned to (`assign_points`)."""
     x, y = spatial.cell_centre(F.col("node"), F.col("level"), params)
     half = spatial.cell_size(F.col("level"), params) / 2.0 + F.lit(tolerance)
     out = (F.abs(F.col("x") - x) > half) | (F.abs(F.col("y") - y) > half)
-    return _count(assign_points(points, params), "containment", out)
+    return _count(assigned, "containment", out)
 
 
 def check_lattice(cells: DataFrame, params: GridParams = GridParams()) -> DataFrame:
@@ -74,10 +71,9 @@ def check_elevation(cells: DataFrame, tolerance: float = 1e-5) -> DataFrame:
     return _count(cells, "elevation", low | high)
 
 
-def check_range_only(points: DataFrame, params: GridParams = GridParams()) -> DataFrame:
+def check_range_only(cells: DataFrame) -> DataFrame:
     """Cells of a range-only build whose size some risk rule set."""
-    plain = adaptive_grid(points, replace(params, risk_adaptive=False))
-    return _count(plain, "range_only", F.col("driver") != DRIVER_RANGE)
+    return _count(cells, "range_only", F.col("driver") != DRIVER_RANGE)
 
 
 def check_roundtrip(cells: DataFrame, params: GridParams = GridParams()) -> DataFrame:
@@ -92,14 +88,15 @@ def check_roundtrip(cells: DataFrame, params: GridParams = GridParams()) -> Data
 
 
 def check_points(points: DataFrame) -> DataFrame:
-    """Points with a confidence outside 0..1 or a coordinate that is not finite, plus one for a frame
-    that mixes sources."""
+    """Points with a confidence outside 0..1 or a coordinate that is not finite, points without an index
+    (which no grid holds), plus one for a frame that mixes sources. Points without a frame are counted
+    under frame null."""
     bad_conf = ~F.coalesce(F.col("conf").between(0.0, 1.0), F.lit(False))
     # NaN and infinities are the values whose difference from themselves is not zero
     bad_place = ~F.coalesce((F.col("x") - F.col("x") + F.col("y") - F.col("y") + F.col("z") - F.col("z")) == 0.0, F.lit(False))
     sums = points.groupBy("frame_id").agg(
-        F.count_if(bad_conf | bad_place).alias("bad"),
-        (F.min("source") != F.max("source")).cast("long").alias("mixed"),
+        F.count_if(bad_conf | bad_place | F.col("point_idx").isNull()).alias("bad"),
+        (F.min(F.xxhash64("source")) != F.max(F.xxhash64("source"))).cast("long").alias("mixed"),
     )
     return sums.select(
         "frame_id",

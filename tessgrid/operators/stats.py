@@ -96,6 +96,34 @@ def _name_of(rows: list[tuple[int, str]]):
     return lambda k: F.coalesce(F.try_element_at(names, k), k.cast("string"))
 
 
+LEVEL_COUNT = "__at_level_"
+
+
+def level_counts(which: Column, params: GridParams) -> list[Column]:
+    """Aggregates that count rows per level; what `median_size` reads."""
+    return [
+        F.count_if(which & (F.col("level") == n)).alias(f"{LEVEL_COUNT}{n}") for n in range(params.max_depth + 1)
+    ]
+
+
+def median_size(params: GridParams) -> Column:
+    """Median cell size from counts per level, null without rows. A cell has one of few sizes, so the
+    middle is found by running counts from the finest up, with no list of values."""
+    levels = range(params.max_depth, -1, -1)
+    total = sum(F.col(f"{LEVEL_COUNT}{n}") for n in levels)
+
+    def at(place: Column) -> Column:
+        found, seen = F.lit(None).cast("double"), F.lit(0)
+        steps = []
+        for n in levels:
+            seen = seen + F.col(f"{LEVEL_COUNT}{n}")
+            steps.append(F.when(seen > place, F.lit(params.cell_size(n))))
+        return F.coalesce(*steps, found)
+
+    middle = (at(F.floor((total - 1) / 2)) + at(F.floor(total / 2))) / 2
+    return F.when(total > 0, middle)
+
+
 def summarise(cells: DataFrame, params: GridParams, keys: tuple[str, ...] = FRAME) -> DataFrame:
     """Scalar figures per group, before rounding and naming. Additive, so partially aggregated before
     the shuffle."""

@@ -37,6 +37,9 @@ FROM (
 ) p
 """
 
+# A model's answers, one row per order line, keyed like the points; points of other origin have none.
+PREDICTIONS = POINTS.replace("z, cls, conf, 'derived' AS source", "CASE WHEN conf < 0.7e0 THEN NULL ELSE cls + 1 END AS pred_cls, 1e0 - conf / 2e0 AS pred_conf")
+
 # The measures other than the frame time are multiples of 1/4, whose sums are exact in any order.
 TIMINGS = """
 SELECT user_id AS stream_id, event_id AS frame_id, value AS frame_ms,
@@ -57,9 +60,11 @@ SELECT user_id AS stream_id, event_id AS seq,
 FROM {events}
 """
 
-LEDGER = """
+LEDGER_TAG = "CASE event_id % 7 WHEN 3 THEN 'distance' WHEN 5 THEN 'segmentation' ELSE 'edge' END"
+
+LEDGER = f"""
 SELECT concat('run', CAST(event_id % 5 AS VARCHAR(4))) AS export_path, event_id AS seq,
-       CASE WHEN event_id % 7 = 3 THEN 'distance' ELSE 'edge' END AS tag,
+       {LEDGER_TAG} AS tag,
        concat(event_type,
               CASE WHEN event_id % 7 = 3
                    THEN CASE event_id % 3 WHEN 0 THEN '_mIoU_0-10m' WHEN 1 THEN '_v_mIoU_10-30m'
@@ -68,7 +73,7 @@ SELECT concat('run', CAST(event_id % 5 AS VARCHAR(4))) AS export_path, event_id
                         WHEN 2 THEN '_peak_mem_MB' ELSE '_other' END END) AS metric,
        value, CASE WHEN user_id % 2 = 0 THEN 'board-a' ELSE 'board-b' END AS hardware,
        concat('cmd-', CAST(event_id % 13 AS VARCHAR(4))) AS command
-FROM {events}
+FROM {{events}}
 """
 
 CHECKS = """

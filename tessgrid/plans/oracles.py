@@ -13,6 +13,13 @@ FAR = f"({HAZARD} AND sqrt(x * x + y * y) > 10e0)"
 TABLES = {name: name for name in inputs.TABLES}
 
 
+def _spoilt(column: str, value: str, every: int, source: str = "cells", key: str = "code") -> str:
+    """Subquery of `source` with one column changed where `key` is a multiple of `every`."""
+    return (
+        f"(SELECT * REPLACE (CASE WHEN {key} % {every} = 0 THEN {value} ELSE {column} END AS {column}) FROM {source}) s"
+    )
+
+
 def _sql(text: str) -> str:
     return text.format(**TABLES)
 
@@ -167,13 +174,17 @@ binned AS (SELECT *,
   FROM pts)
 SELECT b.frame_id, count(*) AS n_points, count(i.conf) AS n_found, round(avg(i.conf), 6) AS mean_conf
 FROM binned b LEFT JOIN image i ON b.frame_id = i.frame_id AND b.h = i.h AND b.w = i.w GROUP BY ALL"""
-ORACLES["attach_predictions"] = f"""WITH {PTS}
-SELECT frame_id, point_idx, CASE WHEN point_idx % 11 <> 0 THEN cls ELSE 0 END AS cls,
-       CASE WHEN point_idx % 11 <> 0 THEN round(conf, 9) ELSE 1e0 END AS conf, 'model' AS source,
-       point_idx % 11 <> 0 AS matched FROM pts"""
+ORACLES["attach_predictions"] = f"""WITH {PTS}, told AS ({_sql(inputs.PREDICTIONS)})
+SELECT p.frame_id, p.point_idx, CAST(coalesce(pred_cls, 0) AS INT) AS cls,
+       round(coalesce(pred_conf, 1e0), 9) AS conf, 'model' AS source, pred_cls IS NOT NULL AS matched
+FROM pts p LEFT JOIN told t ON p.frame_id = t.frame_id AND p.point_idx = t.point_idx"""
 ORACLES["predict_hook"] = f"""WITH {PTS}
 SELECT frame_id, point_idx, CASE WHEN z < -1.4e0 THEN 1 ELSE 4 END AS cls,
        round(1e0 - sqrt(x * x + y * y) / 200e0, 9) AS conf, 'height-model' AS source FROM pts"""
+ORACLES["predict_tiles"] = f"""WITH {CODED}, risen AS (
+  SELECT *, z - min(z) OVER (PARTITION BY frame_id, code >> 10) AS rise FROM coded)
+SELECT frame_id, point_idx, CASE WHEN rise < 0.25e0 THEN 1 ELSE 4 END AS cls,
+       round(1e0 / (1e0 + rise), 9) AS conf, 'step-model' AS source FROM risen"""
 ORACLES["point_cell_assignment"] = f"{GRID} SELECT frame_id, point_idx, level, node, driver FROM tagged_cells"
 
 # ------------------------------------------------------------- grid and statistics
@@ -277,15 +288,42 @@ SELECT frame_id, wire_bytes, round_even(wire_bytes / 1024e0, 1) AS kb_per_frame,
   wire_bytes * 80 <= 256000 AS fits_256kbps_link, wire_bytes * 80 <= 1000000 AS fits_1mbps_link FROM sized"""
 ORACLES["unpack_roundtrip"] = f"""{_PACKED} SELECT frame_id, level, round(xq * 0.025e0, 9) AS x,
   round(yq * 0.025e0, 9) AS y, zq / 100e0 AS z, cls, confq / 255e0 AS conf, driver,
-  {SIZE} AS size_m FROM packed"""
+  {SIZE} AS size_m, CAST(NULL AS VARCHAR) AS error FROM packed"""
+
+_RAW = "26 + count(*) * 10 + {tail}"
+_SIZE_TAIL = """length('{"n_cells":' || count(*) || ',"cell_size_min_m":' || CAST(min(%s) AS VARCHAR)
+  || ',"cell_size_max_m":' || CAST(max(%s) AS VARCHAR) || '}')""" % (SIZE, SIZE)
+
+
+def _proved(keys: str, source: str, tail: str) -> str:
+    return f"""SELECT {keys}, count(*) AS n_cells, CAST({tail} AS BIGINT) AS tail_bytes,
+  CAST({_RAW.format(tail=tail)} AS BIGINT) AS raw_bytes, true AS smaller FROM {source} GROUP BY frame_id"""
+
+
+ORACLES["pack_frames"] = f"{GRID} {_proved('frame_id', 'cells', _SIZE_TAIL)}"
+ORACLES["ab_wire"] = f"""{GRID}, {_grid(False, "plain")}
+{_proved("frame_id, 'risk_adaptive' AS scenario", "cells", "2")}
+UNION ALL {_proved("frame_id, 'range_only' AS scenario", "plain", "2")}"""
+ORACLES["tier_wire"] = (
+    f"{GRID}, "
+    + ", ".join(_decimated(n, keep, f"t{n}{'r' if keep else 'p'}") for n, keep in _TIERS)
+    + " UNION ALL ".join(
+        " " + _proved(
+            f"frame_id, 'level{n}_{'risk_preserved' if keep else 'plain'}' AS tier", f"t{n}{'r' if keep else 'p'}", "2"
+        )
+        for n, keep in _TIERS
+    )
+)
+ORACLES["unpack_damaged"] = f"""{GRID} SELECT frame_id, CASE frame_id % 4 WHEN 1 THEN 'short_header'
+    WHEN 2 THEN 'foreign_magic:6e6f6e65' WHEN 3 THEN 'short_body' END AS error,
+  CASE WHEN frame_id % 4 = 0 THEN count(*) ELSE 0 END AS n_cells FROM cells GROUP BY frame_id"""
 
 # ------------------------------------------------------------- views
 _SEEN = f"""x - {SIZE} / 2 <= 60.01e0 AND x + {SIZE} / 2 >= -40.02e0
   AND y - {SIZE} / 2 <= 45.02e0 AND y + {SIZE} / 2 >= -30.03e0"""
 ORACLES["viewport_cells"] = f"{GRID} SELECT {TIDY} FROM cells WHERE {_SEEN}"
 ORACLES["viewport_lod"] = f"""{GRID} SELECT frame_id, code, level FROM cells
-WHERE {_SEEN} AND {SIZE} * 16e0 >= 4e0
-QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY code, level) <= 500"""
+WHERE {_SEEN} AND {SIZE} * 20e0 >= 4e0"""
 ORACLES["elevation_histogram"] = f"""{GRID}, spans AS (
   SELECT frame_id, z, min(z) OVER (PARTITION BY frame_id) AS low, max(z) OVER (PARTITION BY frame_id) AS high
   FROM (SELECT frame_id, round(z, 9) AS z FROM cells) c)
@@ -324,10 +362,9 @@ ORACLES["category_coverage"] = f"""WITH {PTS}, {_BRIDGE}, wanted AS (SELECT * FR
   SELECT 'hazards', unnest([40, 41, 42, 43, 44]))
 SELECT category, count(*) AS n_points, count(DISTINCT frame_id) AS n_frames
 FROM pts p JOIN wanted w ON p.cls = w.cls GROUP BY category"""
-ORACLES["missing_categories"] = f"""WITH {PTS}, {_BRIDGE}, thinned AS (
-  SELECT DISTINCT frame_id, cls FROM pts WHERE NOT (cls IN (5, 8) AND frame_id % 3 = 1))
-SELECT DISTINCT t.frame_id, b.category FROM thinned t, bridge b WHERE NOT EXISTS (
-  SELECT 1 FROM thinned s JOIN bridge c ON s.cls = c.cls
+ORACLES["missing_categories"] = f"""WITH {PTS}, {_BRIDGE}, seen AS (SELECT DISTINCT frame_id, cls FROM pts)
+SELECT DISTINCT t.frame_id, b.category FROM seen t, bridge b WHERE NOT EXISTS (
+  SELECT 1 FROM seen s JOIN bridge c ON s.cls = c.cls
   WHERE s.frame_id = t.frame_id AND c.category = b.category)"""
 
 # ------------------------------------------------------------- telemetry
@@ -388,6 +425,45 @@ SELECT e.export_path, b.block, CASE WHEN p.block IS NOT NULL THEN 'measured'
   WHEN b.block = 'checklist' THEN 'absent' ELSE 'not_measured' END AS status
 FROM exports e CROSS JOIN blocks b LEFT JOIN proofs p ON p.export_path = e.export_path AND p.block = b.block"""
 
+ORACLES["distance_runs"] = f"""{_LEDGER}, cut AS (
+  SELECT *, CASE WHEN contains(metric, '_mIoU_') THEN regexp_extract(metric, '^(.*)_mIoU_(.*)$', 1) ELSE '' END AS label,
+    CASE WHEN contains(metric, '_mIoU_') THEN regexp_extract(metric, '^(.*)_mIoU_(.*)$', 2) ELSE metric END AS band
+  FROM ledger WHERE tag = 'distance' AND export_path NOT IN ('run0', 'run1')),
+firsts AS (SELECT export_path, label, arg_min(command, seq) AS command FROM cut GROUP BY ALL)
+SELECT c.export_path, c.label, c.band, arg_max(c.value, c.seq) AS miou, CAST(NULL AS BIGINT) AS n_scans,
+  max(f.command) AS command
+FROM cut c JOIN firsts f ON c.export_path = f.export_path AND c.label = f.label
+GROUP BY c.export_path, c.label, c.band
+UNION ALL SELECT 'run' || (event_id % 2), 'label' || event_id, band, value / share, user_id % 17, 'run-' || event_type
+FROM events, (VALUES ('0-10m', 1), ('10-30m', 2)) b(band, share)"""
+ORACLES["per_class_report"] = """WITH runs AS (SELECT *, 'run' || event_id AS export_path,
+  CASE WHEN event_id % 4 <> 0 THEN event_type ELSE 'run' END AS label, 'mean' AS aggregation,
+  'day' || (event_id % 9) AS created FROM events)
+SELECT export_path, label, aggregation, created, 'walls' AS category, round(value, 9) AS seg_miou,
+  CAST(NULL AS DOUBLE) AS det_ap,
+  'wall ' || event_type || ', fence ' || (user_id % 3) || ', gate ' || event_type AS constituents FROM runs
+UNION ALL SELECT export_path, label, aggregation, created, 'poles', NULL, round(value / 2, 9),
+  'pole ' || (user_id % 3) FROM runs"""
+ORACLES["segmentation_entries"] = f"""{_LEDGER}
+SELECT export_path, seq, metric, value, command FROM ledger WHERE tag = 'segmentation'"""
+_NAMED = """named AS (
+  SELECT 'export' || event_id AS export_path, 'one' AS key, event_type AS name, '/ckpt/' || event_type AS checkpoint
+  FROM events WHERE event_id % 2 = 0
+  UNION ALL SELECT 'export' || event_id, 'two', event_type, '/two' FROM events WHERE event_id % 3 <> 0)"""
+ORACLES["named_baselines"] = f"WITH {_NAMED} SELECT * FROM named"
+ORACLES["evidence_snapshot"] = f"""WITH {_NAMED}, exports AS (SELECT *, 'export' || event_id AS export_path FROM events),
+proofs AS (SELECT DISTINCT export_path, 'baselines' AS block FROM named
+  UNION SELECT export_path, CASE event_id % 4 WHEN 0 THEN 'edge' ELSE 'segmentation' END FROM exports
+  WHERE event_id % 4 < 2),
+blocks(block) AS (VALUES ('per_class'), ('distance'), ('edge'), ('baselines'), ('segmentation'), ('checklist'))
+SELECT e.export_path, b.block, CASE WHEN p.block IS NOT NULL THEN 'measured'
+    WHEN b.block = 'checklist' THEN 'absent' ELSE 'not_measured' END AS status,
+  event_id % 11 <> 0 AS available, 'day' || (event_id % 9) AS generated,
+  CASE WHEN event_id % 3 = 1 THEN event_type ELSE 'Jetson Orin Nano 8GB' END AS board,
+  CASE WHEN event_id % 2 = 0 THEN event_type || '; few scans' END AS caveats,
+  CASE WHEN event_id % 5 = 0 THEN 'better than ' || event_type END AS claims, p.block IS NULL AS told
+FROM exports e CROSS JOIN blocks b LEFT JOIN proofs p ON p.export_path = e.export_path AND p.block = b.block"""
+
 # ------------------------------------------------------------- quality
 _CHECK = "SELECT frame_id, '{name}' AS \"check\", count({broken} OR NULL) AS violations FROM {source} GROUP BY frame_id"
 _GAP = """, put AS (SELECT frame_id, count(*) AS n FROM pts WHERE abs(x) < 102.4e0 AND abs(y) < 102.4e0 GROUP BY 1),
@@ -395,31 +471,32 @@ got AS (SELECT frame_id, sum(n_points) AS m FROM {source} GROUP BY 1)
 SELECT coalesce(p.frame_id, g.frame_id) AS frame_id, 'conservation' AS "check",
   CAST(abs(coalesce(n, 0) - coalesce(m, 0)) AS BIGINT) AS violations
 FROM put p FULL JOIN got g ON p.frame_id = g.frame_id"""
-ORACLES["check_conservation"] = GRID + _GAP.format(source="cells")
-ORACLES["check_conservation_link"] = f"{GRID}, {_decimated(9, True, 'link')}" + _GAP.format(source="link")
-ORACLES["check_containment"] = f"""{GRID}, placed AS (SELECT *,
+ORACLES["check_conservation"] = GRID + _GAP.format(source=_spoilt("n_points", "n_points + 1", 97))
+ORACLES["check_conservation_link"] = f"{GRID}, {_decimated(9, True, 'link')}" + _GAP.format(source="link WHERE code % 53 <> 0")
+ORACLES["check_containment"] = f"""{GRID}, moved AS (SELECT * FROM {_spoilt("x", "x + 0.17e0", 7, "tagged_cells")}), placed AS (SELECT *,
   -102.4e0 + (({_compact("node", 1)}) + 0.5e0) * {SIZE} AS cx,
-  -102.4e0 + (({_compact("node", 0)}) + 0.5e0) * {SIZE} AS cy FROM tagged_cells)
+  -102.4e0 + (({_compact("node", 0)}) + 0.5e0) * {SIZE} AS cy FROM moved)
 {_CHECK.format(name="containment", source="placed",
                broken=f"abs(x - cx) > {SIZE} / 2 + 1e-4 OR abs(y - cy) > {SIZE} / 2 + 1e-4")}"""
 _OFF = " OR ".join(
     f"abs((({v} + 102.4e0) / {SIZE} - 0.5e0) - round(({v} + 102.4e0) / {SIZE} - 0.5e0, 0)) > 1e-6 OR abs({v}) >= 102.4e0"
     for v in ("x", "y")
 )
-ORACLES["check_lattice"] = f"{GRID} {_CHECK.format(name='lattice', source='cells', broken=_OFF)}"
+ORACLES["check_lattice"] = f"{GRID} {_CHECK.format(name='lattice', source=_spoilt('y', 'y + 0.01e0', 31), broken=_OFF)}"
 _RANGE = "sqrt(x * x + y * y)"
-ORACLES["check_sizes"] = f"""{GRID} {_CHECK.format(name="sizes", source="cells", broken=(
+ORACLES["check_sizes"] = f"""{GRID} {_CHECK.format(name="sizes", source=_spoilt("level", "level - 3", 29), broken=(
     f"{SIZE} < 0.05e0 - 1e-9 OR level > 12 OR ({_RANGE} < 10e0 AND {SIZE} > 0.05e0 + 1e-9)"
     f" OR ({_RANGE} > 90e0 AND {SIZE} > 0.5e0 + 1e-9)"))}"""
 _STEEP = "z_min > z + 1e-5 OR z > z_max + 1e-5"
-ORACLES["check_elevation"] = f"{GRID} {_CHECK.format(name='elevation', source='cells', broken=_STEEP)}"
+ORACLES["check_elevation"] = f"{GRID} {_CHECK.format(name='elevation', source=_spoilt('z', 'z + 5e0', 37), broken=_STEEP)}"
 ORACLES["check_elevation_link"] = (
-    f"{GRID}, {_decimated(9, True, 'link')} {_CHECK.format(name='elevation', source='link', broken=_STEEP)}"
+    f"{GRID}, {_decimated(9, True, 'link')} {_CHECK.format(name='elevation', source=_spoilt('z', 'z - 5e0', 41, 'link'), broken=_STEEP)}"
 )
 ORACLES["check_range_only"] = (
-    f"WITH {EDGED}, {_grid(False)} {_CHECK.format(name='range_only', source='cells', broken='driver <> 0')}"
+    f"WITH {EDGED}, {_grid(False)} {_CHECK.format(name='range_only', source=_spoilt('driver', '1', 43), broken='driver <> 0')}"
 )
-ORACLES["check_roundtrip"] = f"""{_PACKED} {_CHECK.format(name="roundtrip", source="packed", broken=(
+ORACLES["check_roundtrip"] = f"""{GRID}, packed AS (SELECT *, {_FIXED}
+  FROM {_spoilt("z", "z + 400e0", 47)}) {_CHECK.format(name="roundtrip", source="packed", broken=(
     "abs(xq * 0.025e0 - x) > 1e-6 OR abs(yq * 0.025e0 - y) > 1e-6 OR abs(zq / 100e0 - z) > 0.005e0 + 1e-9"
     " OR abs(confq / 255e0 - conf) > 1e0 / 255e0"))}"""
 ORACLES["check_points"] = f"""WITH {PTS}, spoilt AS (SELECT frame_id, x, y,
@@ -427,9 +504,11 @@ ORACLES["check_points"] = f"""WITH {PTS}, spoilt AS (SELECT frame_id, x, y,
   CASE WHEN frame_id % 2 = 1 THEN CAST(cls AS VARCHAR) ELSE source END AS source FROM pts)
 SELECT frame_id, 'points' AS "check", count(NOT (conf BETWEEN 0 AND 1) OR no_z OR NULL)
   + CASE WHEN min(source) <> max(source) THEN 1 ELSE 0 END AS violations FROM spoilt GROUP BY frame_id"""
-ORACLES["check_tail"] = f"""{GRID} SELECT DISTINCT frame_id, 'tail' AS "check", CAST(0 AS BIGINT) AS violations FROM cells"""
+ORACLES["check_tail"] = f"""{GRID} SELECT frame_id, 'tail' AS "check", count(*) % 2 AS violations
+FROM cells GROUP BY frame_id"""
 ORACLES["check_sparse"] = f"""{GRID} SELECT frame_id, 'sparse' AS "check", count(n_points <= 0 OR NULL)
-  + CASE WHEN count(*) * 100 >= 16000000 THEN 1 ELSE 0 END AS violations FROM cells GROUP BY frame_id"""
+  + CASE WHEN count(*) * 100 >= 16000000 THEN 1 ELSE 0 END AS violations
+FROM {_spoilt("n_points", "0", 59)} GROUP BY frame_id"""
 ORACLES["check_hazard_depth"] = f"""{GRID} SELECT frame_id, 'hazard_depth' AS "check",
   CAST(coalesce(avg(z) FILTER (WHERE cls = 40) >= avg(z) FILTER (WHERE cls = 1), false) AS BIGINT) AS violations
 FROM cells GROUP BY frame_id"""

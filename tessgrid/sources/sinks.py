@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 def write_cells(cells: DataFrame, path: str, frames_per_folder: int = 4096, mode: str = "overwrite") -> None:
     """Parquet, one folder per block of consecutive frames, so that readers prune by frame without a
-    folder for each. Rows stay in the tasks that made them; a hot frame is written by many."""
+    folder for each. Rows are gathered by block before they are written, a few files per folder; a block
+    that is large is split over several tasks."""
     block = F.floor(F.col("frame_id") / frames_per_folder).cast("long")
-    cells.withColumn("frame_block", block).write.mode(mode).partitionBy("frame_block").parquet(path)
+    gathered = cells.withColumn("frame_block", block).hint("rebalance", "frame_block")
+    gathered.write.mode(mode).partitionBy("frame_block").parquet(path)
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
