@@ -120,6 +120,8 @@ class ChunkEncoder:
     A byte-level pre-token is never cut inside by a line feed or a space that has other than white space
     on both sides: the space opens a pre-token and the line feed is one. Texts with other runs of white
     space are cut only at such spaces. Special strings hold no white space, so no cut falls inside one.
+    A stretch of letters is one pre-token and goes straight to the library's merges; a point or comma
+    that ends it is the next pre-token. Whatever looks otherwise goes through the whole library.
     """
 
     def __init__(self, path: str):
@@ -135,11 +137,23 @@ class ChunkEncoder:
         self.tails = Memo(lambda s: self._checked(" " + s, s))
         self.pieces = Memo(self._encode)
         self.feed = self._encode("\n")
+        self.merge = self.library.model.tokenize
+        # Bytes that a byte-level vocabulary writes as themselves; the others follow from 256.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.written = {b: chr(256 + i) for i, b in enumerate(rest)} | {b: chr(b) for b in plain}
+        self.ends = {mark: self._encode(mark) for mark in ".,"}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
     def _checked(self, text: str, bare: str) -> bytes | None:
+        if bare.isalpha():
+            spelled = text.encode().decode("latin-1").translate(self.written)
+            return np.array([t.id for t in self.merge(spelled)], self.type).tobytes()
+        if bare[-1:] in self.ends and bare[:-1].isalpha():
+            known = self.heads if text is bare else self.tails
+            return known[bare[:-1]] + self.ends[bare[-1]]
         return self._encode(text) if bare and bare == bare.strip() else None
 
     def encode(self, text: str) -> bytes:

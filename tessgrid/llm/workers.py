@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 
 #: Rows of a batch that are held as Python objects at a time, and entries a memo may hold.
-ROWS, MEMO_ENTRIES = 512, 500_000
+ROWS, MEMO_ENTRIES = 512, 350_000
 
 
 def worker_wide(name: str, make: Callable[[], object]) -> object:
