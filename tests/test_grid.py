@@ -109,7 +109,7 @@ def test_edges_and_assignment_agree_with_cells(spark):
     tally = grid.assign_points(points, p).groupBy("level", "node").count()
     cells = grid.adaptive_grid(points, p)
     assert sorted((r["count"]) for r in tally.collect()) == sorted(r.n_points for r in cells.collect())
-    assert quality.check_containment(points, p).first()["violations"] == 0
+    assert quality.check_containment(grid.assign_points(points, p), p).first()["violations"] == 0
 
 
 def test_majority_tie_goes_to_the_smaller_class(spark):

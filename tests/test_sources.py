@@ -114,16 +114,20 @@ def test_evidence_reports(exports):
 
 def test_gaps_stay_gaps(exports):
     read, runs = exports
-    rows = evidence.evidence_snapshot(
+    proofs = evidence.proofs_of(
         read, runs[files.CLASS_RUNS], runs[files.DISTANCE_RUNS], files.ledger_of(read), files.checks_of(read)
-    ).collect()
+    )
+    rows = evidence.evidence_snapshot(read, proofs).collect()
     status = {(_folder(r.export_path), r.block): r.status for r in rows}
     assert {b for (f, b), s in status.items() if f == "full" and s == "measured"} == {
         "per_class", "distance", "edge", "baselines", "checklist",
     }
     assert {b for (f, b), s in status.items() if f == "bare" and s == "measured"} == {"distance"}
     assert status["broken", "edge"] == "not_measured" and status["broken", "checklist"] == "absent"
-    assert all(r.how for r in rows if r.status != "measured")
+    assert all((r.missing is None) == (r.status == "measured") for r in rows)
+    about = {_folder(r.export_path): r for r in rows}
+    assert about["full"].data_caveats == ["few scans"] and about["full"].generated == "then"
+    assert about["full"].board == evidence.DEFAULT_BOARD and not about["broken"].available
 
 
 def test_level_table(spark):
@@ -136,3 +140,6 @@ def test_cells_are_written_by_block_of_frames(spark, tmp_path):
     df = spark.range(10).selectExpr("id * 1000 AS frame_id")
     sinks.write_cells(df, str(tmp_path / "cells"), frames_per_folder=4096)
     assert sorted(p.name for p in (tmp_path / "cells").glob("frame_block=*")) == [f"frame_block={i}" for i in range(3)]
+    many = spark.range(40_000, numPartitions=16).selectExpr("id % 8192 AS frame_id", "id AS code")
+    sinks.write_cells(many, str(tmp_path / "many"), frames_per_folder=4096)
+    assert len(list((tmp_path / "many").glob("frame_block=*/*.parquet"))) <= 4
