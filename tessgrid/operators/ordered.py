@@ -12,13 +12,24 @@ from pyspark.sql import functions as F
 _BLOCK = "__block"
 
 
-def ranked(df: DataFrame, keys: list[str], order: str, bits: int = 16, name: str = "rank") -> DataFrame:
+def _in_blocks(df: DataFrame, keys: list[str], order: str, rows: int) -> DataFrame:
+    """Adds the block of each row: equal steps of the order column, as many as the key's row count asks
+    for, so a block holds about `rows` rows whether order values are dense or microseconds. Counts are one
+    row per key."""
+    span = F.max(order).cast("double") - F.min(order).cast("double") + 1
+    steps = F.ceil(F.count(F.lit(1)) / F.lit(rows))
+    cut = df.groupBy(*keys).agg(
+        F.min(order).alias("__low"), F.greatest(F.ceil(span / steps), F.lit(1)).cast("long").alias("__step")
+    )
+    return df.join(cut, keys).withColumn(_BLOCK, F.expr(f"({order} - __low) DIV __step")).drop("__low", "__step")
+
+
+def ranked(df: DataFrame, keys: list[str], order: str, rows: int = 65_536, name: str = "rank") -> DataFrame:
     """Adds the 0-based rank of each row within `keys` by the LONG column `order`, unique per key.
 
-    A block holds at most 2**bits rows. The running count over blocks is the only window over a whole
-    key, and it sees one row per block.
+    The running count over blocks is the only window over a whole key, and it sees one row per block.
     """
-    blocked = df.withColumn(_BLOCK, F.shiftright(order, bits))
+    blocked = _in_blocks(df, keys, order, rows)
     earlier = (
         Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -36,10 +47,10 @@ def ranked(df: DataFrame, keys: list[str], order: str, bits: int = 16, name: str
 
 
 def carried_forward(
-    df: DataFrame, keys: list[str], order: str, values: dict[str, Column], bits: int = 16
+    df: DataFrame, keys: list[str], order: str, values: dict[str, Column], rows: int = 65_536
 ) -> DataFrame:
     """Adds, per entry of `values`, the last non-null value at or before each row within `keys`."""
-    blocked = df.withColumn(_BLOCK, F.shiftright(order, bits))
+    blocked = _in_blocks(df, keys, order, rows)
     for name, value in values.items():
         blocked = blocked.withColumn(f"__{name}", value)
     ends = blocked.groupBy(*keys, _BLOCK).agg(
@@ -70,7 +81,7 @@ def carried_forward(
 
 
 def with_history(
-    df: DataFrame, keys: list[str], order: str, lookback: int, span: int = 4096, bits: int = 16
+    df: DataFrame, keys: list[str], order: str, lookback: int, span: int = 4096, rows: int = 65_536
 ) -> tuple[DataFrame, list[str], str]:
     """Rows cut into blocks of `span` consecutive rows, each block led by copies of the `lookback` rows
     before it.
@@ -80,7 +91,7 @@ def with_history(
     """
     if lookback >= span:
         raise ValueError("lookback must be shorter than a block")
-    dense = ranked(df, keys, order, bits, "__seq")
+    dense = ranked(df, keys, order, rows, "__seq")
     home = F.floor(F.col("__seq") / span).cast("long")
     late = F.col("__seq") % span >= span - lookback
     copies = F.array_compact(
@@ -98,8 +109,9 @@ def with_history(
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], by: Column, salts: int = 8) -> DataFrame:
     """Left join whose keys may be hot on the big side: its rows spread over `salts` copies of the other
-    side, which should hold few rows per key."""
+    side, which should hold few rows per key. It is a sort-merge join fed by two exchanges, so what is
+    still too large after salting is split further while it runs, by the bytes that really arrived."""
     slots = F.sequence(F.lit(0), F.lit(salts - 1))
     left = big.withColumn("__salt", F.pmod(by, F.lit(salts)).cast("int"))
     right = small.withColumn("__salt", F.explode(slots))
-    return left.join(right, [*keys, "__salt"], "left").drop("__salt")
+    return left.join(right.hint("merge"), [*keys, "__salt"], "left").drop("__salt")

@@ -53,9 +53,10 @@ FROM {events}
 COMMANDS = """
 SELECT user_id AS stream_id, event_id AS seq,
        CASE WHEN event_type = 'signup' THEN
-         CASE event_id % 3 WHEN 0 THEN 'conf_threshold' WHEN 1 THEN 'hazard_factor' ELSE 'link_tier' END
+         CASE event_id % 7 WHEN 0 THEN 'conf_threshold' WHEN 1 THEN 'hazard_factor' WHEN 2 THEN 'link_tier'
+           WHEN 3 THEN 'risk_adaptive' WHEN 4 THEN 'compress' WHEN 5 THEN 'hz' ELSE 'preserve_risk_on_link' END
        END AS setting,
-       CASE WHEN event_type = 'signup' AND NOT (event_id % 3 = 2 AND event_id % 2 = 0)
+       CASE WHEN event_type = 'signup' AND NOT (event_id % 7 = 2 AND event_id % 2 = 0)
             THEN CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) END AS value
 FROM {events}
 """

@@ -384,14 +384,14 @@ ORACLES["rate_target"] = f"""{_ROLLED}, rated AS (
 SELECT stream_id, frame_id, fps >= 20e0 AS met, round_even(abs(fps - 20e0), 1) AS margin_hz
 FROM rated WHERE fps IS NOT NULL"""
 _HELD = "max(seq) FILTER (WHERE setting = '{s}') OVER (PARTITION BY stream_id ORDER BY seq) AS at_{s}"
+_DEFAULTS = {"conf_threshold": "0.6e0", "hazard_factor": "4e0", "link_tier": "NULL", "risk_adaptive": "1e0",
+             "compress": "1e0", "hz": "10e0", "preserve_risk_on_link": "1e0"}
 ORACLES["settings_asof"] = f"""WITH log AS ({_sql(inputs.COMMANDS)}), held AS (
-  SELECT *, {", ".join(_HELD.format(s=s) for s in ("conf_threshold", "hazard_factor", "link_tier"))} FROM log)
-SELECT h.stream_id, h.seq,
-  CASE WHEN at_conf_threshold IS NULL THEN 0.6e0 ELSE a.value END AS conf_threshold,
-  CASE WHEN at_hazard_factor IS NULL THEN 4e0 ELSE b.value END AS hazard_factor, c.value AS link_tier
-FROM held h LEFT JOIN log a ON a.seq = at_conf_threshold AND a.stream_id = h.stream_id
-LEFT JOIN log b ON b.seq = at_hazard_factor AND b.stream_id = h.stream_id
-LEFT JOIN log c ON c.seq = at_link_tier AND c.stream_id = h.stream_id
+  SELECT *, {", ".join(_HELD.format(s=s) for s in _DEFAULTS)} FROM log)
+SELECT h.stream_id, h.seq, {", ".join(
+    f"CASE WHEN at_{s} IS NULL THEN CAST({d} AS DOUBLE) ELSE l_{s}.value END AS {s}" for s, d in _DEFAULTS.items())}
+FROM held h {" ".join(
+    f"LEFT JOIN log l_{s} ON l_{s}.seq = at_{s} AND l_{s}.stream_id = h.stream_id" for s in _DEFAULTS)}
 WHERE h.setting IS NULL"""
 
 # ------------------------------------------------------------- evidence

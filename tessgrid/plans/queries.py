@@ -477,9 +477,10 @@ def settings_asof(spark, sf_dir):
     log = derived(spark, sf_dir, inputs.COMMANDS)
     return telemetry.settings_asof(
         log,
-        ("conf_threshold", "hazard_factor", "link_tier"),
-        {"conf_threshold": P.conf_threshold, "hazard_factor": P.hazard_factor},
-    )
+        telemetry.SETTINGS,
+        {"conf_threshold": P.conf_threshold, "hazard_factor": P.hazard_factor, "risk_adaptive": 1.0,
+         "compress": 1.0, "hz": P.target_hz, "preserve_risk_on_link": 1.0},
+    )
 
 
 # ------------------------------------------------------------- evidence

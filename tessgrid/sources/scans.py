@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,41 +10,54 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("intensity", "<f4")])
-_ROWS = "path STRING, point_idx LONG, x DOUBLE, y DOUBLE, z DOUBLE, intensity DOUBLE"
+_ROWS = "frame_id LONG, path STRING, point_idx LONG, x DOUBLE, y DOUBLE, z DOUBLE, intensity DOUBLE"
 _ROWS_PER_BATCH = 262_144
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
+        for frame_id, path, content in zip(batch["frame_id"], batch["path"], batch["content"]):
             if len(content) % _POINT.itemsize:
                 raise ValueError(f"{path}: size is not a whole number of points")
             scan = np.frombuffer(content, dtype=_POINT)
             for start in range(0, len(scan), _ROWS_PER_BATCH):
                 part = scan[start : start + _ROWS_PER_BATCH]
                 rows = pd.DataFrame({name: part[name].astype("f8") for name in _POINT.names})
-                rows.insert(0, "path", path)
-                rows.insert(1, "point_idx", np.arange(start, start + len(part)))
+                rows.insert(0, "frame_id", frame_id)
+                rows.insert(1, "path", path)
+                rows.insert(2, "point_idx", np.arange(start, start + len(part)))
                 yield rows
 
 
 def parse_scans(files: DataFrame) -> DataFrame:
-    """Rows of `binaryFile` records, batch or streaming."""
-    return files.select("path", "content").mapInPandas(_parse, _ROWS)
+    """Points of `binaryFile` records that carry a frame_id, batch or streaming."""
+    return files.select("frame_id", "path", "content").mapInPandas(_parse, _ROWS)
+
+
+def path_id(path: Column) -> Column:
+    """Frame id from the whole path, so equal names in two folders are two frames and any name will do.
+    64 bits: a clash is expected among six billion files."""
+    return F.xxhash64(path)
 
 
 def frame_number(path: Column) -> Column:
-    """Frame number from a file name that ends in digits, such as `drive/000123.bin`."""
-    return F.regexp_extract(path, r"(\d+)\.bin$", 1).cast("long")
+    """Digits that end the file name, such as 123 of `drive/000123.bin`; null if there are none or too
+    many. It orders the frames of one folder but does not identify a frame."""
+    return F.try_to_number(
+        F.nullif(F.regexp_extract(path, r"(\d{1,18})\.bin$", 1), F.lit("")), F.lit("999999999999999999")
+    ).cast("long")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
+    """Use the folder that the cluster names in spark.checkpoint.dir. There is no other choice: executors
+    do not see a temporary folder of the driver."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessgrid-checkpoint-"))
+    if not named:
+        raise ValueError("numbering by sorted path needs spark.checkpoint.dir; or use numbering='path'")
+    context.setCheckpointDir(named)
 
 
 def path_ranks(paths: DataFrame) -> DataFrame:
@@ -79,7 +91,9 @@ def path_ranks(paths: DataFrame) -> DataFrame:
 def read_scans(spark: SparkSession, path: str, numbering: str = "rank") -> DataFrame:
     """Points of every `*.bin` file under `path`; an error if there is none.
 
-    `numbering="rank"` numbers frames by sorted path; `"name"` takes the digits that end the file name.
+    `numbering="rank"` numbers frames 0 up by sorted path; the numbers are joined to the files, one row
+    each, before any is parsed. `numbering="path"` takes an id from the path and shuffles nothing.
+    `number` holds the digits that end the file name.
     """
     files = (
         spark.read.format("binaryFile")
@@ -89,12 +103,12 @@ def read_scans(spark: SparkSession, path: str, numbering: str = "rank") -> DataF
     )
     if files.select("path").isEmpty():
         raise FileNotFoundError(f"no .bin scans under {path}")
-    rows = parse_scans(files)
-    if numbering == "name":
-        numbered = rows.withColumn("frame_id", frame_number(F.col("path")))
+    if numbering == "path":
+        numbered = files.withColumn("frame_id", path_id(F.col("path")))
     elif numbering == "rank":
-        # One row per file. A scan fits a file, so no path holds an unbounded share of the points.
-        numbered = rows.join(path_ranks(files), "path")
+        numbered = files.select("path", "content").join(path_ranks(files), "path")
     else:
         raise ValueError(f"unknown numbering {numbering!r}")
-    return numbered.select("frame_id", "point_idx", "x", "y", "z", "intensity", "path")
+    return parse_scans(numbered).select(
+        "frame_id", "point_idx", "x", "y", "z", "intensity", "path", frame_number(F.col("path")).alias("number")
+    )

@@ -1,8 +1,9 @@
-"""Continuous grid building: every arriving file holds whole frames, and each micro-batch runs the batch
-operators on them.
+"""Continuous grid building: each micro-batch runs the batch operators on the frames it brings.
 
 Row-based windows are not defined on streaming DataFrames, so the operators run inside foreachBatch. Each
-batch replaces its own folder, which makes a replay after a failure harmless.
+batch replaces its own folder, which makes a replay after a failure harmless. A frame whose points come
+in several files may arrive in several batches: given the source as a table, every batch rebuilds its
+frames from all of their points so far, and `latest` reads the last version of each frame.
 """
 
 from __future__ import annotations
@@ -13,22 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tessgrid.functions.wire import link_budget
 from tessgrid.operators.decimate import decimate, decimate_asof
 from tessgrid.operators.grid import adaptive_grid
 from tessgrid.operators.ordered import salted_join
-from tessgrid.operators.telemetry import settings_asof
+from tessgrid.operators.stats import summarise
+from tessgrid.operators.telemetry import SETTINGS, settings_asof
 from tessgrid.params import GridParams
 from tessgrid.sources.frames import pack_frames
-from tessgrid.sources.scans import frame_number, parse_scans
+from tessgrid.sources.scans import frame_number, parse_scans, path_id
 from tessgrid.sources.sinks import write_batch
 
 POINTS_SCHEMA = (
     "frame_id LONG, point_idx LONG, x DOUBLE, y DOUBLE, z DOUBLE, cls INT, conf DOUBLE, source STRING"
 )
-FRAME_SETTINGS = (
-    "risk_adaptive", "conf_threshold", "hazard_factor", "link_tier", "preserve_risk_on_link",
-)
-
 
 def stream_points(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
     """Labelled points from Parquet files as they arrive."""
@@ -38,7 +37,7 @@ def stream_points(spark: SparkSession, path: str, files_per_batch: int = 64) ->
 
 
 def stream_scans(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
-    """Raw scans as they arrive, numbered by the digits that end the file name."""
+    """Raw scans as they arrive, identified by their path; `number` is the digits that end the name."""
     files = (
         spark.readStream.format("binaryFile")
         .schema("path STRING, modificationTime TIMESTAMP, length LONG, content BINARY")
@@ -46,8 +45,8 @@ def stream_scans(spark: SparkSession, path: str, files_per_batch: int = 64) -> D
         .option("maxFilesPerTrigger", files_per_batch)
         .load(path)
     )
-    return parse_scans(files).select(
-        frame_number(F.col("path")).alias("frame_id"), "point_idx", "x", "y", "z", "intensity"
+    return parse_scans(files.withColumn("frame_id", path_id(F.col("path")))).select(
+        "frame_id", "point_idx", "x", "y", "z", "intensity", frame_number(F.col("path")).alias("number")
     )
 
 
@@ -67,8 +66,10 @@ def settings_of_frames(frames: DataFrame, commands: DataFrame, params: GridParam
         "conf_threshold": params.conf_threshold,
         "hazard_factor": params.hazard_factor,
         "preserve_risk_on_link": 1.0,
+        "compress": 1.0,
+        "hz": params.target_hz,
     }
-    held = settings_asof(log, FRAME_SETTINGS, known)
+    held = settings_asof(log, SETTINGS, known)
     return held.select(
         F.shiftright("seq", 1).alias("frame_id"),
         (F.col("risk_adaptive") != 0).alias("set_risk_adaptive"),
@@ -76,6 +77,8 @@ def settings_of_frames(frames: DataFrame, commands: DataFrame, params: GridParam
         F.col("hazard_factor").alias("set_hazard_factor"),
         F.col("link_tier").cast("int").alias("link_tier"),
         (F.col("preserve_risk_on_link") != 0).alias("preserve_risk"),
+        (F.col("compress") != 0).alias("compress"),
+        "hz",
     )
 
 
@@ -84,21 +87,53 @@ def build_cells(
     params: GridParams = GridParams(),
     link_tier: int | None = None,
     preserve_risk: bool = True,
-    commands: DataFrame | None = None,
-) -> DataFrame:
-    """Cells of a batch, under fixed settings or those that `commands` put in force at each frame."""
-    if commands is None:
+    held: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Cells of a batch as built and as sent over the link, under fixed settings or those held at each
+    frame (`settings_of_frames`)."""
+    if held is None:
         cells = adaptive_grid(points, params, keep_tile=True)
-        if link_tier is None:
-            return cells.drop("tile")
-        return decimate(cells, link_tier, preserve_risk, params)
-    held = settings_of_frames(points.select("frame_id").distinct(), commands, params)
+        full = cells.drop("tile")
+        return full, full if link_tier is None else decimate(cells, link_tier, preserve_risk, params)
     risk_columns = ["set_risk_adaptive", "set_conf_threshold", "set_hazard_factor"]
     set_points = salted_join(
         points, held.select("frame_id", *risk_columns), ["frame_id"], F.xxhash64("point_idx")
     )
     overrides = {name.removeprefix("set_"): name for name in risk_columns}
-    return decimate_asof(adaptive_grid(set_points, params, overrides), held, params)
+    full = adaptive_grid(set_points, params, overrides)
+    return full, decimate_asof(full, held, params)
+
+
+def frame_tails(
+    full: DataFrame, link: DataFrame, params: GridParams, held: DataFrame | None = None,
+    rates: DataFrame | None = None,
+) -> DataFrame:
+    """frame_id, tail, compress, hz: what is sent beside a frame's cells. The tail is JSON: figures of the
+    cells as built (`onboard`) and as sent (`link`), the frame rate, and the rolling figures of the frame
+    if `rates` (`rolling_stats`, one stream) has them. The rate of the link is the rolling one if known."""
+    figures = ["n_points", "n_cells", "cell_size_min_m", "cell_size_max_m", "risk_driven_cells", "hazard_cells"]
+
+    def side(cells: DataFrame, name: str) -> DataFrame:
+        return summarise(cells, params).select("frame_id", F.struct(*figures).alias(name))
+
+    told = side(full, "onboard").join(side(link, "link"), "frame_id", "left")
+    if held is not None:
+        told = told.join(held.select("frame_id", "compress", "hz"), "frame_id", "left")
+    else:
+        told = told.withColumns({"compress": F.lit(True), "hz": F.lit(params.target_hz)})
+    parts = ["onboard", "link", "hz"]
+    if rates is not None:
+        shown = ["fps", "frame_ms_mean", "frame_ms_p95", "wire_bytes_mean", "samples"]
+        told = told.join(rates.select("frame_id", F.struct(*shown).alias("rolling")), "frame_id", "left")
+        told = told.withColumn("hz", F.coalesce("rolling.fps", "hz"))
+        parts.append("rolling")
+    return told.select("frame_id", F.to_json(F.struct(*parts)).alias("tail"), "compress", "hz")
+
+
+def packed_link(full: DataFrame, link: DataFrame, tails: DataFrame, params: GridParams) -> DataFrame:
+    """Packed frames with their tails and what they cost on a link at their rate."""
+    packed = pack_frames(link, tails.select("frame_id", "tail", "compress"), params=params)
+    return link_budget(packed.join(tails.select("frame_id", "hz"), "frame_id", "left"), F.col("hz"))
 
 
 def start_grid_stream(
@@ -111,18 +146,32 @@ def start_grid_stream(
     commands: Callable[[], DataFrame] | None = None,
     pack: bool = False,
     once: bool = False,
+    source: Callable[[], DataFrame] | None = None,
+    rates: Callable[[], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Build, coarsen and (with `pack`) pack every batch of `points` into `out`.
 
-    `commands` is called per batch, so a command table that grows is read as it then is. `once`
-    processes what is there and stops.
+    `commands`, `source` (all points there are) and `rates` are called per batch, so tables that grow are
+    read as they then are. Without `source`, a frame must not be split over batches. `once` processes what
+    is there and stops.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        cells = build_cells(
-            batch, params, link_tier, preserve_risk, commands() if commands is not None else None
-        )
-        write_batch(pack_frames(cells, params=params) if pack else cells, out, batch_id)
+        frames = batch.select("frame_id").distinct()
+        whole = batch if source is None else source().join(frames, "frame_id", "left_semi")
+        held = settings_of_frames(frames, commands(), params) if commands is not None else None
+        full, link = build_cells(whole, params, link_tier, preserve_risk, held)
+        if pack:
+            tails = frame_tails(full, link, params, held, rates() if rates is not None else None)
+            link = packed_link(full, link, tails, params)
+        write_batch(link, out, batch_id)
 
     writer = points.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def latest(spark: SparkSession, out: str) -> DataFrame:
+    """What a stream wrote, each frame in its last version."""
+    rows = spark.read.parquet(out)
+    last = rows.groupBy("frame_id").agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(last, ["frame_id", "batch_id"], "left_semi")

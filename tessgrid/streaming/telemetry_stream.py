@@ -1,54 +1,46 @@
-"""Rolling frame timings on a stream: the last frames of every stream id are its state."""
+"""Rolling frame timings on a stream: the batch operator over what is remembered and what arrives.
 
-from __future__ import annotations
+The last frames of every stream id are kept as a table, a new version per batch. A batch reads the
+version before its own, so a replay gives the same figures and replaces the same folders.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-MEASURES = ("frame_ms", "perception_ms", "grid_ms", "codec_ms", "wire_bytes")
-_STATE = ", ".join(f"{name} ARRAY<DOUBLE>" for name in MEASURES)
-_OUT = (
-    "stream_id LONG, frame_id LONG, fps DOUBLE, frame_ms_mean DOUBLE, frame_ms_p95 DOUBLE, "
-    "perception_ms_mean DOUBLE, grid_ms_mean DOUBLE, codec_ms_mean DOUBLE, wire_bytes_mean LONG, "
-    "samples LONG"
-)
-
-
-def _figures(past: list[list[float]], digits: int) -> list:
-    """Figures over the frames before this one; all null for the first."""
-    frame_ms = past[0]
-    if not frame_ms:
-        return [None] * 7 + [0]
-    mean, *others, wire = (float(np.mean(values)) for values in past)
-    mean = round(mean, digits)
-    p95 = round(float(np.percentile(frame_ms, 95)), digits)
-    fps = round(1000.0 / mean, digits) if mean else None
-    return [fps, mean, p95, *(round(v, digits) for v in others), int(wire), len(frame_ms)]
-
-
-def rolling_stream(timings: DataFrame, window: int = 60, digits: int = 2) -> DataFrame:
-    """Rolling figures for each frame of a streaming `timings`, the frame itself excluded. State per
-    stream id is `window` values per measure."""
-
-    def update(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        past = [list(values) for values in state.get] if state.exists else [[] for _ in MEASURES]
-        arrived = pd.concat(list(batches)).sort_values("frame_id")
-        rows = []
-        for frame in arrived.itertuples(index=False):
-            rows.append([key[0], frame.frame_id, *_figures(past, digits)])
-            for values, name in zip(past, MEASURES):
-                values.append(float(getattr(frame, name)))
-                del values[:-window]
-        state.update(tuple(past))
-        names = [part.split(" ")[0] for part in _OUT.split(", ")]
-        yield pd.DataFrame(rows, columns=names).astype({"wire_bytes_mean": "Int64"})
-
-    return timings.groupBy("stream_id").applyInPandasWithState(
-        update, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout
-    )
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tessgrid.operators.ordered import ranked
+from tessgrid.operators.telemetry import rolling_stats
+from tessgrid.sources.sinks import write_batch
+
+
+def last_frames(timings: DataFrame, n: int) -> DataFrame:
+    """The last `n` frames of every stream id. Ranks count from the end, by blocks of rows."""
+    back = timings.withColumn("__back", -F.col("frame_id"))
+    return ranked(back, ["stream_id"], "__back", name="__age").where(F.col("__age") < n).drop("__back", "__age")
+
+
+def start_rolling_stream(
+    timings: DataFrame, out: str, state: str, checkpoint: str, window: int = 60, digits: int = 2, once: bool = False
+) -> StreamingQuery:
+    """Rolling figures for each frame of a streaming `timings`, the frame itself excluded, into `out`.
+
+    `state` is a folder for the remembered frames, at most `window` per stream id. Frames of a stream must
+    arrive in order across batches; within a batch they may come in any order. Nulls in a measure are
+    skipped, as in a batch.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = batch
+        if batch_id > 0:
+            held = spark.read.schema(batch.schema).parquet(f"{state}/batch_id={batch_id - 1}")
+            known = batch.unionByName(held)
+        new = batch.select("stream_id", "frame_id")
+        rolled = rolling_stats(known, window, digits, history=False)
+        write_batch(rolled.join(new, ["stream_id", "frame_id"], "left_semi"), out, batch_id)
+        write_batch(last_frames(known, window), state, batch_id)
+
+    writer = timings.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()

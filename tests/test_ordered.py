@@ -16,25 +16,37 @@ def log(spark):
     return rows, spark.createDataFrame(rows, "k LONG, at LONG, v DOUBLE")
 
 
-@pytest.mark.parametrize("bits", [0, 3, 8, 20])
-def test_rank_is_dense_whatever_the_block(log, bits):
+@pytest.mark.parametrize("rows_per_block", [1, 3, 8, 10**6])
+def test_rank_is_dense_whatever_the_block(log, rows_per_block):
     rows, df = log
-    for r in ordered.ranked(df, ["k"], "at", bits, "n").collect():
+    for r in ordered.ranked(df, ["k"], "at", rows_per_block, "n").collect():
         assert r.n == sum(1 for k, at, _ in rows if k == r.k and at < r.at)
 
 
-@pytest.mark.parametrize("bits", [0, 3, 8, 20])
-def test_last_value_carries_across_blocks(log, bits):
+@pytest.mark.parametrize("rows_per_block", [1, 3, 8, 10**6])
+def test_last_value_carries_across_blocks(log, rows_per_block):
     rows, df = log
     held = {}
     for k, at, v in sorted(rows, key=lambda r: (r[0], r[1])):
         held[k, at] = v if v is not None else next(
             (w for j, b, w in sorted(rows, key=lambda r: -r[1]) if j == k and b < at and w is not None), None
         )
-    for r in ordered.carried_forward(df, ["k"], "at", {"last": F.col("v")}, bits).collect():
+    for r in ordered.carried_forward(df, ["k"], "at", {"last": F.col("v")}, rows_per_block).collect():
         assert r["last"] == held[r.k, r["at"]]
 
 
+def test_blocks_follow_row_counts_not_order_values(spark):
+    """One stream in microseconds holds most rows, another is dense: blocks stay near their row count."""
+    micros = spark.range(20_000).selectExpr("0L AS k", "id * 1000003L + id % 977 AS at")
+    dense = spark.range(500).selectExpr("1L AS k", "id AS at")
+    df = micros.unionByName(dense)
+    sizes = ordered._in_blocks(df, ["k"], "at", 256).groupBy("k", "__block").count()
+    got = {r.k: (r.n, r.most) for r in sizes.groupBy("k").agg(F.count("*").alias("n"), F.max("count").alias("most")).collect()}
+    assert got[0][0] <= 2 * 20_000 / 256 and got[0][1] <= 2 * 256 and got[1][1] <= 2 * 256
+    ranks = ordered.ranked(df, ["k"], "at", 256, "n").where("k = 0").selectExpr("n = at DIV 1000003 AS ok")
+    assert ranks.where("ok").count() == 20_000
+
+
 def timings(spark, n, streams=2):
     rng = random.Random(5)
     rows = [

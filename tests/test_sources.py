@@ -29,9 +29,16 @@ def test_scans_are_numbered_by_sorted_path(spark, scan_dir):
     assert [r.x for r in mine] == raw[:, 0].astype(float).tolist()
 
 
-def test_scans_numbered_by_name(spark, scan_dir):
-    got = scans.read_scans(spark, str(scan_dir), "name").select("frame_id").distinct().collect()
-    assert {r.frame_id for r in got} == {7, 12, 3}
+def test_scans_identified_by_path(spark, tmp_path):
+    for name in ("drive_a/000001.bin", "drive_b/000001.bin", "drive_b/last.bin"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        np.ones((50, 4), "<f4").tofile(tmp_path / name)
+    points = scans.read_scans(spark, str(tmp_path), "path")
+    assert "Exchange" not in points._jdf.queryExecution().executedPlan().toString()
+    got = points.groupBy("frame_id", "number").count().collect()
+    assert sorted((str(r.number), r["count"]) for r in got) == [("1", 50), ("1", 50), ("None", 50)]
+    ranked = scans.read_scans(spark, str(tmp_path)).groupBy("frame_id").count().collect()
+    assert sorted((r.frame_id, r["count"]) for r in ranked) == [(0, 50), (1, 50), (2, 50)]
 
 
 def test_no_scans_is_an_error(spark, tmp_path):

@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -18,8 +20,8 @@ def frame_files(spark, tmp_path_factory):
     return str(folder)
 
 
-def run(spark, source, out, tmp, **options):
-    query = grid_stream.start_grid_stream(source, out, str(tmp / "checkpoint"), P, once=True, **options)
+def run(spark, arriving, out, tmp, **options):
+    query = grid_stream.start_grid_stream(arriving, out, str(tmp / "checkpoint"), P, once=True, **options)
     query.awaitTermination(240)
     assert query.exception() is None
     return spark.read.parquet(out)
@@ -42,9 +44,17 @@ def test_scan_stream_with_a_model_packs_frames(spark, tmp_path):
         rng.uniform(-40, 40, (50, 4)).astype("<f4").tofile(folder / f"{i:06d}.bin")
     raw = grid_stream.stream_scans(spark, str(folder), files_per_batch=1)
     labelled = raw.withColumn("cls", F.lit(1)).withColumn("conf", F.lit(0.9))
-    packed = run(spark, labelled, str(tmp_path / "out"), tmp_path, pack=True)
-    assert {r.frame_id for r in packed.collect()} == {0, 1, 2}
-    batch = scans.read_scans(spark, str(folder), "name").withColumn("cls", F.lit(1)).withColumn("conf", F.lit(0.9))
+    labelled = labelled.withColumn("frame_id", F.col("number"))  # one folder: numbers identify frames
+    commands = spark.createDataFrame([(1, "compress", 0.0), (2, "hz", 4.0)], "seq LONG, setting STRING, value DOUBLE")
+    packed = run(spark, labelled, str(tmp_path / "out"), tmp_path, pack=True, commands=lambda: commands)
+    got = {r.frame_id: r for r in packed.collect()}
+    assert set(got) == {0, 1, 2}
+    assert [got[i].wire_bytes < got[i].raw_bytes for i in range(3)] == [True, False, False]
+    assert [got[i].hz for i in range(3)] == [10.0, 10.0, 4.0]
+    heads = {r.frame_id: json.loads(r.tail) for r in frames.frame_headers(packed).collect()}
+    assert all(heads[i]["link"]["n_cells"] == got[i].n_cells == heads[i]["onboard"]["n_cells"] for i in got)
+    assert got[2].kbps == round(got[2].wire_bytes * 32 / 1000, 1)
+    batch = scans.read_scans(spark, str(folder), "rank").withColumn("cls", F.lit(1)).withColumn("conf", F.lit(0.9))
     assert frames.unpack_frames(packed).count() == grid.adaptive_grid(batch, P).count()
 
 
@@ -67,6 +77,20 @@ def test_settings_in_force_per_frame(spark, frame_files, tmp_path):
     assert got.count() == want.count() and got.select(*shown).exceptAll(want.select(*shown)).isEmpty()
 
 
+def test_a_frame_in_two_files_is_rebuilt_whole(spark, tmp_path):
+    folder = str(tmp_path / "points")
+    rows = [(i % 2, i, *map(float, r[:3]), r[3], float(r[4]), "t") for i, r in enumerate(random_rows(300, 61))]
+    for part in (rows[:170], rows[170:]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    arriving = grid_stream.stream_points(spark, folder, files_per_batch=1)
+    out = str(tmp_path / "out")
+    run(spark, arriving, out, tmp_path, source=lambda: spark.read.parquet(folder))
+    got = grid_stream.latest(spark, out)
+    want = grid.adaptive_grid(spark.read.parquet(folder), P)
+    shown = ["frame_id", "code", "level", "cls", "driver", "n_points"]
+    assert got.count() == want.count() and got.select(*shown).exceptAll(want.select(*shown)).isEmpty()
+
+
 def test_rolling_stream_equals_batch(spark, tmp_path):
     from test_ordered import timings
 
@@ -75,12 +99,11 @@ def test_rolling_stream_equals_batch(spark, tmp_path):
     for low in (0, 30, 60):
         df.where(F.col("frame_id").between(7 * low, 7 * (low + 30) - 1)).coalesce(1).write.mode("append").parquet(folder)
     source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    query = (
-        telemetry_stream.rolling_stream(source).writeStream.format("memory").queryName("rolled").outputMode("append")
-        .option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
-    )
+    out, state, checkpoint = (str(tmp_path / n) for n in ("out", "state", "checkpoint"))
+    query = telemetry_stream.start_rolling_stream(source, out, state, checkpoint, once=True)
     query.awaitTermination(240)
+    assert query.exception() is None
     shown = ["stream_id", "frame_id", "fps", "frame_ms_mean", "frame_ms_p95", "wire_bytes_mean", "samples"]
-    got = spark.table("rolled").select(*shown).toPandas().sort_values(shown[:2], ignore_index=True)
+    got = spark.read.parquet(out).select(*shown).toPandas().sort_values(shown[:2], ignore_index=True)
     want = telemetry.rolling_stats(df, history=False).select(*shown).toPandas().sort_values(shown[:2], ignore_index=True)
-    pd.testing.assert_frame_equal(got, want, check_dtype=False, atol=0.011)
+    pd.testing.assert_frame_equal(got, want, check_exact=True)
