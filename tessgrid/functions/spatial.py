@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,17 +30,17 @@ def _even_bits(b: int) -> int:
 
 
 # Byte-wise lookups keep the generated code small; bit-by-bit expressions outgrow what the JVM compiles.
-# As NumPy arrays they become one literal each, not an expression of 256 parts.
-_SPREAD = np.array([_spread_byte(b) for b in range(256)], dtype=np.int64)
-_EVEN = np.array([_even_bits(b) for b in range(256)], dtype=np.int64)
+# As text a table is one call to the JVM, which folds it into one literal.
+_SPREAD = f"array({', '.join(f'{_spread_byte(b)}L' for b in range(256))})"
+_EVEN = f"array({', '.join(f'{_even_bits(b)}L' for b in range(256))})"
 
 
 def _byte(v: Column, i: int) -> Column:
     return F.shiftright(v, 8 * i).bitwiseAND(F.lit(255).cast("long")).cast("int")
 
 
-def _bytewise(v: Column, table: np.ndarray, n_bytes: int, out_bits: int) -> Column:
-    lookup = F.lit(table)
+def _bytewise(v: Column, table: str, n_bytes: int, out_bits: int) -> Column:
+    lookup = F.expr(table)
     zero = F.lit(0).cast("long")
     parts = [
         F.shiftleft(F.coalesce(F.get(lookup, _byte(v, i)), zero), out_bits * i) for i in range(n_bytes)
