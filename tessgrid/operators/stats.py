@@ -108,20 +108,22 @@ def level_counts(which: Column, params: GridParams) -> list[Column]:
 
 def median_size(params: GridParams) -> Column:
     """Median cell size from counts per level, null without rows. A cell has one of few sizes, so the
-    middle is found by running counts from the finest up, with no list of values."""
+    middle is found by running counts from the finest up, with no list of values. Array functions keep the
+    generated code small."""
     levels = range(params.max_depth, -1, -1)
-    total = sum(F.col(f"{LEVEL_COUNT}{n}") for n in levels)
+    counts = F.array(*[F.col(f"{LEVEL_COUNT}{n}") for n in levels])
+    sizes = F.expr(f"array({', '.join(repr(params.cell_size(n)) + 'D' for n in levels)})")
+    running = F.aggregate(
+        counts,
+        F.array().cast("array<bigint>"),
+        lambda sums, n: F.array_append(sums, F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0)) + n),
+    )
+    total = F.element_at(running, -1)
 
     def at(place: Column) -> Column:
-        found, seen = F.lit(None).cast("double"), F.lit(0)
-        steps = []
-        for n in levels:
-            seen = seen + F.col(f"{LEVEL_COUNT}{n}")
-            steps.append(F.when(seen > place, F.lit(params.cell_size(n))))
-        return F.coalesce(*steps, found)
-
-    middle = (at(F.floor((total - 1) / 2)) + at(F.floor(total / 2))) / 2
-    return F.when(total > 0, middle)
+        return F.get(sizes, F.size(F.filter(running, lambda n: n <= place)))
+
+    return F.when(total > 0, (at(F.floor((total - 1) / 2)) + at(F.floor(total / 2))) / 2)
 
 
 def summarise(cells: DataFrame, params: GridParams, keys: tuple[str, ...] = FRAME) -> DataFrame:
