@@ -13,8 +13,8 @@ no single task its whole size:
   parameters. A tile therefore gathers at most 1,024 rows for every 2**run_bits points of its frame. Runs are shuffled by (frame, tile) once; neighbours across runs, node maxima
   of every level and the cell aggregates are all computed in that one partitioning and one sort order.
 * the class change across a tile edge needs the last class of the tile before and the first of the tile
-  after. Both come from a per-tile summary built with map-side aggregation, at most 4**tile_level rows
-  per frame.
+  after. Both come from a per-tile summary of the runs, read from the same shuffle; at most
+  4**tile_level rows per frame.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from tessgrid.params import GridParams
 
 TILE = ["frame_id", "tile"]
 RUN = ["frame_id", "code", "run"]
+TALLIES = ["n", "sum_z", "min_z", "max_z", "sum_conf"]
 CELL_COLUMNS = [
     "frame_id", "code", "level", "x", "y", "z", "z_min", "z_max", "cls", "conf", "driver", "n_points",
 ]
@@ -154,17 +155,29 @@ def _class_runs(keyed: DataFrame, params: list[GridParams], by_run: bool) -> Dat
     )
 
 
-def tile_edges(keyed: DataFrame, params: GridParams) -> DataFrame:
-    """Per tile, the last class of the occupied tile before it and the first class of the one after."""
+def by_tile(runs: DataFrame) -> DataFrame:
+    """Runs gathered by tile, once: the tile summary and the neighbour windows read the same shuffle.
+
+    A shuffle is shared only by readers that want the same columns, so `head`, which both need, is made
+    to depend on every column. The comparison holds for any hash.
+    """
+    whole = F.xxhash64(*runs.columns) >= F.lit(-(2**63))
+    return runs.repartition(*TILE).withColumn("head", F.col("head") & whole)
+
+
+def tile_edges(runs: DataFrame, params: GridParams) -> DataFrame:
+    """Per tile, the last class of the occupied tile before it and the first class of the one after.
+    `runs` comes from `by_tile` and has head, first_cls and last_cls."""
     spare = 63 - 2 * (params.max_depth - params.tile_level)
     in_tile = F.col("code") - F.shiftleft("tile", 63 - spare)
-    # One LONG for (code in tile, point_idx) keeps this a hash aggregate.
+    # One LONG for (code in tile, run) keeps this a hash aggregate.
+    run_bits = spare - params.run_bits
     at = F.when(
-        F.col("point_idx").between(0, 2**spare - 1),
-        F.shiftleft(in_tile, spare).bitwiseOR(F.col("point_idx")),
+        F.col("run").between(0, 2**run_bits - 1), F.shiftleft(in_tile, run_bits).bitwiseOR(F.col("run"))
     ).otherwise(F.raise_error(F.lit(f"point_idx must be in 0..2**{spare} - 1")).cast("long"))
-    ends = keyed.groupBy(*TILE).agg(
-        F.min_by("cls", at).alias("opens"), F.max_by("cls", at).alias("closes")
+    ends = runs.groupBy(*TILE).agg(
+        F.min_by("first_cls", F.when(F.col("head"), at)).alias("opens"),
+        F.max_by("last_cls", F.when(F.col("head"), at)).alias("closes"),
     )
     along = Window.partitionBy("frame_id").orderBy("tile")
     return ends.select(
@@ -223,9 +236,15 @@ def leaf_runs(
     p = scenarios[0]
     keyed = keyed_points(points, scenarios, overrides)
     risky = any(s.risk_adaptive for s in scenarios) or "risk_adaptive" in (overrides or {})
-    runs, nodes = _nested_nodes(_class_runs(keyed, scenarios, by_run or risky), p)
+    runs = _class_runs(keyed, scenarios, by_run or risky)
+    if by_run:
+        runs = runs.drop(*TALLIES)
+    if risky:
+        runs = by_tile(runs)
+        edges = tile_edges(runs, p)
+    runs, nodes = _nested_nodes(runs, p)
     if risky:
-        runs = _with_neighbour_classes(runs, tile_edges(keyed, p), nodes)
+        runs = _with_neighbour_classes(runs, edges, nodes)
         enters = _differs(F.col("run_before"), F.col("cls"))
         leaves = _differs(F.col("run_after"), F.col("cls"))
         runs = runs.withColumns(
@@ -365,8 +384,9 @@ def _flag_edges(keyed: DataFrame, params: GridParams) -> DataFrame:
         F.min_by("cls", "point_idx").alias("first_cls"),
         F.max_by("cls", "point_idx").alias("last_cls"),
     )
-    ends, nodes = _nested_nodes(ends.withColumn("head", F.lit(True)), params)
-    around = _with_neighbour_classes(ends, tile_edges(keyed, params), nodes).select(
+    gathered = by_tile(ends.withColumn("head", F.lit(True)))
+    ends, nodes = _nested_nodes(gathered, params)
+    around = _with_neighbour_classes(ends, tile_edges(gathered, params), nodes).select(
         *RUN, "run_before", "run_after"
     )
     return (
