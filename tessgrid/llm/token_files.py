@@ -29,6 +29,8 @@ BLOCK, KEPT_PERCENT = 128, 90
 #: Ids after which a segment ends, at the next end of a document.
 SEGMENT_IDS = 1 << 18
 END_ID = 0
+#: Buckets whose starts are broadcast; more of them are joined by shuffle.
+BROADCAST_BUCKETS = 1_000_000
 
 SEGMENT = (
     "bucket int, seq long, offset long, n_ids long, doc_ids binary, lengths binary, "
@@ -267,5 +269,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 ["doc_id", "start", "n_tokens", "ids"],
             )
 
+    # One row of two numbers per bucket. A join that shuffled the segments would move all ids once more.
+    if totals.count() <= BROADCAST_BUCKETS:
+        starts = F.broadcast(starts)
     placed = table.join(starts, F.col("bucket") == F.col("_bucket"))
     return placed.select((F.col("base") + F.col("offset")).alias("first"), "n_ids", *parts).mapInArrow(decoded, ROWS)
