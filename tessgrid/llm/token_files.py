@@ -116,6 +116,16 @@ def unpack(parts: dict[str, bytes], n_ids: int, first: int = 0, last: int | None
     return out.reshape(-1)[: max(0, n_ids - first * BLOCK)]
 
 
+class Stretches(Memo):
+    """Remembers stretches. A word with a point or comma after it is looked up without, and not kept."""
+
+    def __missing__(self, key):
+        end = self.ends.get(key[-1:])
+        if end is not None and key[:-1].isalpha():
+            return self[key[:-1]] + end
+        return super().__missing__(key)
+
+
 class ChunkEncoder:
     """The library's encoding of whole texts, remembered by the stretch between blanks.
 
@@ -135,8 +145,8 @@ class ChunkEncoder:
         self.library.no_truncation()
         self.type = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
         self.cut = re.compile(r"(?<=\S)(?= \S)")
-        self.heads = Memo(lambda s: self._checked(s, s))
-        self.tails = Memo(lambda s: self._checked(" " + s, s))
+        self.heads = Stretches(lambda s: self._checked(s, s))
+        self.tails = Stretches(lambda s: self._checked(" " + s, s))
         self.pieces = Memo(self._encode)
         self.feed = self._encode("\n")
         self.merge = self.library.model.tokenize
@@ -144,7 +154,7 @@ class ChunkEncoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.written = {b: chr(256 + i) for i, b in enumerate(rest)} | {b: chr(b) for b in plain}
-        self.ends = {mark: self._encode(mark) for mark in ".,"}
+        self.heads.ends = self.tails.ends = {mark: self._encode(mark) for mark in ".,"}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.type).tobytes()
@@ -153,9 +163,6 @@ class ChunkEncoder:
         if bare.isalpha():
             spelled = text.encode().decode("latin-1").translate(self.written)
             return np.array([t.id for t in self.merge(spelled)], self.type).tobytes()
-        if bare[-1:] in self.ends and bare[:-1].isalpha():
-            known = self.heads if text is bare else self.tails
-            return known[bare[:-1]] + self.ends[bare[-1]]
         return self._encode(text) if bare and bare == bare.strip() else None
 
     def encode(self, text: str) -> bytes:

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 
 #: Rows of a batch that are held as Python objects at a time, and entries a memo may hold.
-ROWS, MEMO_ENTRIES = 512, 350_000
+ROWS, MEMO_ENTRIES = 512, 600_000
 
 
 def worker_wide(name: str, make: Callable[[], object]) -> object:
@@ -28,16 +28,20 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.R
 
 
 class Memo(dict):
-    """Remembers what `find` gave for short keys; starts anew when full."""
+    """Remembers what `find` gave for short keys, in two generations: when the young one is full it
+    becomes the old one, from which what is asked for again comes back."""
 
     def __init__(self, find: Callable, longest: int = 64):
         super().__init__()
-        self.find, self.longest = find, longest
+        self.find, self.longest, self.old = find, longest, {}
 
     def __missing__(self, key):
-        value = self.find(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.find(key)
         if len(key) <= self.longest:
-            if len(self) >= MEMO_ENTRIES:
+            if 2 * len(self) >= MEMO_ENTRIES:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
