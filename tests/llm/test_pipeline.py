@@ -30,7 +30,7 @@ def test_one_query_per_operator(n):
 
 def test_sql_is_registered():
     assert {n for n in oracle_sql() if n.startswith("op")} == {
-        "op1_exact_dedup", "op4_quotation_linking", "op7_pivot_topk", "op9_mixing",
+        "op1_exact_dedup", "op4_quotation_linking", "op7_pivot_topk", "op8_ngram_jaccard_join", "op9_mixing",
     }
 
 
