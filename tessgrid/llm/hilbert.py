@@ -20,7 +20,7 @@ from tessgrid.llm.common import stored, whole_text
 
 #: Bits per dimension; three dimensions give a curve of 2**24 cells.
 DIM_BITS = 8
-COARSE_BITS, SPLIT_BITS = 12, 8
+COARSE_BITS, SPLIT_BITS = 16, 8
 N_SHARDS = 24
 
 
