@@ -362,7 +362,8 @@ ORACLES["category_coverage"] = f"""WITH {PTS}, {_BRIDGE}, wanted AS (SELECT * FR
   SELECT 'hazards', unnest([40, 41, 42, 43, 44]))
 SELECT category, count(*) AS n_points, count(DISTINCT frame_id) AS n_frames
 FROM pts p JOIN wanted w ON p.cls = w.cls GROUP BY category"""
-ORACLES["missing_categories"] = f"""WITH {PTS}, {_BRIDGE}, seen AS (SELECT DISTINCT frame_id, cls FROM pts)
+ORACLES["missing_categories"] = f"""WITH {PTS}, {_BRIDGE}, seen AS (
+  SELECT DISTINCT frame_id * 4096 + (point_idx >> 41) AS frame_id, cls FROM pts)
 SELECT DISTINCT t.frame_id, b.category FROM seen t, bridge b WHERE NOT EXISTS (
   SELECT 1 FROM seen s JOIN bridge c ON s.cls = c.cls
   WHERE s.frame_id = t.frame_id AND c.category = b.category)"""

@@ -177,22 +177,34 @@ def test_morton_against_a_bit_loop(spark):
         assert r.code == reference_grid.interleave(r.ix, r.iy) and (r.bx, r.by) == (r.ix, r.iy)
 
 
-def test_plan_moves_points_once_and_runs_once(spark, small):
-    """Points are shuffled by run, runs by tile, and the tile summary twice (small); one sort by tile
-    serves the neighbour window, all node maxima and the aggregates."""
-    from tessgrid.plans.inputs import points
+def final_plan(df) -> str:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
-    with_hash_joins = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = grid.adaptive_grid(points(spark, small))._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_hash_joins)
-    assert plan.count("Exchange hashpartitioning") == 5
-    assert "SinglePartition" not in plan and "CartesianProduct" not in plan
+
+def test_points_are_read_and_moved_once(spark, small):
+    """Points are shuffled by run, runs by tile, and the tile summary twice (small). The summary and the
+    cells read the same shuffle by tile, whatever columns a query goes on to use."""
+    from tessgrid.plans.queries import QUERIES
+
+    for name in ("adaptive_grid", "frame_stats", "ab_compare"):
+        plan = final_plan(QUERIES[name](spark, small))
+        assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") == 1, name
+        assert "SinglePartition" not in plan and "CartesianProduct" not in plan
+    plan = final_plan(QUERIES["adaptive_grid"](spark, small))
+    # the reused shuffle is printed with what it reads
+    assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") <= 5
     assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
 
 
+def test_medians_and_checks_need_no_sort(spark, small):
+    from tessgrid.plans.queries import QUERIES
+
+    for name in ("ab_compare", "tier_matrix", "check_points"):
+        plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan, name
+
+
 def test_generated_code_stays_small_enough_to_be_compiled(spark, small):
     """The JVM never compiles a method of more than 8,000 bytes; one such method makes a scan ten times
     slower."""

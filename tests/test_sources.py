@@ -67,7 +67,7 @@ def exports(spark, tmp_path_factory):
         folder.mkdir()
     (full / "export.json").write_text(json.dumps({
         "generated": "then", "edge_board": "", "data_caveats": ["few scans"],
-        "checks": {"P4.2": {"text": "chart", "done": True}, "P6.3": {"text": "latency", "done": False}, "P4.9": {"text": "x"}},
+        "checks": {"A1.1": {"text": "tiles cover the root", "done": True}, "B2.4": {"text": "sizes stay in range", "done": False}, "A1.7": {"text": "counts add up"}},
         "ledger": [
             {"metric": "m_latency_ms", "value": 9.0, "tag": "edge", "command": "first", "hardware": "h1"},
             {"metric": "m_fps", "value": 11.0, "tag": "edge", "command": "second"},
@@ -114,7 +114,7 @@ def test_evidence_reports(exports):
     table = evidence.per_class_report(runs[files.CLASS_RUNS]).first()
     assert (table.label, table.category, table.constituents) == ("run", "walls", "wall 5, fence 7, gate 8")
     checks = evidence.checklist_rollup(files.checks_of(read)).collect()
-    assert {r.phase: (r.done, r.total) for r in checks} == {"P4": (1, 2), "P6": (0, 1), None: (1, 3)}
+    assert {r.phase: (r.done, r.total) for r in checks} == {"A1": (1, 2), "B2": (0, 1), None: (1, 3)}
     assert [r.key for r in evidence.named_baselines(read).collect()] == ["one"]
     assert {r.board for r in evidence.board(read).collect()} == {evidence.DEFAULT_BOARD}
 
