@@ -7,7 +7,8 @@ documents it was not fitted on.
 N-grams are taken over token shapes, not over words: letters of one case collapse to one sign, other
 characters stay, a token that repeats the one before it is marked. An indicator says that a shape or a
 pair of shapes occurs, or makes up at least a given share of the document. So the model reads layout,
-symbols, capitals and repetition in any language, and needs few labels.
+symbols, capitals and repetition in any language, and needs few labels. A long token, such as prose of a
+script without blanks, is read to its end as a row of short pieces, each of which counts as a token.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import pairwise
+from itertools import chain, pairwise
 from math import exp
 
 import numpy as np
@@ -36,7 +37,8 @@ FEATURES = 1 << 18
 SHARES = (0.02, 0.1, 0.3)
 SMOOTHING, COST, ROUNDS, CALIBRATION_PART = 1.0, 0.1, 20, 4
 THRESHOLD = 0.7
-LONGEST_SHAPE = 12
+#: Tokens with a longer shape, or of more characters, are read as several.
+LONGEST_SHAPE, LONGEST_TOKEN = 12, 64
 
 SCORED = "doc_id long, score double"
 
@@ -65,25 +67,53 @@ def _letters(run: str) -> str:
 def shape(token: str) -> str:
     for pattern, put in _RUNS:
         token = pattern.sub(put, token)
-    return token[:LONGEST_SHAPE]
+    return token
+
+
+#: A long run counts once per 12 characters, so that its length is seen.
+_UNITS = re.compile(r"(?P<word>[^\W\d_]{1,12}|\d{1,12})|(.)\2{3,11}|.", re.S)
+
+
+def pieces(token: str) -> list[str]:
+    """The token in parts that together are the token: cut where a word follows other characters, and
+    before a shape would grow beyond LONGEST_SHAPE."""
+    found, start, size, in_word = [], 0, 0, True
+    for unit in _UNITS.finditer(token):
+        word, more = unit["word"] is not None, len(shape(unit.group()))
+        if size and (size + more > LONGEST_SHAPE or (word and not in_word)):
+            found.append(token[start : unit.start()])
+            start, size = unit.start(), 0
+        size, in_word = size + more, word
+    return [*found, token[start:]]
+
+
+def shapes(token: str) -> tuple[str, ...]:
+    """The shape of a token, or of each piece of a long one; a piece that repeats the one before is marked."""
+    if len(token) <= LONGEST_TOKEN:
+        whole = shape(token)
+        if len(whole) <= LONGEST_SHAPE:
+            return (whole,)
+    parts = pieces(token)
+    return tuple("=" * (i > 0 and part == parts[i - 1]) + shape(part) for i, part in enumerate(parts))
 
 
 class Indicators:
     """Feature ids of a text, below FEATURES."""
 
     def __init__(self) -> None:
-        self.shapes = Memo(shape)
+        self.shapes = Memo(shapes)
         self.ids = Memo(lambda key: xxhash.xxh3_64_intdigest(repr(key)) % FEATURES)
 
     def of(self, text: str) -> np.ndarray:
         tokens = text.split()
-        shapes = list(map(self.shapes.__getitem__, tokens))
+        found = list(map(self.shapes.__getitem__, tokens))
         for i in range(len(tokens) - 1, 0, -1):
             if tokens[i] == tokens[i - 1]:
-                shapes[i] = "=" + shapes[i]
-        grams = Counter(shapes)
-        grams.update(pairwise(shapes))
-        ids, total = [], len(tokens)
+                found[i] = tuple("=" + s for s in found[i])
+        told = list(chain.from_iterable(found))
+        grams = Counter(told)
+        grams.update(pairwise(told))
+        ids, total = [], len(told)
         for gram, n in grams.items():
             ids.append(self.ids[gram, 0])
             for level, share in enumerate(SHARES, 1):

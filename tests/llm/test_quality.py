@@ -73,3 +73,29 @@ def test_hinge_separates():
     weights, bias = quality.fit_hinge(rows, np.where(y == 1, 1.0, -1.0), ratios, np.ones(4))
     margins = [weights[r].sum() + bias for r in rows]
     assert min(margins[:2]) > 0.5 > -0.5 > max(margins[2:])
+
+
+def test_pieces_cover_a_long_token():
+    rng = random.Random(4)
+    for signs in ("永和九年，。", "aB0+/", "ก็ดีมาก", "<a>{};=", "x", "-"):
+        token = "".join(rng.choices(signs, k=700))
+        parts = quality.pieces(token)
+        assert "".join(parts) == token and all(0 < len(quality.shape(p)) <= 12 for p in parts)
+    assert quality.shapes("well-known") == ("a-a",)
+    ids = quality.Indicators().of
+    assert len(ids("x" * 300)) > len(ids("x" * 30))
+
+
+def test_text_without_blanks_is_read_to_its_end(spark, documents):
+    rng = random.Random(5)
+    opening = "春天来了，花开了，鸟叫了，人也多了。"
+    rows, labels = [], []
+    for i in range(240):
+        clauses = ["".join(rng.choices("山水日月風雲人心天地", k=rng.randint(3, 9))) for _ in range(40)]
+        good = i % 2
+        rows.append((i, opening + ("，".join(clauses) + "。" if good else "#@".join(clauses) + "%%")))
+        labels.append((i, good, 0))
+    told = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.classify(documents(rows), told).collect()}
+    aside = [i for i, _, _ in labels if got[i].held_out]
+    assert aside and all(got[i].predicted == i % 2 for i in aside)
