@@ -24,13 +24,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessgrid.llm.common import whole_text
 from tessgrid.llm.workers import Memo, slices
 
-#: Labelled rows the model is fitted on at most, taken in order of a hash of their id.
+#: Labelled rows the model is fitted on at most, by turns from each class in order of a hash of their id.
 MAX_TRAINING_ROWS = 6000
 FEATURES = 1 << 18
 #: An indicator exists for occurring at all, and for each share of the tokens of a document.
@@ -129,6 +129,8 @@ class Model:
     bias: float
     slope: float
     offset: float
+    #: False where a class was absent: scores tell documents apart only if this holds.
+    fitted: bool = True
 
     def margin(self, ids: np.ndarray) -> float:
         return float(self.weights[ids].sum(dtype=np.float64)) + self.bias
@@ -169,7 +171,7 @@ def fit_hinge(rows: list[np.ndarray], signs: np.ndarray, ratios: np.ndarray, cos
     return (weights * ratios).astype(np.float32), bias
 
 
-def fit_logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+def fit_logistic(margins: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
     """Slope and offset of P(1 | margin), with labels drawn in slightly from 0 and 1; Newton steps."""
     n1, n0 = labels.sum(), len(labels) - labels.sum()
     goal = np.where(labels == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
@@ -177,18 +179,23 @@ def fit_logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]
     told = np.array([1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(told @ x, -30, 30)))
-        grad = x @ (p - goal) + 1e-3 * told
-        bend = (x * (p * (1 - p) + 1e-9)) @ x.T + 1e-3 * np.eye(2)
+        grad = x @ (weights * (p - goal)) + 1e-3 * told
+        bend = (x * (weights * p * (1 - p) + 1e-9)) @ x.T + 1e-3 * np.eye(2)
         told = told - np.clip(np.linalg.solve(bend, grad), -5, 5)
     return float(max(told[0], 1e-6)), float(told[1])
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
-    """A model for 0/1 labels. With fewer than 8 rows of either class it gives every text the share of 1."""
-    if min(labels.sum(), len(labels) - labels.sum()) < 8:
-        share = (labels.sum() + 1) / (len(labels) + 2)
-        return Model(np.zeros(FEATURES, np.float32), 0.0, 1.0, float(np.log(share / (1 - share))))
-    aside = np.arange(len(rows)) % CALIBRATION_PART == 0
+def fit(rows: list[np.ndarray], labels: np.ndarray, totals: dict[int, int] | None = None) -> Model:
+    """A model for 0/1 labels. `totals` says how many rows of each class the sample stands for; without it,
+    as many as there are. Only where a class is absent every text gets the share of 1."""
+    n = np.bincount(labels, minlength=2)
+    if n.min() == 0:
+        share = (n[1] + 1) / (len(labels) + 2)
+        return Model(np.zeros(FEATURES, np.float32), 0.0, 1.0, float(np.log(share / (1 - share))), False)
+    # One in four of each class is set aside, the first at least; a lone row serves for both.
+    place = np.where(labels == 1, np.cumsum(labels == 1), np.cumsum(labels == 0)) - 1
+    aside = place % CALIBRATION_PART == 0
+    learnt = ~aside | (n[labels] == 1)
 
     def trained(which: np.ndarray) -> tuple[np.ndarray, float]:
         mine = [r for r, use in zip(rows, which) if use]
@@ -197,25 +204,36 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
         costs = COST * len(y) / (2 * np.where(y == 1, max(1, y.sum()), max(1, len(y) - y.sum())))
         return fit_hinge(mine, np.where(y == 1, 1.0, -1.0), log_count_ratios(mine, y), costs)
 
-    weights, bias = trained(~aside)
+    weights, bias = trained(learnt)
     margins = np.array([weights[r].sum() + bias for r, use in zip(rows, aside) if use])
-    slope, offset = fit_logistic(margins, labels[aside])
+    # Scores are chances among all labelled rows, whatever part of each class was drawn.
+    stands_for = np.array([totals[0], totals[1]] if totals else n) / n
+    each = (stands_for * len(labels) / (stands_for @ n))[labels[aside]]
+    slope, offset = fit_logistic(margins, labels[aside], each)
     weights, bias = trained(np.ones(len(rows), bool))
     return Model(weights, bias, slope, offset)
 
 
-def training_rows(labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """doc_id, quality of at most `most` labelled rows that may be learnt from. A document labelled more
-    than once counts with its lowest label; null ids and labels are left out."""
+def learnable(labels: DataFrame) -> DataFrame:
+    """doc_id, quality of the labelled rows that may be learnt from. A document labelled more than once
+    counts with its lowest label; null ids and labels are left out."""
     return (
         labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
         .groupBy("doc_id")
         .agg(F.min("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(most)
     )
 
 
+def training_rows(labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> DataFrame:
+    """At most `most` learnable rows, by turns from each class: a class with less than half of them comes
+    whole, and the other fills the rest."""
+    told, order = learnable(labels), (F.xxhash64("doc_id"), F.col("doc_id"))
+    first = [told.where(F.col("quality") == k).orderBy(*order).limit(most) for k in (0, 1)]
+    turn = F.row_number().over(Window.partitionBy("quality").orderBy(*order))
+    both = first[0].unionByName(first[1]).withColumn("turn", turn)
+    return both.orderBy("turn", "quality").limit(most).drop("turn")
+
+
 def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> Model:
     """Fit on a bounded sample of labelled documents; only their feature ids come to the driver."""
 
@@ -231,7 +249,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) ->
     # An id that several documents bear gives one row, so the bound holds.
     told = sorted(rows.groupBy("doc_id").agg(F.max("quality"), F.max("ids")).collect())
     told.sort(key=lambda r: xxhash.xxh3_64_intdigest(str(r[0])))
-    return fit([np.frombuffer(r[2], "<i4").astype(np.int64) for r in told], np.array([r[1] for r in told], np.int64))
+    totals = {int(r[0]): r[1] for r in learnable(labels).groupBy("quality").count().collect()}
+    return fit([np.frombuffer(r[2], "<i4").astype(np.int64) for r in told], np.array([r[1] for r in told], np.int64), totals)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -254,8 +273,11 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def accept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Documents the classifier accepts, all columns as they were: each row is judged by its own text."""
+    """Documents the classifier accepts, all columns as they were: each row is judged by its own text.
+    Where no label of one class can be learnt from, nothing tells documents apart and all stay."""
     model = learn(docs, labels)
+    if not model.fitted:
+        return docs
 
     @F.pandas_udf("double")
     def judged(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -99,3 +99,29 @@ def test_text_without_blanks_is_read_to_its_end(spark, documents):
     got = {r.doc_id: r for r in quality.classify(documents(rows), told).collect()}
     aside = [i for i, _, _ in labels if got[i].held_out]
     assert aside and all(got[i].predicted == i % 2 for i in aside)
+
+
+def test_sample_takes_a_rare_class_whole(spark):
+    told = spark.range(4000).selectExpr("id AS doc_id", "CAST(id % 200 <> 0 AS INT) AS quality")
+    rare = quality.learnable(told).where("quality = 0").count()
+    got = quality.training_rows(told, 100).groupBy("quality").count().collect()
+    assert 0 < rare < 50 and {r.quality: r["count"] for r in got} == {0: rare, 1: 100 - rare}
+
+
+def test_few_rows_of_a_class_are_learnt_from():
+    indicators = quality.Indicators()
+    rows, labels = corpus(600)
+    good = [indicators.of(t) for (_, t), (_, y, _) in zip(rows, labels) if y]
+    bad = [indicators.of(" ".join(w.upper() + "!!" for w in t.split())) for _, t in rows[:40]]
+    for few in (1, 2, 3, 7):
+        model = quality.fit(good[:300] + bad[:few], np.array([1] * 300 + [0] * few))
+        assert model.fitted and max(map(model.score, bad)) < min(map(model.score, good))
+        if few > 1:
+            assert max(map(model.score, bad)) < quality.THRESHOLD <= min(map(model.score, good))
+
+
+def test_absent_class_rejects_nothing(spark, documents):
+    schema = "doc_id long, quality int, toxic int"
+    docs = documents([(i, f"text {i}") for i in range(20)])
+    for labels in ([], [(i, 0, 0) for i in range(20)], [(i, 1, 0) for i in range(20)]):
+        assert quality.accept(docs, spark.createDataFrame(labels, schema)).count() == 20
