@@ -52,3 +52,21 @@ def stored(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """`docs` stored with one more column, _row: a number of the stored row, which no other row bears."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def one_per_group(rows: DataFrame, groups: DataFrame, first: list[Column]) -> DataFrame:
+    """Of `numbered` rows one of each group, without _row. `groups` gives (_row, _group) for every row. The
+    row that is least by `first` stays, then by doc_id with null last, then by _row."""
+    order = F.struct(*first, F.col("doc_id").isNull(), "doc_id", "_row")
+    kept = (
+        rows.select("_row", order.alias("_order"))
+        .join(groups.hint("merge"), "_row")
+        .groupBy("_group")
+        .agg(F.min("_order")["_row"].alias("_row"))
+    )
+    return rows.join(kept.select("_row").hint("merge"), "_row", "left_semi").select(*[c for c in rows.columns if c != "_row"])

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessgrid.llm.common import whole_text, without_blanks
+from tessgrid.llm.common import numbered, one_per_group, whole_text, without_blanks
 
 #: Below 63: the salts in which a text occurs are one bit each of a LONG.
 SALTS = 16
@@ -89,9 +89,10 @@ def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Documents that stay, all columns as they were. Documents that are alone in their group are found
-    by id; ids are expected to be unique."""
-    kept = exact_groups(docs, salts).where("kept").select(F.col("doc_id").alias("_keep"))
-    return docs.join(
-        kept.distinct().hint("merge"), docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi"
-    )
+    """Exactly one row of each group, all columns as they were: the longest text, then the smallest doc_id,
+    null last. Rows are told apart by their stored number, so ids may repeat, be null, or bear several
+    texts."""
+    rows = numbered(docs)
+    groups = exact_groups(rows.select(F.col("_row").alias("doc_id"), "text"), salts)
+    groups = groups.select(F.col("doc_id").alias("_row"), F.col("keep_id").alias("_group"))
+    return one_per_group(rows, groups, [-F.char_length(whole_text("text"))])

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessgrid.llm.common import stored, whole_text
+from tessgrid.llm.common import numbered, one_per_group, stored, whole_text
 from tessgrid.llm.graph import components
 from tessgrid.llm.workers import Memo, slices, worker_wide
 
@@ -421,6 +421,8 @@ def similar_groups(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """Documents that are the smallest id of their component, all columns as they were."""
-    kept = similar_groups(docs, **settings).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep"))
-    return docs.join(kept.distinct().hint("merge"), docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
+    """Exactly one row of each component, all columns as they were: the smallest doc_id, null last. Rows are
+    told apart by their stored number, so ids may repeat or be null."""
+    rows = numbered(docs)
+    groups = similar_groups(rows.select(F.col("_row").alias("doc_id"), "text"), **settings)
+    return one_per_group(rows, groups.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), [])

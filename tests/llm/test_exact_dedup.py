@@ -43,3 +43,12 @@ def test_dropping_keeps_columns(documents):
     docs = documents([(1, "a"), (2, "a "), (3, "b")])
     left = exact_dedup.drop_copies(docs)
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [2, 3]
+
+
+def test_dropping_keeps_one_row_of_each_group(documents):
+    rows = [(3, "x"), (3, "x"), (None, "x"), (None, "y"), (None, "y"), (4, "y z"), (4, "a"), (5, "a"), (5, "yz"), (6, "a ")]
+    left = exact_dedup.drop_copies(documents(rows).repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in left) == [("3", "x"), ("4", "y z"), ("6", "a "), ("None", "y")]
+    twice = documents(ROWS).unionByName(documents(ROWS))
+    once = exact_dedup.drop_copies(documents(ROWS)).collect()
+    assert sorted(map(str, exact_dedup.drop_copies(twice).collect())) == sorted(map(str, once))

@@ -135,3 +135,14 @@ def test_hashed_words_only():
     words = Memo(lambda w: sum(w) * 7919)
     assert len(jaccard.shingle_set("a b c d e f", words)) == 2
     assert len(jaccard.shingle_set("a b", words)) == 1 and len(jaccard.shingle_set(" ", words)) == 0
+
+
+def test_keeping_one_row_of_each_component(documents):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(2, long), (2, long), (None, long), (None, "p q r"), (None, "p q r"), (1, "p q s"), (2, "p q s"), (7, ""), (7, "")]
+    docs = documents(rows)
+    left = jaccard.keep_one(docs.repartition(3))
+    assert left.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == [
+        ("1", "p q s"), ("2", long), ("7", ""), ("7", ""), ("None", "p q r"),
+    ]
