@@ -1,3 +1,5 @@
+import textwrap
+
 from tessgrid.llm import quotes
 
 SCHEMA = "conv_id long, turn long, role string, text string, turn_id long"
@@ -46,3 +48,36 @@ def test_edge_cases(spark):
     assert {r.reply for r in found if r.turn == 0 and r.conv_id == 1} == {None}
     assert [r.parent_turn for r in found if r.turn == 6] == [5]
     assert quotes.conversations(frame.where("false")).collect() == []
+
+
+def test_quotes_wrapped_anew(spark):
+    words = [f"word{i}" for i in range(60)]
+    long = " ".join(words)
+    wrapped = "\n".join("> " + line for line in textwrap.wrap(long, 72))
+    deeper = "\n".join("> > " + line for line in textwrap.wrap(long, 50))
+    got = threads(spark, [
+        (1, 0, "user", "Unlike this\n\n" + long),
+        (1, 1, "assistant", wrapped + "\nAn answer that\nis split over two lines"),
+        (1, 2, "user", deeper + "\n> an answer that is split\n> over two  LINES\nok"),
+        (1, 3, "user", "> " + " ".join(words[20:30]) + "\npart of a line"),
+        (1, 4, "user", "> " + " ".join(words[20:25]) + "\n> is split over two lines\n> An answer that\ntwo sources"),
+        (1, 5, "user", "> " + " ".join(words[20:25]) + "x\nword cut short"),
+        (1, 6, "user", "> word8 word7 word6 word5\nother order"),
+        (2, 0, "user", wrapped + "\nelsewhere"),
+    ])
+    assert [got[1, t].parent_turn for t in range(7)] == [None, 0, 1, 0, 1, None, None]
+    assert got[1, 2].path == [0, 1, 2] and got[2, 0].parent_turn is None
+
+
+def test_given_conversations_quoted_in_new_lines(spark, small):
+    told = spark.read.parquet(f"{small}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()
+    text = {(r.conv_id, r.turn): r.text for r in told}
+    rows = []
+    for r in told:
+        before = " ".join((text.get((r.conv_id, r.turn - 1)) or "").split())
+        quoted = "".join(f"> {line}\n" for line in textwrap.wrap(before, 40, break_long_words=False, break_on_hyphens=False))
+        rows.append((r.conv_id, r.turn, r.role, quoted + (r.text or "")))
+    got = threads(spark, rows)
+    for (conv, turn), r in got.items():
+        if len((text.get((conv, turn - 1)) or "").split()) > 8:
+            assert r.parent_turn is not None and r.parent_turn < turn
