@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessgrid.llm import bpe, exact_dedup, hilbert, jaccard, mixing, quality, quotes, token_counts, token_files, topk
+from tessgrid.llm import (
+    bpe, exact_dedup, hilbert, jaccard, mixing, prefix_trie, quality, quotes, token_counts, token_files, topk,
+)
 from tessgrid.llm.common import shared_folder
 
 TOKEN_LIMIT = 4096
@@ -117,3 +119,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shards(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))

@@ -139,5 +139,49 @@ WITH d AS (
 SELECT d.doc_id, d.size, CAST(e.source_size AS BIGINT) AS source_size, e.target,
        CAST(d.size * (e.whole + CASE WHEN d.h < e.below THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM d JOIN ends e ON d.source IS NOT DISTINCT FROM e.source
+""",
+    "op12_prefix_trie": r"""
+WITH t AS (
+    SELECT conv_id AS c, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words, turn
+    FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+    SELECT c, id, words, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, id) AS i FROM t
+), convs AS (
+    SELECT c, c - c % 20 AS base, list_reduce(list_concat([4294967295], flatten(list_transform(
+               string_split(CAST(c AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+               lambda a, s: CASE WHEN s >= 0 THEN xor(a, s) ELSE xor(a >> 1, 3988292384 * (a & 1)) END) AS crc
+    FROM (SELECT DISTINCT c FROM t)
+), heads AS (
+    SELECT c, base, xor(crc, 4294967295) % 4 AS h FROM convs
+), made AS (
+    SELECT h.c, o.i, o.id, o.words FROM heads h JOIN own o ON o.c = h.base AND o.i <= h.h
+    UNION ALL
+    SELECT h.c, 1000000000 + o.i, o.id, o.words FROM heads h JOIN own o ON o.c = h.c AND o.i > h.h
+), seq AS (
+    SELECT c, id, words, row_number() OVER (PARTITION BY c ORDER BY i) AS depth FROM made
+), prefixes AS (
+    SELECT c, depth, words, md5(string_agg(id, ',') OVER (PARTITION BY c ORDER BY depth)) AS node FROM seq
+    UNION ALL
+    SELECT c, 0, 0, '' FROM heads
+), lengths AS (
+    SELECT c, max(depth) AS len FROM prefixes GROUP BY c
+), nodes AS (
+    SELECT node, depth, min(c) AS conv_id, count(*) AS n_convs, min(words) AS words,
+           string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE len = depth) AS ends
+    FROM prefixes JOIN lengths USING (c) GROUP BY node, depth
+), linked AS (
+    SELECT n.*, p.node AS parent FROM nodes n
+    LEFT JOIN prefixes p ON p.c = n.conv_id AND p.depth = n.depth - 1
+), kids AS (
+    SELECT parent AS node, count(*) AS n_children FROM linked WHERE parent IS NOT NULL GROUP BY parent
+), below AS (
+    SELECT p.node, sum((u.n_convs - 1) * u.words) AS saved, count(*) FILTER (WHERE k.node IS NULL) AS leaves
+    FROM nodes u LEFT JOIN kids k ON k.node = u.node
+    JOIN prefixes p ON p.c = u.conv_id AND p.depth <= u.depth GROUP BY p.node
+)
+SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children,
+       b.leaves AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM linked n LEFT JOIN nodes q ON q.node = n.parent LEFT JOIN kids k ON k.node = n.node JOIN below b ON b.node = n.node
 """,
 }
