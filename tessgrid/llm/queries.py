@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessgrid.llm import (
-    bpe, exact_dedup, hilbert, jaccard, mixing, prefix_trie, quality, quotes, token_counts, token_files, topk,
+    bpe, bwt_dedup, exact_dedup, hilbert, jaccard, mixing, phrases, prefix_trie, quality, quotes, token_counts,
+    token_files, topk,
 )
 from tessgrid.llm.common import shared_folder
 
@@ -121,6 +122,24 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shards(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = bwt_dedup.without_repeats(_table(spark, sf_dir, "documents"))
+    lengths = F.transform("spans", lambda x: x["end"] - x["start"])
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate(lengths, F.lit(0).cast("long"), lambda total, x: total + x).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))

@@ -139,6 +139,34 @@ WITH d AS (
 SELECT d.doc_id, d.size, CAST(e.source_size AS BIGINT) AS source_size, e.target,
        CAST(d.size * (e.whole + CASE WHEN d.h < e.below THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM d JOIN ends e ON d.source IS NOT DISTINCT FROM e.source
+""",
+    "op11_bwt_dedup": """
+WITH d AS (
+    SELECT row_number() OVER () AS row, doc_id, coalesce(doc_id, 9223372036854775807) AS id,
+           hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+    SELECT row, id, i, substr(h, 2 * i + 1, 100) AS s
+    FROM (SELECT row, id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)
+), gone AS (
+    SELECT row, i FROM (SELECT row, id, i, min(id) OVER (PARTITION BY s) AS first FROM w) WHERE first < id
+), runs AS (
+    SELECT row, i, sum(new) OVER (PARTITION BY row ORDER BY i) AS run
+    FROM (SELECT row, i, CASE WHEN i - lag(i) OVER (PARTITION BY row ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM gone)
+), spans AS (
+    SELECT row, run, min(i) AS a, max(i) + 50 AS b FROM runs GROUP BY row, run
+), pieces AS (
+    SELECT row, a, substr(d.h, 2 * coalesce(lag(b) OVER (PARTITION BY row ORDER BY a), 0) + 1,
+                          2 * (a - coalesce(lag(b) OVER (PARTITION BY row ORDER BY a), 0))) AS part, b
+    FROM spans JOIN d USING (row)
+), kept AS (
+    SELECT row, string_agg(part, '' ORDER BY a) AS head, max(b) AS last, count(*) AS n_spans FROM pieces GROUP BY row
+), removed AS (
+    SELECT row, sum(b - a) AS n_removed FROM spans GROUP BY row
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (row) LEFT JOIN removed USING (row)
 """,
     "op12_prefix_trie": r"""
 WITH t AS (
@@ -183,5 +211,42 @@ WITH t AS (
 SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children,
        b.leaves AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
 FROM linked n LEFT JOIN nodes q ON q.node = n.parent LEFT JOIN kids k ON k.node = n.node JOIN below b ON b.node = n.node
+""",
+    "op13_phrases": r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces
+), totals AS (
+    SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang
+), grams AS (
+    SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: list_slice(ws, i, i + k - 1))) AS g
+    FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)
+), often AS (
+    SELECT lang, k, g, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30
+), cuts AS (
+    SELECT lang, k, g, f, unnest(range(1, k)) AS j FROM often WHERE k > 1
+), scores AS (
+    SELECT c.lang, c.k, c.g, c.f AS a, j, x.f AS l, y.f AS r,
+           CAST((CAST(2000000 AS HUGEINT) * c.f) // (x.f + y.f) AS BIGINT) AS score
+    FROM cuts c JOIN often x ON x.lang = c.lang AND x.g = list_slice(c.g, 1, j)
+    JOIN often y ON y.lang = c.lang AND y.g = list_slice(c.g, j + 1, c.k)
+), worst AS (
+    SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1
+), inside AS (
+    SELECT lang, f, unnest(list_transform(flatten(list_transform(range(2, k), lambda m:
+               list_transform(range(1, k - m + 2), lambda i: [i, i + m - 1]))), lambda e: list_slice(g, e[1], e[2]))) AS g
+    FROM often WHERE k > 2
+), covered AS (
+    SELECT lang, g, max(f) AS most FROM inside GROUP BY ALL
+), kept AS (
+    SELECT w.*, array_to_string(w.g, ' ') AS phrase FROM worst w LEFT JOIN covered c ON c.lang = w.lang AND c.g = w.g
+    WHERE c.most IS NULL OR 100 * c.most < 80 * w.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+       CAST(n AS BIGINT) AS n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
 """,
 }
