@@ -107,7 +107,8 @@ class Grams:
 
     def __init__(self, lang: str, ids: bytes):
         self.ids = np.frombuffer(ids, np.uint64)
-        self.word = mixed(self.ids ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode())))
+        # Languages are hashed apart from words: a word may be spelt like a language.
+        self.word = mixed(self.ids ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode(), seed=1)))
         self.real = self.ids != 0
 
     def keys(self, n: int) -> np.ndarray:

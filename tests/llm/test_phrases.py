@@ -81,6 +81,11 @@ def test_edges(spark):
     assert told(spark, rows, 10, 2) == plain(rows, 10, 2)
 
 
+def test_words_spelt_like_languages(spark):
+    rows = [("en es fr en es", lang) for lang in ("en", "es", "fr") for _ in range(5)]
+    assert told(spark, rows, 10, 2) == plain(rows, 10, 2)
+
+
 def test_scores_beyond_64_bits(spark):
     a = 6 * 10**18
     df = spark.createDataFrame([(a, a, a)], "a long, l long, r long")
