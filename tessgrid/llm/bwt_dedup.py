@@ -1,31 +1,37 @@
 """Removal of repeated passages: bytes covered by a string of `width` bytes that an earlier document holds too.
 
-1. Routing. The minimizer of a window of `width` bytes is its k-gram of least hash, the leftmost of several.
+1. Units. Texts are cut where a gram's hash is least among its neighbours; two pieces in a row are a unit.
+   A unit that an earlier document holds whole is removed whole, and its windows need not be looked at
+   again: the first document to hold a window has it outside such units. This settles copies early.
+2. Routing. The minimizer of a window of `width` bytes is its gram of least hash, the leftmost of several.
    Equal windows have equal minimizers, so all places of a repeated string meet under one key. Windows in a
    row with the same minimizer are one *stretch*.
-2. Filter. Each document offers its keys once. Stretches whose key no other document offers hold nothing
+3. Filter. Each document offers its keys once. Stretches whose key no other document offers hold nothing
    that repeats; only the others are read again. Equal stretches become one, with the least and the greatest
-   document that bears them, before anything else moves.
-3. Shards. Stretches are dealt into buckets by key. A bucket is cut into shards, and the Burrows-Wheeler
+   document that bears them.
+4. Shards. Stretches are dealt into buckets by key. A bucket is cut into shards, and the Burrows-Wheeler
    transform of each shard's rotations is built on its own.
-4. Merge. The transforms of a bucket are interleaved by refinement: starting from any interleave, each round
+5. Merge. The transforms of a bucket are interleaved by refinement: starting from any interleave, each round
    reads the symbols before all rows in the present order and sorts rows by them, stably. After each round
    rows stand in order of a few symbols more, while the shards' own orders never change. A row that
    differs from the one before it, in those symbols or in the block it came from, opens a block; the round
    in which it does bounds their common prefix. After `width` symbols a block is the interval of one string.
-5. The least document of an interval is the first to hold its string. Every place of it in a later document
+6. The least document of an interval is the first to hold its string. Every place of it in a later document
    is removed.
 
-A key with very many different stretches (a frequent phrase in ever new company) is cut into single windows,
-which are dealt out by their own hash; so no bucket grows with the input.
+Texts are shuffled once, into a table bucketed by row; what later steps find about a row is brought to it
+there. A key with very many different stretches (a frequent phrase in ever new company) is cut into single
+windows, which are dealt out by their own hash; so no bucket grows with the input.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +40,15 @@ from tessgrid.llm.jaccard import mixed
 from tessgrid.llm.workers import slices
 from tessgrid.operators.ordered import salted_join
 
-#: Bytes of a repeated string, and of the grams that minimizers are chosen from.
+#: Bytes of a repeated string, and of the grams that minimizers and cuts are chosen from.
 WIDTH, GRAM = 50, 16
+#: A cut has the least hash among so many grams on either side; pieces are about twice as long.
+REACH = 128
 #: Bytes a bucket and a shard hold, about, and stretches of a key beyond which it is cut into windows.
 BUCKET, SHARD, SPLIT = 1 << 18, 1 << 16, 2048
-#: Windows of a text that are routed at a time, keys that a task holds, bytes of key and document in the filter.
+#: Bytes of text in a file of the bucketed table, about, and files at most.
+FILE, MOST_FILES = 1 << 25, 100_000
+#: Windows of a text that are routed at a time, keys that a task holds, bytes of key and row in the filter.
 BLOCK, HELD, KEY_BYTES, ROW_BYTES = 1 << 22, 2_000_000, 6, 5
 
 _END = 0xFF  # never occurs in UTF-8
@@ -47,28 +57,49 @@ _PRIME = np.uint64(0xC2B2AE3D27D4EB4F)
 _LAST = (1 << 63) - 1
 
 
+def _hashes(data: bytes, gram: int) -> np.ndarray:
+    """Hash of the gram from each place on."""
+    n = len(data) - gram + 1
+    if gram == 16:
+        low, high = (np.ndarray(n, "<u8", data, i, (1,)) for i in (0, 8))
+        return mixed(mixed(low) + high * _PRIME)
+    chars = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
+    found = np.zeros(n, np.uint64)
+    for i in range(gram):
+        found = found * _PRIME + chars[i : i + n]
+    return mixed(found)
+
+
+def _least(hashed: np.ndarray, span: int) -> np.ndarray:
+    """Place of the least hash among each `span` in a row, the leftmost of several."""
+    least, have = (hashed & ~_PLACE) | np.arange(len(hashed), dtype=np.uint64), 1
+    while have < span:
+        more = min(have, span - have)
+        least = np.minimum(least[:-more], least[more:])
+        have += more
+    return (least & _PLACE).astype(np.int64)
+
+
+def units(data: bytes, width: int = WIDTH) -> list[tuple[int, int]]:
+    """[start, end) of the units of a text. Every window lies in one: pieces but the first and the last are
+    longer than a window."""
+    gram, reach = min(GRAM, width), max(REACH, width)
+    cuts = [0]
+    for base in range(0, max(0, len(data) - gram + 1 - 2 * reach), BLOCK):
+        some = data[base : base + BLOCK + 2 * reach + gram - 1]
+        least = _least(_hashes(some, gram), 2 * reach + 1)
+        cuts.extend((np.flatnonzero(least == np.arange(len(least)) + reach) + base + reach).tolist())
+    cuts.append(len(data))
+    return list(zip(cuts, cuts[2:])) or [(0, len(data))]
+
+
 def stretches(data: bytes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First window, last window + 1 and key of each stretch of a text."""
     gram = min(GRAM, width)
     found = []
     for base in range(0, max(0, len(data) - width + 1), BLOCK):
-        some = data[base : base + BLOCK + width - 1]
-        n = len(some) - gram + 1
-        if gram == 16:
-            low, high = (np.ndarray(n, "<u8", some, i, (1,)) for i in (0, 8))
-            hashed = mixed(mixed(low) + high * _PRIME)
-        else:
-            chars = np.frombuffer(some, np.uint8).astype(np.uint64) + np.uint64(1)
-            hashed = np.zeros(n, np.uint64)
-            for i in range(gram):
-                hashed = hashed * _PRIME + chars[i : i + n]
-            hashed = mixed(hashed)
-        least, have, span = (hashed & ~_PLACE) | np.arange(n, dtype=np.uint64), 1, width - gram + 1
-        while have < span:
-            more = min(have, span - have)
-            least = np.minimum(least[:-more], least[more:])
-            have += more
-        at = (least & _PLACE).astype(np.int64)
+        hashed = _hashes(data[base : base + BLOCK + width - 1], gram)
+        at = _least(hashed, width - gram + 1)
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         found.append((first + base, np.append(first[1:], len(at)) + base, hashed[at[first]]))
     if not found:
@@ -76,6 +107,24 @@ def stretches(data: bytes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def open_stretches(
+    data: bytes, settled: list[tuple[int, int]], width: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches that hold a window outside the settled units, from the first such window to the last."""
+    first, last, key = stretches(data, width)
+    if not settled or not len(first):
+        return first, last, key
+    edge = np.zeros(last[-1] + 1, np.int32)
+    for a, b in settled:
+        if b - a >= width:
+            edge[a] += 1
+            edge[b - width + 1] -= 1
+    left = np.flatnonzero(np.cumsum(edge)[:-1] == 0)
+    low, high = np.searchsorted(left, first), np.searchsorted(left, last)
+    some = high > low
+    return left[low[some]], left[high[some] - 1] + 1, key[some]
+
+
 def _short(a: np.ndarray, size: int) -> bytes:
     return a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
@@ -90,18 +139,70 @@ _KEY_MASK, _ROW_MASK = np.uint64((1 << 8 * KEY_BYTES) - 1), (1 << 8 * ROW_BYTES)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """_id (null: the greatest LONG), _row (hash of id and text) and text."""
+    """_row (some bits of _hash), _hash (of id and text), _id (null: the greatest LONG), doc_id and text, in a
+    table bucketed by _row, so that tables by _row are joined to it without moving a text."""
+    spark = docs.sparkSession
     told = docs.select("doc_id", whole_text().alias("text"))
-    return told.select(
+    told = told.select(
+        F.xxhash64("doc_id", "text").alias("_hash"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_id"),
-        F.xxhash64("doc_id", "text").alias("_row"),
+        "doc_id",
         "text",
-    )
+    ).withColumn("_row", F.col("_hash").bitwiseAND(F.lit(_ROW_MASK)))
+    size = told.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = int(min(size // FILE + 1, MOST_FILES))
+    name = f"texts_{uuid.uuid4().hex}"
+    writer = told.repartition(files, "_row").write.bucketBy(files, "_row").option("compression", "zstd")
+    writer.option("path", shared_folder(spark)).format("parquet").saveAsTable(name)
+    stored_texts = spark.table(name)
+    # The name is needed no longer; the files stay.
+    spark.sql(f"DROP TABLE {name}")
+    return stored_texts
+
+
+def _brought(texts: DataFrame, *found: DataFrame) -> DataFrame:
+    """Texts with columns of tables that have one line per _row, null where they have none."""
+    for table in found:
+        texts = texts.join(table.hint("shuffle_hash"), "_row", "left")
+    return texts
+
+
+def settled_units(texts: DataFrame, width: int) -> DataFrame:
+    """_row, _hash, start, end of the units that a document with a smaller id holds as well."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            rows, found = [], []
+            for row, code, doc, text in zip(*(part.column(i).to_pylist() for i in range(4))):
+                data = text.encode()
+                for a, b in units(data, width):
+                    rows.append((row, code, doc, a, b))
+                    found.append(xxhash.xxh3_128_intdigest(data[a:b]))
+            sides = [np.array([d >> shift & (1 << 64) - 1 for d in found], np.uint64).view(np.int64) for shift in (64, 0)]
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * 5
+            names = ["_row", "_hash", "_id", "start", "end", "d1", "d2"]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x) for x in sides)], names)
 
+    schema = "_row long, _hash long, _id long, start long, end long, d1 long, d2 long"
+    told = stored(texts.select("_row", "_hash", "_id", "text").mapInArrow(cut, schema))
+    first = told.groupBy("d1", "d2").agg(F.min("_id").alias("low"), F.max("_id").alias("high")).where("low < high")
+    # Units of very many copies are split by the bytes that arrive (adaptive skew join).
+    later = told.join(first.hint("merge"), ["d1", "d2"]).where("_id > low")
+    return stored(later.select("_row", "_hash", "start", "end"))
 
-def shared_keys(texts: DataFrame, width: int) -> DataFrame:
-    """short_row, keys: per document (by some bytes of its hash) its keys that another row offers as well,
-    cut to some bytes. Rows and keys may be told too many, which later steps find out, never too few."""
+
+def _spans(found: DataFrame, name: str) -> DataFrame:
+    return found.groupBy("_row").agg(F.collect_list(F.struct("_hash", "start", "end")).alias(name))
+
+
+def _own(spans: list[dict] | None, code: int) -> list[tuple[int, int]]:
+    """Of the spans told for a row those that are meant for it: a few rows share _row."""
+    return [(s["start"], s["end"]) for s in spans or () if s["_hash"] == code]
+
+
+def shared_keys(texts: DataFrame, settled: DataFrame, width: int) -> DataFrame:
+    """_row, keys: per document its keys that another row offers as well, cut to some bytes. Rows and keys
+    may be told too many, which later steps find out, never too few."""
     parts = 4 * max(2, texts.rdd.getNumPartitions())
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +210,7 @@ def shared_keys(texts: DataFrame, width: int) -> DataFrame:
 
         def packed() -> pa.RecordBatch:
             key, row = np.concatenate(keys), np.concatenate(rows)
-            part = ((key >> np.uint64(48)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
+            part = ((key >> np.uint64(48)) % np.uint64(parts)).astype(np.uint16)
             order = np.argsort(part, kind="stable")
             key, row, part = key[order], row[order], part[order]
             at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
@@ -124,11 +225,11 @@ def shared_keys(texts: DataFrame, width: int) -> DataFrame:
             )
 
         for batch in slices(batches):
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                mine = np.unique(stretches(text.encode(), width)[2])
+            for row, code, text, settled in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                mine = np.unique(open_stretches(text.encode(), _own(settled, code), width)[2])
                 if len(mine):
                     keys.append(mine)
-                    rows.append(np.full(len(mine), row & _ROW_MASK, np.uint64))
+                    rows.append(np.full(len(mine), row, np.uint64))
                     held += len(mine)
             if held >= HELD:
                 yield packed()
@@ -149,38 +250,39 @@ def shared_keys(texts: DataFrame, width: int) -> DataFrame:
         ends = np.append(at[1:], len(row))
         return pa.table(
             {
-                "short_row": pa.array(row[at].astype(np.int64)),
+                "_row": pa.array(row[at].astype(np.int64)),
                 "keys": pa.array([_short(key[a:b], KEY_BYTES) for a, b in zip(at, ends)], pa.binary()),
             }
         )
 
-    offered = texts.select("_row", "text").mapInArrow(offer, "part int, keys binary, rows binary")
-    found = offered.groupBy("part").applyInArrow(meet, "short_row long, keys binary")
-    return found.groupBy("short_row").agg(F.collect_list("keys").alias("keys"))
+    offered = _brought(texts, settled).select("_row", "_hash", "text", "settled")
+    offered = offered.mapInArrow(offer, "part int, keys binary, rows binary")
+    found = offered.groupBy("part").applyInArrow(meet, "_row long, keys binary")
+    return found.groupBy("_row").agg(F.collect_list("keys").alias("keys"))
 
 
-def shared_stretches(texts: DataFrame, keys: DataFrame, width: int) -> DataFrame:
-    """_id, _row, start, key, digest, bytes of every stretch whose key more than one row offers."""
+def shared_stretches(texts: DataFrame, settled: DataFrame, keys: DataFrame, width: int) -> DataFrame:
+    """_row, _hash, _id, first, key, digest, bytes of every stretch whose key more than one row offers."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            ids, rows, starts, of_key, found = [], [], [], [], []
-            for doc, row, text, shared in zip(*(part.column(i).to_pylist() for i in range(4))):
+            fixed, found = [], []
+            for row, code, doc, text, settled, shared in zip(*(part.column(i).to_pylist() for i in range(6))):
                 data = text.encode()
-                first, last, key = stretches(data, width)
+                first, last, key = open_stretches(data, _own(settled, code), width)
                 at = np.isin(key & _KEY_MASK, _long(b"".join(shared), KEY_BYTES))
                 first, last = first[at], last[at]
-                ids.append(np.full(len(first), doc, np.int64))
-                rows.append(np.full(len(first), row, np.int64))
-                starts.append(first)
-                of_key.append(key[at].view(np.int64))
+                same = (np.full(len(first), x, np.int64) for x in (row, code, doc))
+                fixed.append((*same, first, key[at].view(np.int64)))
                 found.extend(data[a : b + width - 1] for a, b in zip(first.tolist(), last.tolist()))
-            columns = [pa.array(np.concatenate(x).astype(np.int64)) for x in (ids, rows, starts, of_key)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.binary())], ["_id", "_row", "start", "key", "bytes"])
+            columns = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*fixed)]
+            names = ["_row", "_hash", "_id", "first", "key", "bytes"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.binary())], names)
 
-    short = F.col("_row").bitwiseAND(F.lit(_ROW_MASK))
-    joined = texts.join(keys.hint("merge"), short == F.col("short_row")).select("_id", "_row", "text", "keys")
-    made = joined.mapInArrow(cut, "_id long, _row long, start long, key long, bytes binary")
+    joined = _brought(texts, settled, keys).where("keys IS NOT NULL")
+    made = joined.select("_row", "_hash", "_id", "text", "settled", "keys").mapInArrow(
+        cut, "_row long, _hash long, _id long, first long, key long, bytes binary"
+    )
     made = made.withColumn("digest", F.xxhash64("bytes"))
     path = shared_folder(texts.sparkSession)
     made.write.option("compression", "zstd").parquet(path)
@@ -365,21 +467,21 @@ def least_holders_of(found: DataFrame, width: int) -> DataFrame:
     return stored(few.unionByName(runs.select("key", "digest", F.expr(gaps).alias("at"), F.expr(lows).alias("low"))))
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """_id, _row, spans: byte ranges [start, end) of each document that has some, unsorted, overlapping."""
-    texts = _texts(docs)
-    found = shared_stretches(texts, shared_keys(texts, width), width)
+def repeated_spans(texts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """_row, spans: byte ranges (_hash, start, end) to remove, overlapping and in no order. `texts`: `_texts`."""
+    units_found = settled_units(texts, width)
+    settled = stored(_spans(units_found, "settled"))
+    keys = shared_keys(texts, settled, width)
+    found = shared_stretches(texts, settled, keys, width)
     least = least_holders_of(found, width)
     # Stretches that very many documents bear are split by the bytes that arrive (adaptive skew join).
-    places = found.select("_id", "_row", "start", "key", "digest").join(least.hint("merge"), ["key", "digest"])
+    places = found.select("_row", "_hash", "_id", "first", "key", "digest").join(least.hint("merge"), ["key", "digest"])
     runs = F.expr(
-        "filter(transform(low, (m, i) -> struct(start + at[i] AS start, start + at[i + 1] + "
-        f"{width - 1} AS end, m AS m)), x -> x.m < _id)"
+        "filter(transform(low, (m, i) -> struct(_hash AS _hash, first + at[i] AS start, "
+        f"first + at[i + 1] + {width - 1} AS end, m AS m)), x -> x.m < _id)"
     )
-    spans = places.select("_id", "_row", F.transform(runs, lambda x: F.struct(x["start"], x["end"])).alias("spans"))
-    spans = spans.where(F.size("spans") > 0)
-    # Rows repeated whole tell the same spans.
-    return spans.groupBy("_id", "_row").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    spans = places.select("_row", F.explode(runs).alias("s")).select("_row", "s._hash", "s.start", "s.end")
+    return _spans(units_found.unionByName(spans), "spans")
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -392,28 +494,21 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """
     if width < 2:
         raise ValueError("width must be 2 or more")
-    spans = repeated_spans(docs, width)
-    told = docs.select("doc_id", whole_text().alias("text")).select(
-        "doc_id",
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_id"),
-        F.xxhash64("doc_id", "text").alias("_row"),
-        "text",
-    )
-    joined = told.join(spans.hint("merge"), ["_id", "_row"], "left").select(
-        "doc_id", "text", F.transform("spans", lambda x: x["start"]).alias("a"), F.transform("spans", lambda x: x["end"]).alias("b")
-    )
+    texts = _texts(docs)
+    told = _brought(texts, stored(repeated_spans(texts, width))).select("doc_id", "_hash", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sizes, spans, kept = [], [], []
-            for text, a, b in zip(*(part.column(i).to_pylist() for i in (1, 2, 3))):
-                data = text.encode()
+            for code, text, found in zip(*(part.column(i).to_pylist() for i in (1, 2, 3))):
+                data, mine = text.encode(), [(a, b) for a, b in _own(found, code) if b - a >= width]
                 sizes.append(len(data))
-                if not a:
+                if not mine:
                     spans.append([])
                     kept.append(data)
                     continue
                 edge = np.zeros(len(data) + 1, np.int64)
+                a, b = np.array(mine).T
                 np.add.at(edge, a, 1)
                 np.add.at(edge, b, -1)
                 gone = np.cumsum(edge) > 0
@@ -421,11 +516,11 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 spans.append([{"start": int(x), "end": int(y)} for x, y in zip(turn[::2], turn[1::2])])
                 kept.append(np.frombuffer(data, np.uint8)[~gone[:-1]].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sizes, pa.int64()), pa.array(spans, _SPANS), pa.array(kept, pa.binary())],
+                [part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(spans, _SPANS), pa.array(kept, pa.binary())],
                 ["doc_id", "n_bytes", "spans", "kept"],
             )
 
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    return told.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
