@@ -102,24 +102,33 @@ def word_rows(docs: DataFrame) -> DataFrame:
     return docs.sparkSession.read.schema(made.schema).parquet(path)
 
 
+def word_keys(lang: str, ids: np.ndarray) -> np.ndarray:
+    """Keys of single words. Languages are hashed apart from words: a word may be spelt like a language."""
+    return mixed(ids ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode(), seed=1)))
+
+
+def phrase_keys(words: list[np.ndarray]) -> np.ndarray:
+    """Keys of phrases from the keys of their words: first words, second words and so on."""
+    if len(words) == 1:
+        return words[0]
+    total = np.full(len(words[0]), len(words), np.uint64)
+    for word in words:
+        total = total * _PRIME + word
+    return mixed(total, len(words))
+
+
 class Grams:
     """Keys of all phrases of one row. A phrase's key depends on its language and words alone."""
 
     def __init__(self, lang: str, ids: bytes):
         self.ids = np.frombuffer(ids, np.uint64)
-        # Languages are hashed apart from words: a word may be spelt like a language.
-        self.word = mixed(self.ids ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode(), seed=1)))
+        self.word = word_keys(lang, self.ids)
         self.real = self.ids != 0
 
     def keys(self, n: int) -> np.ndarray:
         """Key of the n words from each place on."""
-        if n == 1:
-            return self.word
         size = max(0, len(self.word) - n + 1)
-        total = np.full(size, n, np.uint64)
-        for i in range(n):
-            total = total * _PRIME + self.word[i : i + size]
-        return mixed(total, n)
+        return phrase_keys([self.word[i : i + size] for i in range(n)])
 
     def whole(self, n: int) -> np.ndarray:
         """Whether the n words from each place on lie in one piece."""
@@ -211,7 +220,7 @@ def counted(rows: DataFrame, n: int, choose: Choose | None, least: int) -> DataF
 
 def described(rows: DataFrame, counts: DataFrame, n: int) -> DataFrame:
     """lang, n, key, f, ids (word hashes) and parts (keys left and right of each cut, in order) of phrases."""
-    bits = key_filter(counts)
+    bits, columns = key_filter(counts), [f"w{i}" for i in range(n)]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -224,22 +233,36 @@ def described(rows: DataFrame, counts: DataFrame, n: int) -> DataFrame:
             mine = np.array([int(k) not in seen for k in new], bool)
             seen.update(map(int, new[mine]))
             at = at[first[mine]]
-            ids = np.stack([row.ids[at + i] for i in range(n)], 1).view(np.int64)
-            sides = [x for k in range(1, n) for x in (row.keys(k)[at], row.keys(n - k)[at + k])]
-            parts = np.stack(sides, 1).view(np.int64)
+            words = [pa.array(row.ids[at + i].view(np.int64)) for i in range(n)]
+            langs = pa.array([lang] * len(at), pa.string())
+            yield pa.RecordBatch.from_arrays([langs, pa.array(keys[at].view(np.int64)), *words], ["lang", "key", *columns])
+
+    def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column("lang").to_pylist()
+            ids = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in columns], 1)
+            words = np.empty_like(ids)
+            for lang in set(langs):
+                mine = np.array([x == lang for x in langs])
+                words[mine] = word_keys(lang, ids[mine])
+            word = list(words.T)
+            sides = [x for k in range(1, n) for x in (phrase_keys(word[:k]), phrase_keys(word[k:]))]
+            lists = [
+                pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1], m.ravel().view(np.int64))
+                for m in (ids, np.stack(sides, 1))
+            ]
+            sizes = pa.array([n] * len(langs), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([lang] * len(at), pa.string()),
-                    pa.array(keys[at].view(np.int64)),
-                    pa.array(list(ids), pa.list_(pa.int64())),
-                    pa.array(list(parts), pa.list_(pa.int64())),
-                ],
-                ["lang", "key", "ids", "parts"],
+                [batch.column("lang"), sizes, batch.column("key"), batch.column("f"), *lists],
+                ["lang", "n", "key", "f", "ids", "parts"],
             )
 
-    schema = "lang string, key long, ids array<long>, parts array<long>"
-    once = rows.select("lang", "ids").mapInArrow(find, schema).dropDuplicates(["key"])
-    return stored(once.join(counts, "key").select("lang", F.lit(n).alias("n"), "key", "f", "ids", "parts"))
+    fixed = ", ".join(f"{c} long" for c in columns)
+    met = rows.select("lang", "ids").mapInArrow(find, f"lang string, key long, {fixed}")
+    once = met.groupBy("lang", "key").agg(*[F.max(c).alias(c) for c in columns])
+    told = once.join(counts, "key").select("lang", "key", "f", *columns)
+    schema = "lang string, n int, key long, f long, ids array<long>, parts array<long>"
+    return stored(told.mapInArrow(take_apart, schema))
 
 
 def _ratio(a: Column, l: Column, r: Column) -> Column:
