@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessgrid.llm.common import shared_folder, stored, whole_text
+from tessgrid.llm.common import shared_folder, stored, tidy, whole_text
 from tessgrid.llm.jaccard import mixed
 from tessgrid.llm.workers import slices
 from tessgrid.operators.ordered import salted_join
@@ -43,9 +43,11 @@ from tessgrid.operators.ordered import salted_join
 #: Bytes of a repeated string, and of the grams that minimizers and cuts are chosen from.
 WIDTH, GRAM = 50, 16
 #: A cut has the least hash among so many grams on either side; pieces are about twice as long.
-REACH = 128
+REACH = 64
 #: Bytes a bucket and a shard hold, about, and stretches of a key beyond which it is cut into windows.
 BUCKET, SHARD, SPLIT = 1 << 18, 1 << 16, 2048
+#: Keys of that kind that are broadcast at most.
+BROADCAST_KEYS = 10_000
 #: Bytes of text in a file of the bucketed table, about, and files at most.
 FILE, MOST_FILES = 1 << 25, 100_000
 #: Windows of a text that are routed at a time, keys that a task holds, bytes of key and row in the filter.
@@ -153,7 +155,8 @@ def _texts(docs: DataFrame) -> DataFrame:
     files = int(min(size // FILE + 1, MOST_FILES))
     name = f"texts_{uuid.uuid4().hex}"
     writer = told.repartition(files, "_row").write.bucketBy(files, "_row").option("compression", "zstd")
-    writer.option("path", shared_folder(spark)).format("parquet").saveAsTable(name)
+    with tidy(spark):
+        writer.option("path", shared_folder(spark)).format("parquet").saveAsTable(name)
     stored_texts = spark.table(name)
     # The name is needed no longer; the files stay.
     spark.sql(f"DROP TABLE {name}")
@@ -284,9 +287,7 @@ def shared_stretches(texts: DataFrame, settled: DataFrame, keys: DataFrame, widt
         cut, "_row long, _hash long, _id long, first long, key long, bytes binary"
     )
     made = made.withColumn("digest", F.xxhash64("bytes"))
-    path = shared_folder(texts.sparkSession)
-    made.write.option("compression", "zstd").parquet(path)
-    return texts.sparkSession.read.schema(made.schema).parquet(path)
+    return stored(made, "zstd")
 
 
 class Shard:
@@ -432,20 +433,19 @@ def _dealt(strings: DataFrame, by: list[str]) -> DataFrame:
 
 def least_holders_of(found: DataFrame, width: int) -> DataFrame:
     """_merged() for all stretches in `found`, keys with very many of them by single windows."""
-    strings = stored(
-        found.groupBy("key", "bytes").agg(F.min("_id").alias("low"), F.max("_id").alias("high"))
-        .withColumn("digest", F.xxhash64("bytes"))
-    )
-    told = strings.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("low").alias("a"), F.max("high").alias("b")
-    )
-    # Keys that only one document offers, or rows repeated under one id, drop out here.
-    told = told.where("a < b").select("key", (F.col("n") > SPLIT).alias("hot"))
-    strings = stored(salted_join(strings, told, ["key"], F.col("digest")).where("hot IS NOT NULL"))
+    strings = found.groupBy("key", "bytes").agg(F.min("_id").alias("low"), F.max("_id").alias("high"))
+    strings = stored(strings.withColumn("digest", F.xxhash64("bytes")), "zstd")
+    large = stored(strings.groupBy("key").count().where(F.col("count") > SPLIT).select("key", F.lit(True).alias("hot")))
+    n_large = large.count()
+    if n_large == 0:
+        return stored(_merged(_dealt(strings, ["key"]), width))
+    if n_large <= BROADCAST_KEYS:
+        strings = strings.join(F.broadcast(large), "key", "left")
+    else:
+        strings = salted_join(strings, large, ["key"], F.col("digest"))
+    strings = stored(strings.withColumn("hot", F.col("hot").isNotNull()))
     few = _merged(_dealt(strings.where("NOT hot"), ["key"]), width)
     hot = strings.where("hot")
-    if hot.isEmpty():
-        return stored(few)
     each = F.posexplode(
         F.expr(f"transform(sequence(1, octet_length(bytes) - {width - 1}), i -> substring(bytes, i, {width}))")
     )
@@ -471,7 +471,8 @@ def repeated_spans(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """_row, spans: byte ranges (_hash, start, end) to remove, overlapping and in no order. `texts`: `_texts`."""
     units_found = settled_units(texts, width)
     settled = stored(_spans(units_found, "settled"))
-    keys = shared_keys(texts, settled, width)
+    # A stored side is shuffled to the buckets of the texts, never the texts to it.
+    keys = stored(shared_keys(texts, settled, width))
     found = shared_stretches(texts, settled, keys, width)
     least = least_holders_of(found, width)
     # Stretches that very many documents bear are split by the bytes that arrive (adaptive skew join).

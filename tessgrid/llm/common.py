@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,26 +49,64 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+#: Shuffle files go when the write that made them ends: what was written no longer needs them. Python tasks
+#: get so many rows at a time at most, as rows hold whole texts.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2048
+
+
+@contextmanager
+def tidy(spark: SparkSession, batch_rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Writes inside drop their shuffle files at their end and hand Python tasks small batches."""
+    wanted = {_CLEANUP: "true", _BATCH: str(batch_rows)}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def stored(df: DataFrame, compression: str | None = None, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """`df` written to the shared folder and read back: computed once, and safe from lost executors."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    with tidy(spark, batch_rows):
+        (df.write.option("compression", compression) if compression else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """`docs` stored with one more column, _row: a number of the stored row, which no other row bears."""
-    return stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+    """`docs` stored as _doc, one struct of all its columns whatever their names, and _row: a number of the
+    stored row, which no other row bears."""
+    return stored(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row")))
 
 
 def one_per_group(rows: DataFrame, groups: DataFrame, first: list[Column]) -> DataFrame:
-    """Of `numbered` rows one of each group, without _row. `groups` gives (_row, _group) for every row. The
-    row that is least by `first` stays, then by doc_id with null last, then by _row."""
-    order = F.struct(*first, F.col("doc_id").isNull(), "doc_id", "_row")
+    """Of `numbered` rows one of each group, as it was. `groups` gives (_row, _group) for every row. The row
+    that is least by `first` stays, then by doc_id with null last, then by _row."""
+    doc_id = F.col("_doc.doc_id")
+    order = F.struct(*first, doc_id.isNull(), doc_id.alias("doc_id"), "_row")
     kept = (
         rows.select("_row", order.alias("_order"))
         .join(groups.hint("merge"), "_row")
         .groupBy("_group")
         .agg(F.min("_order")["_row"].alias("_row"))
     )
-    return rows.join(kept.select("_row").hint("merge"), "_row", "left_semi").select(*[c for c in rows.columns if c != "_row"])
+    return rows.join(kept.select("_row").hint("merge"), "_row", "left_semi").select("_doc.*")
+
+
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores added to those that are taken, in upper or lower case."""
+    lower = {t.lower() for t in taken}
+    found = []
+    for name in names:
+        while name.lower() in lower:
+            name += "_"
+        found.append(name)
+    return found

@@ -37,16 +37,19 @@ def _id_of(rank: Column) -> Column:
 
 
 def digests(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """doc_id, n_points (code points of the original), salt, digest and the normalised text."""
+    """doc_id, place (number of the row), n_points (code points of the original), salt, digest and the
+    normalised text. The salt goes by place, so it splits rows of one id or of none."""
     if not 1 <= salts <= 62:
         raise ValueError("salts must be in 1..62")
     text = whole_text("text")
     return docs.select(
         "doc_id",
+        F.monotonically_increasing_id().alias("place"),
         F.char_length(text).alias("n_points"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"),
         without_blanks(text).alias("norm"),
-    ).withColumn("digest", F.unhex(F.sha2("norm", 256)))
+    ).withColumns(
+        {"salt": F.pmod(F.xxhash64("place"), F.lit(salts)), "digest": F.unhex(F.sha2("norm", 256))}
+    )
 
 
 def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
@@ -54,17 +57,19 @@ def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
 
     The row with the most code points stays, then the smallest doc_id. Null texts count as empty; empty
     texts are one group. A null doc_id yields to any other id. Rows repeated under one id each count in
-    group_size and stay or go together. Extra columns are ignored; an empty table gives no rows.
+    group_size, and `kept` is true for one of them only. Extra columns are ignored; an empty table gives no
+    rows.
     """
     keyed = digests(docs, salts)
     rank = _rank(F.col("n_points"), F.col("doc_id"))
     salted = keyed.groupBy("salt", "digest", "norm").agg(
-        F.max(rank).alias("best"), F.count(F.lit(1)).alias("n")
+        F.max(rank).alias("best"), F.max_by("place", rank).alias("place"), F.count(F.lit(1)).alias("n")
     )
     winners = (
         salted.groupBy("digest", "norm")
         .agg(
             F.max("best").alias("best"),
+            F.max_by("place", "best").alias("best_place"),
             F.sum("n").alias("group_size"),
             F.bit_or(F.expr("shiftleft(1L, CAST(salt AS INT))")).alias("in_salts"),
         )
@@ -72,18 +77,18 @@ def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
             "digest",
             "group_size",
             _id_of(F.col("best")).alias("keep_id"),
-            "best",
+            "best_place",
             F.explode(
                 F.expr(f"filter(sequence(0L, {salts - 1}L), s -> (in_salts & shiftleft(1L, CAST(s AS INT))) != 0)")
             ).alias("salt"),
         )
     )
-    rows = keyed.select("doc_id", "salt", "digest", rank.alias("rank"))
+    rows = keyed.select("doc_id", "salt", "digest", "place")
     return rows.join(winners.hint("merge"), ["digest", "salt"]).select(
         "doc_id",
         "keep_id",
         "group_size",
-        (F.col("rank") == F.col("best")).alias("kept"),
+        (F.col("place") == F.col("best_place")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
@@ -93,6 +98,6 @@ def drop_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     null last. Rows are told apart by their stored number, so ids may repeat, be null, or bear several
     texts."""
     rows = numbered(docs)
-    groups = exact_groups(rows.select(F.col("_row").alias("doc_id"), "text"), salts)
+    groups = exact_groups(rows.select(F.col("_row").alias("doc_id"), "_doc.text"), salts)
     groups = groups.select(F.col("doc_id").alias("_row"), F.col("keep_id").alias("_group"))
-    return one_per_group(rows, groups, [-F.char_length(whole_text("text"))])
+    return one_per_group(rows, groups, [-F.char_length(whole_text("_doc.text"))])

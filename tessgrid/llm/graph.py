@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessgrid.llm.common import stored
+from tessgrid.operators.ordered import salted_join
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,10 +24,12 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # The centre of a star may have most links: they are spread over copies of its one row.
+        large = salted_join(both.where("v > u"), least, ["u"], F.xxhash64("v"))
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(least, "u")
+        near = salted_join(large, least, ["u"], F.xxhash64("v"))
         small = (
             near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v")))

@@ -6,7 +6,10 @@ shards, so a filter on any of the dimensions touches few of them.
 
 Ranks come from counts of curve cells, not from one global sort: totals of coarse cells (at most
 2**COARSE_BITS rows), running counts inside a coarse cell, and row numbers inside a cell. A cell is cut
-into 2**SPLIT_BITS parts by id hash, so a cell that holds a third of all rows is ranked by many tasks.
+into 2**SPLIT_BITS parts by text hash, and the rows of a text with many copies by row, so a cell or a text
+that holds a third of all rows is ranked by many tasks.
+
+Equal texts take the place of the first of them, whatever their own source and language, and lie in a row.
 """
 
 from __future__ import annotations
@@ -16,11 +19,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessgrid.llm.common import stored, whole_text
+from tessgrid.llm.common import free_names, stored, whole_text
+from tessgrid.operators.ordered import salted_join
 
 #: Bits per dimension; three dimensions give a curve of 2**24 cells.
 DIM_BITS = 8
 COARSE_BITS, SPLIT_BITS = 16, 8
+#: Copies of a text from which on they are split.
+MANY = 256
 N_SHARDS = 24
 
 
@@ -74,7 +80,7 @@ def hilbert(*dims: Column) -> Column:
 
 
 def ranked(rows: DataFrame) -> DataFrame:
-    """Adds `rank`, 0 up, in order of (curve, part, doc_id), and `total`. Needs curve and part."""
+    """Adds `rank`, 0 up, in order of (curve, part, text, doc_id), and `total`. Needs curve and part."""
     cells = rows.groupBy("curve", "part").agg(F.count(F.lit(1)).alias("n"))
     cells = cells.withColumn("coarse", F.shiftright("curve", 3 * DIM_BITS - COARSE_BITS))
     totals = cells.groupBy("coarse").agg(F.sum("n").alias("n"))
@@ -93,7 +99,7 @@ def ranked(rows: DataFrame) -> DataFrame:
         "total",
         (F.col("coarse_start") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("start"),
     )
-    within = Window.partitionBy("curve", "part").orderBy("doc_id", "text_crc32", "size")
+    within = Window.partitionBy("curve", "part").orderBy("text_hash", "doc_id", "text_crc32", "size")
     return (
         rows.join(placed.hint("merge"), ["curve", "part"])
         .withColumn("rank", F.col("start") + F.row_number().over(within) - 1)
@@ -104,10 +110,11 @@ def shards(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, curve for every document, under the law
     `rows`: shard counts differ by one at most.
 
-    Dimensions: source, lang and text length. Null texts have size 8 and the checksum of empty text; null
-    source or lang is a category of its own. Equal texts of one source and language lie next to each
-    other on the curve; a shard border may part them. Rows repeated under one id get slots of their own.
-    Fewer documents than shards leave some shards empty.
+    Dimensions: source, lang and text length. Equal texts go by source and lang of the one with the smallest
+    doc_id (null first), and lie next to each other; of their groups only those that one of the n_shards - 1
+    borders falls into are parted, as counts may not differ. Null texts are empty texts, of size 8; null
+    source or lang is a category of its own. Rows repeated under one id get slots of their own. Fewer
+    documents than shards leave some shards empty.
     """
     text = whole_text()
     rows = stored(
@@ -115,18 +122,31 @@ def shards(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
             "doc_id",
             (F.octet_length(text) + 8).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-            category("source").alias("d0"),
-            category("lang").alias("d1"),
-            magnitude(F.octet_length(text)).alias("d2"),
-            F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - SPLIT_BITS).alias("part"),
+            F.xxhash64(text).alias("text_hash"),
+            F.shiftleft(category("source"), DIM_BITS).bitwiseOR(category("lang")).alias("own"),
+            magnitude(F.octet_length(text)).alias("length"),
+            F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - SPLIT_BITS).alias("spread"),
         )
-        .withColumn("curve", hilbert(F.col("d0"), F.col("d1"), F.col("d2")))
-        .drop("d0", "d1", "d2")
     )
+    groups = rows.groupBy("text_hash").agg(
+        F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "own"))["own"].alias("home")
+    )
+    told = salted_join(rows, groups.where("copies > 1"), ["text_hash"], F.col("spread"))
+    home = F.coalesce("home", "own")
+    text_part = F.shiftleft(F.shiftrightunsigned("text_hash", 64 - SPLIT_BITS), SPLIT_BITS)
+    placed = stored(
+        told.select(
+            "doc_id", "size", "text_crc32", "text_hash",
+            text_part.bitwiseOR(F.when(F.col("copies") > MANY, F.col("spread")).otherwise(0)).alias("part"),
+            hilbert(
+                F.shiftright(home, DIM_BITS), home.bitwiseAND(F.lit(2**DIM_BITS - 1)), F.col("length")
+            ).alias("curve"),
+        )
+    )
     shard = F.expr(f"rank * {n_shards} DIV total")
     first = F.expr(f"(shard * total + {n_shards - 1}) DIV {n_shards}")
     return (
-        ranked(rows)
+        ranked(placed)
         .withColumn("shard", shard)
         .withColumn("slot", F.col("rank") - first)
         .select(
@@ -138,12 +158,20 @@ def shards(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = N_SHARDS) -> None:
     """Documents as Parquet, one folder per shard. A shard is cut along its curve order into files, whose
-    footers then hold narrow ranges of every dimension."""
-    placed = shards(docs, n_shards).select(F.col("doc_id").alias("_id"), "shard", "slot", "curve")
-    joined = docs.join(placed.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_id"))).drop("_id")
+    footers then hold narrow ranges of every dimension. The columns `shard`, `slot` and `curve` are added,
+    with an underscore behind them where the documents have such columns."""
+    shard, slot, curve, place = free_names(docs.columns, "shard", "slot", "curve", "_place")
+    # Ids may repeat or be null: rows are joined by their number, in a stored copy.
+    rows = stored(docs.withColumn(place, F.monotonically_increasing_id()))
+    numbered = rows.select(F.col(place).alias("doc_id"), "text", "source", "lang")
+    placed = shards(numbered, n_shards).select(
+        F.col("doc_id").alias(place), F.col("shard").alias(shard), F.col("slot").alias(slot), F.col("curve").alias(curve)
+    )
     (
-        joined.repartitionByRange("shard", "slot")
-        .sortWithinPartitions("shard", "slot")
-        .write.partitionBy("shard")
+        rows.join(placed.hint("merge"), place)
+        .drop(place)
+        .repartitionByRange(shard, slot)
+        .sortWithinPartitions(shard, slot)
+        .write.partitionBy(shard)
         .parquet(path)
     )

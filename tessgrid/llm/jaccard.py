@@ -8,9 +8,14 @@
    that merely share a passage; a document with too few of those also offers all its buckets (level 1),
    and if those are too few each shingle by itself (level 2). Both of a pair reach a level if the level
    before helps neither, so no pair is lost.
+   A key that very many sets offer is *hot*. A document that has more than n / 4 level-0 keys that are not
+   hot leaves the hot ones: a partner shares one of the others with it, and offers that too, as nobody
+   leaves a key that is not hot. If both of a pair have too few of those, both keep their hot keys. So lists
+   of hot keys hold documents that consist of hot passages, not all that contain one.
 3. Rounds. In each list of nodes with a common key, first every member is held against one leader; links
    merge nodes into components. In a list whose members then still lie in different components, the
-   members of different components whose bit sketches allow a link are held against each other. A group
+   members of different components whose bit sketches allow a link are held against each other. Sketches
+   have a bit or more for each shingle, so unlike sets do not pass, however long. A group
    of near copies thus costs one comparison per member, and no list is ever turned into all its pairs.
 4. T-occurrence search. A comparison searches the leader's shingles in the inverted lists of its
    candidates: the longest lists are left out, the short ones are merged by a heap, candidates that may
@@ -36,17 +41,20 @@ from pyspark.sql import functions as F
 
 from tessgrid.llm.common import numbered, one_per_group, stored, whole_text
 from tessgrid.llm.graph import components
-from tessgrid.llm.workers import Memo, slices, worker_wide
+from tessgrid.llm.workers import Memo, release, slices
 
 WORDS = 5
 #: Similarity at which documents link, in percent.
 PERCENT = 80
-SKETCH_LONGS = 8
+#: Bits of a sketch at least; larger sets have the power of two from their size on.
+SKETCH_BITS = 512
+#: Sets that offer a key from which on it is hot.
+HOT = 512
 #: Leaders tried per list before the members of different components are held against each other.
 STAR_ROUNDS = 2
 #: Candidates of one search, members of one chunk of a list, and entries a task holds before it passes
 #: them on. Larger groups are cut into several, none is left out.
-SEARCH, CHUNK, HELD = 256, 20_000, 2_000_000
+SEARCH, CHUNK, HELD = 256, 20_000, 1_000_000
 #: Node ids that are broadcast to find the documents of candidates; more of them are joined by shuffle.
 BROADCAST_NODES = 1_000_000
 
@@ -83,10 +91,17 @@ def node_id(shingles: np.ndarray) -> int:
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parities of 64 * SKETCH_LONGS classes of shingles. Two sketches differ in no more bits than the
-    sets differ in shingles."""
-    bits = np.bincount((shingles % np.uint64(64 * SKETCH_LONGS)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    """Parities of classes of shingles, a power of two of them, as LONGs. Two sketches of one size differ in
+    no more bits than the sets differ in shingles; so do a sketch and a larger one folded."""
+    bits = max(SKETCH_BITS, 1 << (max(1, len(shingles)) - 1).bit_length())
+    parity = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64)
+
+
+def folded(sketches: np.ndarray) -> np.ndarray:
+    """Sketches of half the size: classes half a size apart are one class there."""
+    half = sketches.shape[-1] // 2
+    return sketches[..., :half] ^ sketches[..., half:]
 
 
 def _bucket_keys(shingles: np.ndarray, octave: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,25 +116,35 @@ def _bucket_keys(shingles: np.ndarray, octave: int) -> tuple[np.ndarray, np.ndar
     return mixed(sums + at[first], 2000 + octave), counts
 
 
-def routing_keys(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Keys of which any two sets that link share one, unless they are equal. A set offers keys in the
-    octave of its size, and in the next one if a partner's size may lie there."""
+OWN, NEXT, OTHER = 0, 1, 2
+
+
+def routing_keys(shingles: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Keys of which any two sets that link share one, unless they are equal; the kind of each: level 0 in
+    the octave of the set's size (OWN) or in the next one (NEXT), which a set offers too if a partner's size
+    may lie there, or another level (OTHER); and by how many the level-0 keys of both octaves exceed the
+    shingles in which a partner may differ."""
     n = len(shingles)
     differ = _most_different(n, percent)
     if differ < 1:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint8), [0, 0]
     own = n.bit_length() - 1
     octaves = [own, own + 1] if n * 100 // percent >= 2 ** (own + 1) else [own]
-    keys = []
-    for octave in octaves:
+    keys, kinds, spare = [], [], [0, 0]
+    for kind, octave in enumerate(octaves):
         found, counts = _bucket_keys(shingles, octave)
         strong = found[counts > 1]
-        keys.append(strong)
+        offered = [(strong, kind)]
+        spare[kind] = len(strong) - differ
         if len(strong) <= differ:
-            keys.append(mixed(found, 1))
+            offered.append((mixed(found, 1), OTHER))
             if len(found) <= differ:
-                keys.append(mixed(shingles, 3000 + octave))
-    return np.unique(np.concatenate(keys))
+                offered.append((mixed(shingles, 3000 + octave), OTHER))
+        for some, of_kind in offered:
+            keys.append(some)
+            kinds.append(np.full(len(some), of_kind, np.uint8))
+    keys, first = np.unique(np.concatenate(keys), return_index=True)
+    return keys, np.concatenate(kinds)[first], spare
 
 
 def _most_different(n: int, percent: int) -> int:
@@ -129,106 +154,162 @@ def _most_different(n: int, percent: int) -> int:
     return (100 - percent) * (n + largest) // (100 + percent)
 
 
-def _sets(docs: DataFrame, width: int, with_sets: bool) -> DataFrame:
-    """doc_id, node, n_shingles, sketch, and on demand the shingles, per document."""
-    schema = "doc_id long, node long, n_shingles long, sketch array<long>"
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """node, shingles per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = worker_wide("words", lambda: Memo(xxhash.xxh3_64_intdigest))
+        words = Memo(xxhash.xxh3_64_intdigest)
         for part in slices(batches):
-            found = [shingle_set(t, words, width) for t in part.column(1).to_pylist()]
+            found = [shingle_set(t, words, width) for t in part.column(0).to_pylist()]
             columns = [
-                part.column(0),
                 pa.array([node_id(s) for s in found], pa.int64()),
-                pa.array([len(s) for s in found], pa.int64()),
-                pa.array([sketch(s) for s in found], pa.list_(pa.int64())),
+                pa.array([s.tobytes() for s in found], pa.binary()),
             ]
-            names = ["doc_id", "node", "n_shingles", "sketch"]
-            if with_sets:
-                columns.append(pa.array([s.tobytes() for s in found], pa.binary()))
-                names.append("shingles")
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    rows = docs.select("doc_id", whole_text().alias("text"))
-    return rows.mapInArrow(run, schema + ", shingles binary" * with_sets)
-
+            yield pa.RecordBatch.from_arrays(columns, ["node", "shingles"])
+        release()
+
+    return docs.select(whole_text().alias("text")).mapInArrow(run, "node long, shingles binary")
+
+
+_READ = pa.schema(
+    [
+        ("doc_id", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), ("sketch", pa.list_(pa.int64())),
+        ("spare_own", pa.int64()), ("spare_next", pa.int64()),
+        ("part", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary()), ("kinds", pa.binary()),
+    ]
+)
+_READ_DDL = (
+    "doc_id long, node long, n_shingles long, sketch array<long>, spare_own long, spare_next long, "
+    "part int, keys binary, nodes binary, kinds binary"
+)
 
-def _lists(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """list_id, node: nodes that share a routing key. Equal lists appear once.
 
-    Keys travel packed: a task sends one row per part of the key space, and a part is put in order by
-    one sort of two arrays.
-    """
+def _read(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Every text is hashed once. A row per document: doc_id, node, n_shingles, sketch, spare_own, spare_next;
+    and the routing keys of its node, packed: a task sends one row per part of the key space at a time."""
     parts = 4 * max(2, docs.rdd.getNumPartitions())
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = worker_wide("words", lambda: Memo(xxhash.xxh3_64_intdigest))
-        seen, keys, nodes, held = set(), [], [], 0
+    def rows_of(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+        size = len(next(iter(columns.values())))
+        arrays = [columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in _READ]
+        return pa.RecordBatch.from_arrays(arrays, schema=_READ)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Memo(xxhash.xxh3_64_intdigest)
+        seen, keys, nodes, kinds, held = set(), [], [], [], 0
 
         def packed() -> pa.RecordBatch:
-            key, node = np.concatenate(keys), np.concatenate(nodes)
+            key, node, kind = np.concatenate(keys), np.concatenate(nodes), np.concatenate(kinds)
             part = (key % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            key, node, part = key[order], node[order], part[order]
+            key, node, kind, part = key[order], node[order], kind[order], part[order]
             at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
             ends = np.append(at[1:], len(part))
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(part[at], pa.int32()),
-                    pa.array([key[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()),
-                    pa.array([node[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()),
-                ],
-                ["part", "keys", "nodes"],
-            )
+            cut = {
+                name: pa.array([x[a:b].tobytes() for a, b in zip(at, ends)], pa.binary())
+                for name, x in (("keys", key), ("nodes", node), ("kinds", kind))
+            }
+            return rows_of({"part": pa.array(part[at], pa.int32()), **cut})
 
         for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
+            of_doc, sizes, sketches, spares = [], [], [], []
+            for text in batch.column(1).to_pylist():
                 shingles = shingle_set(text, words, width)
                 node = node_id(shingles)
-                if node in seen:
-                    continue
-                seen.add(node)
-                mine = routing_keys(shingles, percent)
-                if len(mine):
+                mine, of_kind, spare = routing_keys(shingles, percent)
+                of_doc.append(node)
+                sizes.append(len(shingles))
+                sketches.append(sketch(shingles))
+                spares.append(spare)
+                if len(mine) and node not in seen:
+                    seen.add(node)
                     keys.append(mine)
                     nodes.append(np.full(len(mine), node, np.int64))
+                    kinds.append(of_kind)
                     held += len(mine)
+            yield rows_of(
+                {
+                    "doc_id": batch.column(0).cast(pa.int64()),
+                    "node": pa.array(of_doc, pa.int64()),
+                    "n_shingles": pa.array(sizes, pa.int64()),
+                    "sketch": pa.ListArray.from_arrays(
+                        np.cumsum([0, *map(len, sketches)], dtype=np.int32), np.concatenate(sketches)
+                    ),
+                    "spare_own": pa.array([s[OWN] for s in spares], pa.int64()),
+                    "spare_next": pa.array([s[NEXT] for s in spares], pa.int64()),
+                }
+            )
             if held >= HELD:
                 yield packed()
-                keys, nodes, held = [], [], 0
+                keys, nodes, kinds, held = [], [], [], 0
         if held:
             yield packed()
+        release()
+
+    told = stored(docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, _READ_DDL))
+    documents = told.where("part IS NULL").select("doc_id", "node", "n_shingles", "sketch", "spare_own", "spare_next")
+    return documents, told.where("part IS NOT NULL").select("part", "keys", "nodes", "kinds")
+
+
+def _lists(packed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """list_id, node: nodes that share a routing key, hot ones as far as needed. Equal lists appear once."""
 
     def gathered(table: pa.Table) -> pa.Table:
-        key = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
-        node = np.frombuffer(b"".join(table.column("nodes").to_pylist()), np.int64)
+        key, node, kind = (
+            np.frombuffer(b"".join(table.column(c).to_pylist()), t)
+            for c, t in (("keys", np.uint64), ("nodes", np.int64), ("kinds", np.uint8))
+        )
         order = np.argsort(key)
         same = key[order[1:]] == key[order[:-1]]
         order = order[np.append(same, False) | np.insert(same, 0, False)]
-        key, node = key[order], node[order]
+        key, node, kind = key[order], node[order], kind[order]
         order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        if not len(key):
-            return pa.table({"list_id": pa.array([], pa.int64()), "node": pa.array([], pa.int64())})
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
-        key, node = key[new], node[new]
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        key, node, kind = key[order], node[order], kind[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node, kind = key[new], node[new], kind[new]
+        opens = np.ones(len(key), bool)
+        opens[1:] = key[1:] != key[:-1]
+        first = np.flatnonzero(opens)
         sizes = np.diff(np.append(first, len(key)))
         # Lists with the same members are one list.
-        of_list = mixed(np.add.reduceat(mixed(node.view(np.uint64), 7), first) + sizes.astype(np.uint64), 8)
+        total = np.add.reduceat(mixed(node.view(np.uint64), 7), first) if len(first) else np.zeros(0, np.uint64)
+        of_list = mixed(total + sizes.astype(np.uint64), 8)
         once = np.zeros(len(first), bool)
         once[np.unique(of_list, return_index=True)[1]] = True
-        keep = np.repeat(once & (sizes > 1), sizes)
+        few = np.repeat(once & (sizes > 1) & (sizes <= HOT), sizes)
+        hot = np.repeat(sizes > HOT, sizes)
+        of_row = np.repeat(of_list, sizes).view(np.int64)
+        # Hot lists count once per key: how many hot keys a node has decides whether it needs them.
+        lists, members, kinds = of_row[hot], node[hot], kind[hot]
+        order = np.lexsort((kinds, members, lists))
+        lists, members, kinds = lists[order], members[order], kinds[order]
+        start = np.ones(len(lists), bool)
+        start[1:] = (lists[1:] != lists[:-1]) | (members[1:] != members[:-1]) | (kinds[1:] != kinds[:-1])
+        at = np.flatnonzero(start)
+        times = np.diff(np.append(at, len(lists)))
+        n_few = int(few.sum())
         return pa.table(
             {
-                "list_id": pa.array(np.repeat(of_list, sizes)[keep].view(np.int64)),
-                "node": pa.array(node[keep]),
+                "list_id": pa.array(np.concatenate([of_row[few], lists[at]])),
+                "node": pa.array(np.concatenate([node[few], members[at]])),
+                "kind": pa.array(np.concatenate([np.full(n_few, -1), kinds[at]]).astype(np.int32)),
+                "n_keys": pa.array(np.concatenate([np.ones(n_few, np.int64), times])),
             }
         )
 
-    rows = docs.select(whole_text().alias("text")).mapInArrow(keyed, "part int, keys binary, nodes binary")
-    found = rows.groupBy("part").applyInArrow(gathered, "list_id long, node long")
-    return found.distinct()
+    found = stored(packed.groupBy("part").applyInArrow(gathered, "list_id long, node long, kind int, n_keys long"))
+    few = found.where("kind < 0").select("list_id", "node")
+    hot = found.where("kind >= 0")
+    spent = hot.where(F.col("kind") < OTHER).groupBy("node", "kind").agg(F.sum("n_keys").alias("spent"))
+    spare = nodes.select(F.col("node").alias("_node"), "spare_own", "spare_next")
+    short = (
+        spent.join(spare.hint("merge"), F.col("node") == F.col("_node"))
+        .where(F.col("spent") >= F.when(F.col("kind") == OWN, F.col("spare_own")).otherwise(F.col("spare_next")))
+        .select("node", "kind")
+    )
+    needed = hot.join(short.hint("merge"), ["node", "kind"], "left_semi").unionByName(hot.where(F.col("kind") == OTHER))
+    return few.unionByName(needed.select("list_id", "node")).distinct()
 
 
 def occurrences(query: np.ndarray, candidates: list[np.ndarray], percent: int = PERCENT) -> list[int]:
@@ -273,7 +354,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, p
         bearers = F.broadcast(bearers)
     # The only bearers of a node may have null ids, which no join finds.
     read = docs.join(bearers, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
-    sets = _sets(read, width, True).select("node", "shingles").join(wanted, "node", "left_semi")
+    sets = _sets(read, width).join(wanted, "node", "left_semi")
     sets = stored(sets.dropDuplicates(["node"]))
     sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SEARCH)
     chunk = F.pmod(F.xxhash64("b"), F.ceil(F.coalesce("n", F.lit(1)) / SEARCH))
@@ -297,9 +378,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, p
 
 
 def _may_link(percent: int) -> F.Column:
-    """From sizes and sketches alone: could (n_a, sketch_a) and (n_b, sketch_b) link?"""
+    """From sizes and sketches alone: could (n_a, sketch_a) and (n_b, sketch_b) link? Sizes that may link are
+    an octave apart at most."""
+
+    def fold(name: str, other: str) -> F.Column:
+        half = (F.size(name) / 2).cast("int")
+        both = F.zip_with(F.slice(name, F.lit(1), half), F.slice(name, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(name) > F.size(other), both).otherwise(F.col(name))
+
     apart = F.aggregate(
-        F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+        F.zip_with(fold("sketch_a", "sketch_b"), fold("sketch_b", "sketch_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
         F.lit(0),
         lambda total, x: total + x,
     )
@@ -347,18 +435,30 @@ def _cross_pairs(lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def meet(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
         node, label, size = (table.column(c).to_numpy() for c in ("node", "label", "n_shingles"))
-        bits = np.array(table.column("sketch").to_pylist(), np.int64).reshape(len(node), -1).view(np.uint64)
-        here = np.flatnonzero(~asks)
+        of_row = [np.array(x, np.int64).view(np.uint64) for x in table.column("sketch").to_pylist()]
+        length = np.fromiter(map(len, of_row), np.int64, len(of_row))
+        here = {int(k): np.flatnonzero(~asks & (length == k)) for k in np.unique(length)}
+        whole = {k: np.stack([of_row[i] for i in at]) for k, at in here.items() if len(at)}
+        half = {k: folded(bits) for k, bits in whole.items() if k > 1}
         a, b = [], []
         for i in np.flatnonzero(asks):
-            apart = np.bitwise_count(bits[here] ^ bits[i]).sum(axis=1)
-            small, large = np.minimum(size[here], size[i]), np.maximum(size[here], size[i])
-            may = (label[here] != label[i]) & (large * percent <= small * 100)
-            may &= apart.astype(np.int64) * (100 + percent) <= (small + large) * (100 - percent)
-            found = node[here[may]]
-            a.append(np.minimum(found, node[i]))
-            b.append(np.maximum(found, node[i]))
+            k = int(length[i])
+            own = [(k, of_row[i], whole.get(k)), (2 * k, of_row[i], half.get(2 * k))]
+            if k > 1:
+                own.append((k // 2, folded(of_row[i]), whole.get(k // 2)))
+            for other, mine, bits in own:
+                if bits is None:
+                    continue
+                at = here[other]
+                apart = np.bitwise_count(bits ^ mine).sum(axis=1)
+                small, large = np.minimum(size[at], size[i]), np.maximum(size[at], size[i])
+                may = (label[at] != label[i]) & (large * percent <= small * 100)
+                may &= apart.astype(np.int64) * (100 + percent) <= (small + large) * (100 - percent)
+                found = node[at[may]]
+                a.append(np.minimum(found, node[i]))
+                b.append(np.maximum(found, node[i]))
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        release()
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     met = members.unionByName(asking).groupBy("list_id", "chunk").applyInArrow(meet, "a long, b long")
@@ -377,15 +477,16 @@ def similar_groups(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
         raise ValueError("percent must be in 50..100")
     docs = docs.select("doc_id", "text")
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(16))
-    rows = stored(_sets(docs, width, False))
+    rows, packed = _read(docs, width, percent)
+    about = ("n_shingles", "sketch", "spare_own", "spare_next")
     nodes = stored(
         rows.where("n_shingles > 0")
         .groupBy("node", spread.alias("s"))
-        .agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+        .agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in about])
         .groupBy("node")
-        .agg(F.min("doc").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+        .agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in about])
     )
-    lists = stored(_lists(docs, width, percent))
+    lists = stored(_lists(packed, nodes))
     open_lists = lists.withColumn("label", F.col("node"))
     links, labels = None, None
     for turn in range(STAR_ROUNDS + 1):
@@ -424,5 +525,5 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """Exactly one row of each component, all columns as they were: the smallest doc_id, null last. Rows are
     told apart by their stored number, so ids may repeat or be null."""
     rows = numbered(docs)
-    groups = similar_groups(rows.select(F.col("_row").alias("doc_id"), "text"), **settings)
+    groups = similar_groups(rows.select(F.col("_row").alias("doc_id"), "_doc.text"), **settings)
     return one_per_group(rows, groups.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), [])

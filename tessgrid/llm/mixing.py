@@ -21,9 +21,12 @@ SHARE_PERCENT, MOST_REPEATS = 150, 2
 BITS, LEVELS = 10, 4
 
 
-def id_hash(doc_id: str = "doc_id") -> Column:
-    """The first BITS * LEVELS bits of the md5 of the id as text; null ids hash as empty text."""
-    text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+def id_hash(doc_id: str | Column = "doc_id", place: Column | None = None) -> Column:
+    """The first BITS * LEVELS bits of the md5 of the id as text. A null id has the hash of its row's place, so
+    that rows without an id do not come all or nothing."""
+    key = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    other = F.lit("") if place is None else F.concat(F.lit("row "), place.cast("string"))
+    text = F.coalesce(key.cast("string"), other)
     return F.conv(F.substring(F.md5(text), 1, BITS * LEVELS // 4), 16, 10).cast("long")
 
 
@@ -119,14 +122,16 @@ def repeats(h: str = "h") -> Column:
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, source, size in words and hash of every document."""
-    return docs.select("doc_id", "source", word_count(whole_text()).alias("size"), id_hash().alias("h"))
+    place = F.monotonically_increasing_id()
+    return docs.select("doc_id", "source", word_count(whole_text()).alias("size"), id_hash("doc_id", place).alias("h"))
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document.
 
     Null texts have size 0, null is a source of its own and comes last. Rows repeated under one id share
-    a hash and are taken alike. Sources without words get target 0. Extra columns are ignored.
+    a hash and are taken alike; rows without an id go by their place in the table, each for itself. Sources
+    without words get target 0. Extra columns are ignored.
     """
     rows = stored(measured(docs))
     plan = thresholds(rows, source_targets(rows, **settings))
@@ -137,16 +142,16 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: all columns of `docs`, each document as often as it is taken. Documents without
     words follow their hash like any other."""
-    rows = stored(measured(docs))
+    place = F.monotonically_increasing_id()
+    # Stored with the hash, as the place of a row is only its place in one reading.
+    told = stored(docs.select(F.struct("*").alias("_doc"), id_hash("doc_id", place).alias("_h")))
+    rows = stored(told.select("_doc.doc_id", "_doc.source", word_count(whole_text("_doc.text")).alias("size"), F.col("_h").alias("h")))
     plan = stored(thresholds(rows, source_targets(rows, **settings)))
-    names = {c: f"_plan_{c}" for c in plan.columns}
-    own = [docs[c] for c in docs.columns]
-    plan = plan.withColumnsRenamed(names)
-    times = F.col("_plan_whole") + (id_hash() < F.col("_plan_below")).cast("long")
+    times = F.col("whole") + (F.col("_h") < F.col("below")).cast("long")
     return (
-        docs.join(plan, docs["source"].eqNullSafe(F.col("_plan_source")))
-        .withColumn("_plan_times", times)
-        .where("_plan_times > 0")
-        .withColumn("_plan_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_plan_times"))))
-        .select(*own)
+        told.join(plan, F.col("_doc.source").eqNullSafe(F.col("source")))
+        .select("_doc", times.alias("_times"))
+        .where("_times > 0")
+        .select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+        .select("_doc.*")
     )

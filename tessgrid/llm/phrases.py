@@ -32,9 +32,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessgrid.llm.common import shared_folder, stored, whole_text
+from tessgrid.llm.common import stored, whole_text
 from tessgrid.llm.jaccard import mixed
-from tessgrid.llm.workers import Memo, slices
+from tessgrid.llm.workers import Memo, release, slices
 from tessgrid.operators.ordered import salted_join
 
 #: Phrases reported per language, least count, longest phrase, percent at which a longer one drops a phrase.
@@ -42,6 +42,8 @@ TOP, LEAST, LONGEST, WITHIN = 2000, 30, 4, 80
 SCALE = 2_000_000
 #: Size of the first slice of a language's frontier as a multiple of TOP, and how much larger each next is.
 SLICE, WIDER = 4, 8
+#: Rows of hashed words, up to 512 documents each, that a task is handed at a time.
+ROWS_AT_ONCE = 8
 #: Bits of a filter; keys a task counts at a time; bounds per step of a histogram.
 FILTER_BITS, HELD, STEP = 24, 2_000_000, 1000
 
@@ -94,12 +96,12 @@ def word_rows(docs: DataFrame) -> DataFrame:
                 ["lang", "n_words", "ids", "words"],
             )
             fresh.clear()
+        memo.clear()
+        memo.old = {}
+        release()
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), whole_text().alias("text"))
-    path = shared_folder(docs.sparkSession)
-    made = rows.mapInArrow(run, "lang string, n_words long, ids binary, words binary")
-    made.write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(made.schema).parquet(path)
+    return stored(rows.mapInArrow(run, "lang string, n_words long, ids binary, words binary"), "zstd")
 
 
 def word_keys(lang: str, ids: np.ndarray) -> np.ndarray:
@@ -203,6 +205,8 @@ def counted(rows: DataFrame, n: int, choose: Choose | None, least: int) -> DataF
                 held = []
         if held:
             yield packed()
+        held = []
+        release()
 
     def merge(table: pa.Table) -> pa.Table:
         keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
@@ -215,7 +219,7 @@ def counted(rows: DataFrame, n: int, choose: Choose | None, least: int) -> DataF
         return pa.table({"key": pa.array(keys[at][often].view(np.int64)), "f": pa.array(total[often])})
 
     packed_rows = rows.select("lang", "ids").mapInArrow(count, "part int, keys binary, counts binary")
-    return stored(packed_rows.groupBy("part").applyInArrow(merge, "key long, f long"))
+    return stored(packed_rows.groupBy("part").applyInArrow(merge, "key long, f long"), batch_rows=ROWS_AT_ONCE)
 
 
 def described(rows: DataFrame, counts: DataFrame, n: int) -> DataFrame:
@@ -236,6 +240,8 @@ def described(rows: DataFrame, counts: DataFrame, n: int) -> DataFrame:
             words = [pa.array(row.ids[at + i].view(np.int64)) for i in range(n)]
             langs = pa.array([lang] * len(at), pa.string())
             yield pa.RecordBatch.from_arrays([langs, pa.array(keys[at].view(np.int64)), *words], ["lang", "key", *columns])
+        seen.clear()
+        release()
 
     def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,7 +265,7 @@ def described(rows: DataFrame, counts: DataFrame, n: int) -> DataFrame:
 
     fixed = ", ".join(f"{c} long" for c in columns)
     met = rows.select("lang", "ids").mapInArrow(find, f"lang string, key long, {fixed}")
-    once = met.groupBy("lang", "key").agg(*[F.max(c).alias(c) for c in columns])
+    once = stored(met.groupBy("lang", "key").agg(*[F.max(c).alias(c) for c in columns]), batch_rows=ROWS_AT_ONCE)
     told = once.join(counts, "key").select("lang", "key", "f", *columns)
     schema = "lang string, n int, key long, f long, ids array<long>, parts array<long>"
     return stored(told.mapInArrow(take_apart, schema))
@@ -391,8 +397,10 @@ def _ranked(best: DataFrame, rows: DataFrame, total: DataFrame, top: int) -> Dat
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[at].view(np.int64)), pa.array([found[i].decode() for i in at], pa.string())], ["id", "word"]
             )
+        release()
 
     words = rows.select("words").mapInArrow(read, "id long, word string").dropDuplicates(["id"])
+    words = stored(words, batch_rows=ROWS_AT_ONCE)
     phrases = wanted.join(words, "id").groupBy("key").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("phrase")
     )

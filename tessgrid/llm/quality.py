@@ -21,14 +21,13 @@ from itertools import chain, pairwise
 from math import exp
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessgrid.llm.common import whole_text
-from tessgrid.llm.workers import Memo, slices
+from tessgrid.llm.workers import Memo, release, slices
 
 #: Labelled rows the model is fitted on at most, by turns from each class in order of a hash of their id.
 MAX_TRAINING_ROWS = 6000
@@ -131,6 +130,9 @@ class Model:
     offset: float
     #: False where a class was absent: scores tell documents apart only if this holds.
     fitted: bool = True
+    #: Scores of the rows learnt from.
+    lowest: float = 0.0
+    highest: float = 1.0
 
     def margin(self, ids: np.ndarray) -> float:
         return float(self.weights[ids].sum(dtype=np.float64)) + self.bias
@@ -211,7 +213,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, totals: dict[int, int] | Non
     each = (stands_for * len(labels) / (stands_for @ n))[labels[aside]]
     slope, offset = fit_logistic(margins, labels[aside], each)
     weights, bias = trained(np.ones(len(rows), bool))
-    return Model(weights, bias, slope, offset)
+    model = Model(weights, bias, slope, offset)
+    scores = [model.score(r) for r in rows]
+    model.lowest, model.highest = min(scores), max(scores)
+    return model
 
 
 def learnable(labels: DataFrame) -> DataFrame:
@@ -274,15 +279,19 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 def accept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents the classifier accepts, all columns as they were: each row is judged by its own text.
-    Where no label of one class can be learnt from, nothing tells documents apart and all stay."""
+    Where the labels do not tell documents apart all stay: where no label of one class can be learnt from,
+    or where the rows learnt from do not score on both sides of the threshold, as with a handful of labels."""
     model = learn(docs, labels)
-    if not model.fitted:
+    if not model.fitted or not model.lowest < threshold <= model.highest:
         return docs
+    text = docs.columns.index("text")
 
-    @F.pandas_udf("double")
-    def judged(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indicators = Indicators()
-        for some in texts:
-            yield some.map(lambda t: model.score(indicators.of(t))).astype("float64")
+        for part in slices(batches):
+            texts = part.column(text).to_pylist()
+            yield part.filter(pa.array([model.score(indicators.of(t or "")) >= threshold for t in texts], pa.bool_()))
+        indicators = None
+        release()
 
-    return docs.where(judged(whole_text()) >= threshold)
+    return docs.mapInArrow(judged, docs.schema)

@@ -51,6 +51,26 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return out
 
 
+def _integers(column: pa.Array, dims: int) -> np.ndarray:
+    """The same rows as they are."""
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.array(column.value_lengths())
+    out = np.zeros((len(ends), dims), np.int64)
+    if len(flat):
+        row = np.repeat(np.arange(len(ends)), ends)
+        out[row, np.arange(len(flat)) - np.repeat(np.cumsum(ends) - ends, ends)] = flat
+    return out
+
+
+_LONGS = np.iinfo(np.int64)
+
+
+def _exact_scores(x: np.ndarray, q: np.ndarray, longest: float) -> np.ndarray:
+    """Inner products of integers as LONGs; what is beyond a LONG becomes the nearest."""
+    if longest < 2**62:
+        return x @ q
+    return np.array([min(max(s, _LONGS.min), _LONGS.max) for s in x.astype(object) @ q.astype(object)], np.int64)
+
+
 def _lifted(x: np.ndarray, longest: float) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(longest - (x * x).sum(axis=1), 0))[:, None]])
 
@@ -67,8 +87,8 @@ class Index:
         square = F.aggregate("v", F.lit(0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double"))
         facts = rows.agg(F.max(square).alias("longest"), F.max(F.size("v")).alias("dims")).first()
         self.longest, self.dims = facts["longest"] or 0.0, facts["dims"] or 0
-        if self.longest >= 2**52:
-            raise ValueError("components are too large for exact products")
+        #: Doubles hold the products of vectors up to this length; beyond it scores are made of integers.
+        self.wide = self.longest >= 2**52
         seeds = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SEEDS).collect()
         self.seed_ids = np.array([r["vec_id"] for r in seeds], np.int64)
         self.seeds = np.zeros((len(seeds), self.dims))
@@ -125,6 +145,8 @@ def _asked(queries: DataFrame, index: Index, directory: list[tuple], k: int) ->
             bound = np.full(len(x), -np.inf)
             if len(told.seed_ids) > k:
                 bound = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+            if told.wide:
+                bound = bound - 1e-9 * np.abs(bound) - 1
             length = (x * x).sum(axis=1)
             reach = np.sqrt(np.maximum(length + told.longest - 2 * bound, 0)) + told.slack
             lifted = np.hstack([x, np.zeros((len(x), 1))])
@@ -149,11 +171,13 @@ def _asked(queries: DataFrame, index: Index, directory: list[tuple], k: int) ->
 
 
 def _expand(x: np.ndarray, ids: np.ndarray, distance: np.ndarray, q: np.ndarray, query_id: int, d: float,
-            bound: float, longest: float, slack: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best k of one chunk, sorted by distance to its pivot, looked at outwards from distance d."""
-    best_s, best_i = np.zeros(0), np.zeros(0, np.int64)
+            bound: float, longest: float, slack: float, k: int, exact: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Best k of one chunk, sorted by distance to its pivot, looked at outwards from distance d. With `exact`,
+    x and q are integers."""
+    best_s, best_i = np.zeros(0, np.int64 if exact else np.float64), np.zeros(0, np.int64)
     low = high = int(np.searchsorted(distance, d))
-    base, step = float(q @ q) + longest, 256
+    length = q.astype(np.float64)
+    base, step = float(length @ length) + longest, 256
     while True:
         reach = np.sqrt(max(base - 2 * bound, 0.0)) + slack if bound > -np.inf else np.inf
         left = max(np.searchsorted(distance, d - reach), low - step) if reach < np.inf else max(0, low - step)
@@ -164,13 +188,14 @@ def _expand(x: np.ndarray, ids: np.ndarray, distance: np.ndarray, q: np.ndarray,
             return best_s, best_i
         low, high, step = left, right, step * 4
         fresh = fresh[ids[fresh] != query_id]
-        scores = x[fresh] @ q
+        scores = _exact_scores(x[fresh], q, longest) if exact else x[fresh] @ q
         keep = scores >= bound
         best_s, best_i = np.append(best_s, scores[keep]), np.append(best_i, ids[fresh[keep]])
-        order = np.lexsort((best_i, -best_s))[:k]
+        order = np.lexsort((best_i, ~best_s if exact else -best_s))[:k]
         best_s, best_i = best_s[order], best_i[order]
         if len(best_s) == k:
-            bound = max(bound, best_s[-1])
+            least = float(best_s[-1])
+            bound = max(bound, least - 1e-9 * abs(least) - 1 if exact else least)
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -178,7 +203,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     ties to the smaller vec_id, fewer if there are fewer. `rows`, `queries`: vec_id, v (longs).
 
     Vectors of different length are compared as if the shorter one went on with zeros. Rows repeated
-    under one id count once per row. An empty table gives no rows.
+    under one id count once per row. Scores of any LONG components are exact; one beyond a LONG is given as
+    the nearest LONG, and such ones tie. An empty table gives no rows.
     """
     rows = stored(rows)
     index = Index(rows)
@@ -201,12 +227,13 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         out = []
         if left.num_rows and right.num_rows:
             left = left.sort_by("distance")
-            x = _matrix(left.column("v").combine_chunks(), told.dims)
+            rows_of = _integers if told.wide else _matrix
+            x = rows_of(left.column("v").combine_chunks(), told.dims)
             ids, distance = left.column("vec_id").to_numpy(), left.column("distance").to_numpy()
-            asks = _matrix(right.column("q").combine_chunks(), told.dims)
+            asks = rows_of(right.column("q").combine_chunks(), told.dims)
             names, bounds, ds = (right.column(c).to_numpy() for c in ("query_id", "bound", "distance"))
             for i, q in enumerate(asks):
-                s, v = _expand(x, ids, distance, q, names[i], ds[i], bounds[i], told.longest, told.slack, k)
+                s, v = _expand(x, ids, distance, q, names[i], ds[i], bounds[i], told.longest, told.slack, k, told.wide)
                 out.append((np.full(len(s), names[i]), v, s.astype(np.int64)))
         columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (list(zip(*out)) or [(), (), ()])]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns)})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -20,6 +21,15 @@ def worker_wide(name: str, make: Callable[[], object]) -> object:
     return getattr(kept, name)
 
 
+def release() -> None:
+    """Give freed memory back to the machine: a worker stays beside later stages that need none of it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches."""
     for batch in batches:

@@ -35,7 +35,7 @@ def test_empty_null_and_repeated_ids(documents):
     assert exact_dedup.exact_groups(documents([])).collect() == []
     got = exact_dedup.exact_groups(documents([(None, "x"), (3, "x"), (3, "x"), (None, "y")])).collect()
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in got) == [
-        ("3", "3", 3, True), ("3", "3", 3, True), ("None", "3", 3, False), ("None", "None", 1, True),
+        ("3", "3", 3, False), ("3", "3", 3, True), ("None", "3", 3, False), ("None", "None", 1, True),
     ]
 
 
@@ -52,3 +52,17 @@ def test_dropping_keeps_one_row_of_each_group(documents):
     twice = documents(ROWS).unionByName(documents(ROWS))
     once = exact_dedup.drop_copies(documents(ROWS)).collect()
     assert sorted(map(str, exact_dedup.drop_copies(twice).collect())) == sorted(map(str, once))
+
+
+def test_columns_named_like_ours_stay(spark):
+    docs = spark.createDataFrame(
+        [(1, "a", 5, "x", 1), (2, "a ", 6, "y", 2)], "doc_id long, text string, _row int, _doc string, salt int"
+    )
+    left = exact_dedup.drop_copies(docs)
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(2, "a ", 6, "y", 2)]
+
+
+def test_many_rows_of_one_id_and_text(documents):
+    rows = [(7, "same")] * 500 + [(None, "same")] * 500
+    got = exact_dedup.exact_groups(documents(rows).repartition(5)).collect()
+    assert sum(r.kept for r in got) == 1 and {r.group_size for r in got} == {1000} and {r.keep_id for r in got} == {7}

@@ -49,3 +49,41 @@ def test_files_prune_by_several_dimensions(spark, documents, tmp_path):
     ).collect()
     both = sum(r.a <= 300 and r.b >= 280 and "s3" in r.s for r in ranges)
     assert both <= len(ranges) / 3
+
+
+def test_equal_texts_lie_together(documents):
+    rows = [(i, f"text {i % 90}" if i % 3 else f"own {i}", "abcdefg"[i % 7]) for i in range(2000)]
+    rows += [(5000 + i, "very many copies", "xyz"[i % 3]) for i in range(700)]
+    got = hilbert.shards(documents(rows).repartition(3)).orderBy("shard", "slot").collect()
+    text = {i: t for i, t, _ in rows}
+    order = [text[r.doc_id] for r in got]
+    runs = [t for i, t in enumerate(order) if i == 0 or order[i - 1] != t]
+    assert len(runs) == len(set(order)), "each text is one run of the curve order"
+    shards_of = {}
+    for r in got:
+        shards_of.setdefault(text[r.doc_id], set()).add(r.shard)
+    small = [t for t, s in shards_of.items() if len(s) > 1 and t != "very many copies"]
+    assert len(small) <= 23
+    assert [r.curve for r in got] == sorted(r.curve for r in got)
+
+
+def test_curve_is_that_of_the_first_of_equal_texts(spark, documents):
+    rows = [(3, "t", "s1"), (1, "t", "s2"), (2, "t", "s3"), (4, "other", "s4")]
+    got = {r.doc_id: r.curve for r in hilbert.shards(documents(rows)).collect()}
+    category = {r[0]: r[1] for r in documents(rows).select("source", hilbert.category("source")).collect()}
+    lang = documents(rows).select(hilbert.category("lang")).first()[0]
+    length = documents([(0, "t")]).select(hilbert.magnitude(F.octet_length("text"))).first()[0]
+    want = hilbert.curve_index(np.array([[category["s2"]], [lang], [length]]), hilbert.DIM_BITS)[0]
+    assert got[1] == got[2] == got[3] == want
+
+
+def test_writing_columns_named_like_ours(spark, tmp_path):
+    docs = spark.createDataFrame(
+        [(i % 3, f"t{i}", "en", "s", i, 5, "c", 1) for i in range(60)],
+        "doc_id long, text string, lang string, source string, shard int, slot int, Curve string, _id int",
+    )
+    path = str(tmp_path / "shards")
+    hilbert.write_shards(docs, path)
+    back = spark.read.parquet(path)
+    assert back.count() == 60 and back.select(*docs.columns).exceptAll(docs).isEmpty()
+    assert {"shard_", "slot_", "curve_"} <= set(back.columns)

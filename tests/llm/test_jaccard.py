@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tessgrid.llm import jaccard
 from tessgrid.llm.graph import components
 from tessgrid.llm.workers import Memo
@@ -84,7 +85,7 @@ def test_routing_keys_meet():
                 b = a[: -(-8 * len(a) // 10)]
             both = len(np.intersect1d(a, b))
             if 100 * both >= 80 * (len(a) + len(b) - both) and both < max(len(a), len(b)):
-                assert len(np.intersect1d(jaccard.routing_keys(a), jaccard.routing_keys(b)))
+                assert len(np.intersect1d(jaccard.routing_keys(a)[0], jaccard.routing_keys(b)[0]))
 
 
 def test_divide_skip():
@@ -110,6 +111,78 @@ def test_sketch_bounds_the_difference():
         assert apart <= len(np.setxor1d(a, b))
 
 
+def test_sketches_of_neighbouring_octaves_and_of_long_sets():
+    rng = np.random.default_rng(9)
+    small = np.unique(rng.integers(0, 2**63, 1000).astype(np.uint64))
+    large = np.union1d(small, rng.integers(0, 2**63, 60).astype(np.uint64))
+    a, b = jaccard.sketch(small), jaccard.sketch(large)
+    assert (len(a), len(b)) == (16, 32)
+    assert np.bitwise_count((a ^ jaccard.folded(b)).view(np.uint64)).sum() <= len(large) - len(small)
+    for n in (700, 1500, 6000, 30_000):
+        one, two = (np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for _ in range(2))
+        apart = np.bitwise_count((jaccard.sketch(one) ^ jaccard.sketch(two)).view(np.uint64)).sum()
+        assert apart * 180 > 2 * n * 20, "unlike sets must not pass"
+
+
+def test_pairs_meet_without_the_hot_keys_that_a_set_may_leave():
+    rng = np.random.default_rng(12)
+    met = {True: 0, False: 0}
+    for n in [*range(6, 40), 60, 127, 128, 255, 600]:
+        for share in (0.1, 0.5, 0.8, 0.95):
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            swap = int(rng.integers(0, len(a) // 9 + 1))
+            b = np.unique(np.concatenate([a[swap:], rng.integers(0, 2**63, swap).astype(np.uint64)]))
+            if rng.random() < 0.5:
+                b = a[: -(-8 * len(a) // 10)]
+            both = len(np.intersect1d(a, b))
+            if 100 * both < 80 * (len(a) + len(b) - both) or both == max(len(a), len(b)):
+                continue
+            offers = [jaccard.routing_keys(x) for x in (a, b)]
+            shared = np.intersect1d(offers[0][0], offers[1][0])
+            hot = set(rng.permutation(shared)[: int(share * len(shared)) + 1].tolist())
+            kept, left_some = [], False
+            for keys, kinds, spare in offers:
+                spent = [sum(k in hot for k in keys[kinds == kind].tolist()) for kind in (0, 1)]
+                mine = set()
+                for k, kind in zip(keys.tolist(), kinds.tolist()):
+                    if k in hot and kind != jaccard.OTHER and spent[kind] < spare[kind]:
+                        left_some = True
+                        continue
+                    mine.add(k)
+                kept.append(mine)
+            assert kept[0] & kept[1]
+            met[left_some] += 1
+    assert min(met.values()) >= 10
+
+
+@pytest.mark.parametrize("hot", [2, 5])
+def test_components_with_hot_keys(documents, monkeypatch, hot):
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    rows = corpus(7)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(documents(rows).repartition(3)).collect()}
+    assert got == brute(rows)
+
+
+def test_long_documents_that_share_a_passage_are_not_held_against_each_other(spark, documents, monkeypatch):
+    """Unlike documents of 1,500 words with a passage in common, some near copies among them."""
+    monkeypatch.setattr(jaccard, "HOT", 20)
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(300)]
+    texts = [[f"w{rng.randrange(10**9)}" for _ in range(1200)] + passage for _ in range(300)]
+    texts += [[*t[:700], "x", *t[701:]] for t in texts[:20]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = documents(rows).repartition(4)
+    read, packed = jaccard._read(docs.select("doc_id", "text"), 5, 80)
+    told = ["n_shingles", "sketch", "spare_own", "spare_next"]
+    nodes = read.groupBy("node").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in told])
+    lists = jaccard._lists(packed, nodes)
+    assert lists.groupBy("list_id").count().agg(F.max("count")).first()[0] <= 20
+    labelled = lists.withColumn("label", F.col("node"))
+    assert jaccard._cross_pairs(labelled, nodes, 80).count() == 20
+    got = {r.doc_id: r.component_id for r in jaccard.similar_groups(docs).collect()}
+    assert got == {i: i - 300 if i >= 300 else i for i in range(320)}
+
+
 def test_graph(spark):
     rng = random.Random(6)
     links = [(i, i + 1) for i in range(200)] + [(1000 + rng.randrange(90), 1000 + rng.randrange(90)) for _ in range(60)]

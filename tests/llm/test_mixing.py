@@ -72,3 +72,20 @@ def test_mix_repeats_rows(documents):
     assert got.columns == docs.columns
     counted = {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()}
     assert counted == {i: n for i, n in times.items() if n}
+
+
+def test_rows_without_an_id_come_one_by_one(documents):
+    """50 rows of 4 words, 300 words wanted: neither all once nor all twice."""
+    docs = documents([(None, "a b c d", "s")] * 50).repartition(3)
+    found = mixing.mix(docs).collect()
+    assert {r.target for r in found} == {300.0} and abs(sum(r.taken for r in found) - 300) <= 4
+    assert abs(mixing.mixed_documents(docs).count() * 4 - 300) <= 4
+
+
+def test_mix_keeps_columns_named_like_ours(spark):
+    docs = spark.createDataFrame(
+        [(i, "a b", "s", i, i, 1.0, 2) for i in range(8)],
+        "doc_id long, text string, source string, h int, below int, target double, _doc int",
+    )
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns and got.exceptAll(docs.unionByName(docs)).isEmpty()

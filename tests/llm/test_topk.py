@@ -48,3 +48,15 @@ def test_empty(spark):
 def test_only_the_query(spark):
     rows = topk.integer_vectors(frame(spark, [(1, [1.0, 2.0])]))
     assert topk.search(rows, rows).collect() == []
+
+
+@pytest.mark.parametrize("huge", [70_000.0, 2.0**27, 2.0**40])
+def test_a_huge_vector_among_small_ones(spark, huge):
+    rng = np.random.default_rng(2)
+    vectors = [(i, [float(np.float32(v)) for v in row]) for i, row in enumerate(rng.normal(size=(300, 2)))]
+    vectors += [(500, [huge, 1.0]), (520, [-huge, 0.5]), (540, [huge, 1.0])]
+    rows = topk.integer_vectors(frame(spark, vectors))
+    got = {tuple(r) for r in topk.search(rows, rows.where("vec_id % 20 = 0")).collect()}
+    want = brute(vectors, [i for i, _ in vectors if i % 20 == 0])
+    low, high = -(2**63), 2**63 - 1
+    assert {(q, rank, i, min(max(s, low), high)) for q, rank, i, s in want} == got
