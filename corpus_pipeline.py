@@ -3,7 +3,6 @@ documents with the columns they came with."""
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +30,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per document of the mix: doc_id, n_tokens, ids, and the digest of the decoded text."""
+    import public_tokenizers  # only this stage needs its files
+
     encoded = bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
     return encoded.select(
         "doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
