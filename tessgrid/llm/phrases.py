@@ -124,6 +124,8 @@ class Grams:
 
     def __init__(self, lang: str, ids: bytes):
         self.ids = np.frombuffer(ids, np.uint64)
+        #: Names the row, such that a phrase can be asked of one row alone; equal rows share it.
+        self.row = xxhash.xxh3_64_intdigest(ids) & 0xFFFFFFFF
         self.word = word_keys(lang, self.ids)
         self.real = self.ids != 0
 
@@ -143,6 +145,11 @@ def within(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def placed(keys: np.ndarray, row: np.ndarray | int) -> np.ndarray:
+    """Hash of a phrase in a row."""
+    return mixed(keys ^ (np.uint64(row) if isinstance(row, int) else row.astype(np.uint64)), 5)
+
+
 def key_filter(keys: DataFrame) -> np.ndarray:
     """Bitmap of the keys: 2**FILTER_BITS bits (2 MB), however many keys there are."""
     slot_bits = 12
@@ -168,7 +175,8 @@ Choose = Callable[[Grams, int], np.ndarray]
 
 
 def counted(rows: DataFrame, n: int, choose: Choose | None, least: int) -> DataFrame:
-    """key, f: phrases of n words that occur `least` times or more, among those that `choose` lets pass.
+    """key, f, place: phrases of n words that occur `least` times or more, among those that `choose` lets pass.
+    The place is a hash of the key and a row that holds the phrase.
 
     Each task counts what it holds before it sends it on, packed by part of the key space.
     """
@@ -176,12 +184,15 @@ def counted(rows: DataFrame, n: int, choose: Choose | None, least: int) -> DataF
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        of_rows: list[int] = []
 
         def packed() -> pa.RecordBatch:
-            keys, n_each = np.unique(np.concatenate(held), return_counts=True)
+            keys, first, n_each = np.unique(np.concatenate(held), return_index=True, return_counts=True)
+            ends = np.cumsum([len(h) for h in held])
+            row = np.array(of_rows, np.uint32)[np.searchsorted(ends, first, side="right")]
             part = (keys % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
-            keys, n_each, part = keys[order], n_each[order].astype(np.int64), part[order]
+            keys, n_each, row, part = keys[order], n_each[order].astype(np.int32), row[order], part[order]
             at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
             ends = np.append(at[1:], len(part))
             return pa.RecordBatch.from_arrays(
@@ -189,8 +200,9 @@ def counted(rows: DataFrame, n: int, choose: Choose | None, least: int) -> DataF
                     pa.array(part[at], pa.int32()),
                     pa.array([keys[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()),
                     pa.array([n_each[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()),
+                    pa.array([row[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()),
                 ],
-                ["part", "keys", "counts"],
+                ["part", "keys", "counts", "rows"],
             )
 
         for batch in slices(batches, 1):
@@ -200,9 +212,10 @@ def counted(rows: DataFrame, n: int, choose: Choose | None, least: int) -> DataF
                 use = use & choose(row, n)
             if use.any():
                 held.append(row.keys(n)[use])
+                of_rows.append(row.row)
             if sum(map(len, held)) >= HELD:
                 yield packed()
-                held = []
+                held, of_rows = [], []
         if held:
             yield packed()
         held = []
@@ -210,21 +223,32 @@ def counted(rows: DataFrame, n: int, choose: Choose | None, least: int) -> DataF
 
     def merge(table: pa.Table) -> pa.Table:
         keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
-        n_each = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.int64)
+        n_each = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.int32)
+        row = np.frombuffer(b"".join(table.column("rows").to_pylist()), np.uint32)
         order = np.argsort(keys)
-        keys, n_each = keys[order], n_each[order]
+        keys, n_each, row = keys[order], n_each[order].astype(np.int64), row[order]
         at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         total = np.add.reduceat(n_each, at)
         often = total >= least
-        return pa.table({"key": pa.array(keys[at][often].view(np.int64)), "f": pa.array(total[often])})
+        at = at[often]
+        return pa.table(
+            {
+                "key": pa.array(keys[at].view(np.int64)),
+                "f": pa.array(total[often]),
+                "place": pa.array(placed(keys[at], row[at]).view(np.int64)),
+            }
+        )
 
-    packed_rows = rows.select("lang", "ids").mapInArrow(count, "part int, keys binary, counts binary")
-    return stored(packed_rows.groupBy("part").applyInArrow(merge, "key long, f long"), batch_rows=ROWS_AT_ONCE)
+    packed_rows = rows.select("lang", "ids").mapInArrow(count, "part int, keys binary, counts binary, rows binary")
+    found = packed_rows.groupBy("part").applyInArrow(merge, "key long, f long, place long")
+    return stored(found, batch_rows=ROWS_AT_ONCE)
 
 
 def described(rows: DataFrame, counts: DataFrame, n: int) -> DataFrame:
     """lang, n, key, f, ids (word hashes) and parts (keys left and right of each cut, in order) of phrases."""
-    bits, columns = key_filter(counts), [f"w{i}" for i in range(n)]
+    # Each phrase is read off the rows of one place, so few are told more than once.
+    bits, at_place = key_filter(counts), key_filter(counts.select(F.col("place").alias("key")))
+    columns = [f"w{i}" for i in range(n)]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -233,6 +257,7 @@ def described(rows: DataFrame, counts: DataFrame, n: int) -> DataFrame:
             row = Grams(lang, batch.column(1)[0].as_py())
             keys = row.keys(n)
             at = np.flatnonzero(row.whole(n) & within(bits, keys))
+            at = at[within(at_place, placed(keys[at], row.row))]
             new, first = np.unique(keys[at], return_index=True)
             mine = np.array([int(k) not in seen for k in new], bool)
             seen.update(map(int, new[mine]))
@@ -266,7 +291,7 @@ def described(rows: DataFrame, counts: DataFrame, n: int) -> DataFrame:
     fixed = ", ".join(f"{c} long" for c in columns)
     met = rows.select("lang", "ids").mapInArrow(find, f"lang string, key long, {fixed}")
     once = stored(met.groupBy("lang", "key").agg(*[F.max(c).alias(c) for c in columns]), batch_rows=ROWS_AT_ONCE)
-    told = once.join(counts, "key").select("lang", "key", "f", *columns)
+    told = once.join(counts.select("key", "f"), "key").select("lang", "key", "f", *columns)
     schema = "lang string, n int, key long, f long, ids array<long>, parts array<long>"
     return stored(told.mapInArrow(take_apart, schema))
 
@@ -348,7 +373,7 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST) -> DataFra
 
     pairs = counted(rows, 2, of_known, least)
     pairs = described(rows, pairs, 2)
-    counts = words.unionByName(pairs.select("key", "f"))
+    counts = words.select("key", "f").unionByName(pairs.select("key", "f"))
     frontier = stored(bounded(pairs, counts))
     total = rows.groupBy("lang").agg(F.sum("n_words").alias("n"))
     open_langs, size, settled = frontier.select("lang").distinct(), SLICE * top, None
