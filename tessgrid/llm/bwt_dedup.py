@@ -45,7 +45,7 @@ WIDTH, GRAM = 50, 16
 #: A cut has the least hash among so many grams on either side; pieces are about twice as long.
 REACH = 64
 #: Bytes a bucket and a shard hold, about, and stretches of a key beyond which it is cut into windows.
-BUCKET, SHARD, SPLIT = 1 << 18, 1 << 16, 2048
+BUCKET, SHARD, SPLIT = 1 << 18, 1 << 16, 1 << 14
 #: Keys of that kind that are broadcast at most.
 BROADCAST_KEYS = 10_000
 #: Bytes of text in a file of the bucketed table, about, and files at most.
@@ -450,11 +450,11 @@ def least_holders_of(found: DataFrame, width: int) -> DataFrame:
         F.expr(f"transform(sequence(1, octet_length(bytes) - {width - 1}), i -> substring(bytes, i, {width}))")
     )
     windows = hot.select("key", "digest", "low", "high", each.alias("i", "window"))
-    windows = stored(windows.withColumn("window_digest", F.xxhash64("window")))
+    windows = stored(windows.withColumn("window_digest", F.xxhash64("window")), "zstd")
     once = windows.groupBy("key", F.col("window").alias("bytes"), F.col("window_digest").alias("digest")).agg(
         F.min("low").alias("low"), F.max("high").alias("high")
     )
-    best = _merged(_dealt(stored(once), ["key", "digest"]), width)
+    best = _merged(_dealt(stored(once, "zstd"), ["key", "digest"]), width)
     best = best.select("key", F.col("digest").alias("window_digest"), F.col("low")[0].alias("least"))
     runs = (
         windows.join(best.hint("merge"), ["key", "window_digest"])
