@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +65,39 @@ def predict_points(
     return points.select("frame_id", "point_idx", "x", "y", "z").mapInPandas(run, _PREDICTED)
 
 
+def _loaded(name: str, load: Callable[[], Callable]) -> Callable:
+    """What `load` gives, once in the life of a Python worker; a model of another name takes its place."""
+    kept = sys.modules.setdefault("_tessgrid_models", types.ModuleType("_tessgrid_models"))
+    if getattr(kept, "name", None) != name:
+        kept.name, kept.model = None, None  # the older one is freed before the next is loaded
+        kept.model = load()
+        kept.name = name
+    return kept.model
+
+
+def predict_loaded(
+    points: DataFrame,
+    load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
+    name: str,
+    source: str = "model",
+    profile: ResourceProfile | None = None,
+) -> DataFrame:
+    """`predict_points` for a model that needs set-up, such as weights to read or a device to claim.
+
+    `load` runs in a Python worker before its first batch and gives the model; later tasks and micro-batches in
+    that worker find it by `name`, which therefore names the version too. A `load` that fails fails the task
+    and is tried again. `profile` asks for executors with the resources the model needs.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = None
+        for block in batches:
+            model = model or _loaded(name, load)
+            yield _predicted(block, model(block[["x", "y", "z"]]), source)
+
+    return points.select("frame_id", "point_idx", "x", "y", "z").mapInPandas(run, _PREDICTED, profile=profile)
+
+
 def predict_tiles(
     points: DataFrame,
     model: Callable[[pd.DataFrame], pd.DataFrame],

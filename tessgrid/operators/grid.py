@@ -19,6 +19,8 @@ no single task its whole size:
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,7 +113,7 @@ def _edge_key(i: int, params: GridParams) -> Column:
     return risk.boundary_key(F.col(_key(i)), params, F.col(_risky(i)))
 
 
-def _class_runs(keyed: DataFrame, params: list[GridParams], by_run: bool) -> DataFrame:
+def _class_runs(keyed: DataFrame, params: list[GridParams], by_run: bool, carry: list[str] = ()) -> DataFrame:
     """Tallies per (run, class), or per (cell, class) where neighbours do not matter.
 
     With `by_run`, `head` marks the row that holds the run's first point; that row also knows the first
@@ -150,7 +152,7 @@ def _class_runs(keyed: DataFrame, params: list[GridParams], by_run: bool) -> Dat
     return (
         _with_run_neighbours(keyed)
         .withColumn("closing_cls", F.last("cls").over(whole_run))
-        .groupBy(*RUN, "tile", "cls")
+        .groupBy(*RUN, "tile", *carry, "cls")
         .agg(*tallies, *found)
     )
 
@@ -233,12 +235,17 @@ def leaf_runs(
 ) -> DataFrame:
     """(run, class) tallies with `leaf_i`, the level of the leaf they belong to, per scenario. The largest
     `key_i` among the rows of a leaf tells its driver."""
-    p = scenarios[0]
     keyed = keyed_points(points, scenarios, overrides)
     risky = any(s.risk_adaptive for s in scenarios) or "risk_adaptive" in (overrides or {})
     runs = _class_runs(keyed, scenarios, by_run or risky)
     if by_run:
         runs = runs.drop(*TALLIES)
+    return _with_leaves(runs, scenarios, risky)
+
+
+def _with_leaves(runs: DataFrame, scenarios: list[GridParams], risky: bool) -> DataFrame:
+    """Adds `leaf_i` to class runs, once what lies across the edges of runs is known."""
+    p = scenarios[0]
     if risky:
         runs = by_tile(runs)
         edges = tile_edges(runs, p)
@@ -334,6 +341,44 @@ def adaptive_grid(
     return cells if keep_tile else cells.drop("tile")
 
 
+def part_runs(points: DataFrame, params: GridParams = GridParams()) -> DataFrame:
+    """Class runs of a part of some frames' points, to be stored and put together with those of other parts by
+    `grid_of_parts`. A run is named by its first point index and ends at `run_end`."""
+    keyed = keyed_points(points, [params])
+    if not params.risk_adaptive:
+        return _class_runs(keyed, [params], False)
+    whole = Window.partitionBy(*RUN)
+    ends = {"_first": F.min("point_idx").over(whole), "run_end": F.max("point_idx").over(whole)}
+    told = keyed.withColumns(ends)
+    runs = _class_runs(told, [params], True, ["_first", "run_end"])
+    return runs.drop("run").withColumnRenamed("_first", "run")
+
+
+def grid_of_parts(parts: DataFrame, params: GridParams = GridParams(), keep_tile: bool = False) -> DataFrame:
+    """Cells of frames whose points came in parts. `parts` are the rows of `part_runs` for all of them; the
+    points are not needed any more.
+
+    Within a finest cell, the parts must hold one stretch of point indices after the other, as files that
+    each hold a stretch of a scan do; where two overlap, the order of classes is lost and an error tells so.
+    """
+    if params.risk_adaptive:
+        cell = Window.partitionBy("frame_id", "code").orderBy("run")
+        before = F.max("run_end").over(cell.rangeBetween(Window.unboundedPreceding, -1))
+        clash = F.coalesce(before >= F.col("run"), F.lit(False))
+        said = F.concat(F.lit("parts of frame "), F.col("frame_id").cast("string"), F.lit(" overlap in point_idx"))
+        parts = parts.withColumn("n", F.when(clash, F.raise_error(said).cast("long")).otherwise(F.col("n")))
+        parts = parts.drop("run_end")
+    else:
+        keys = [*TILE, "code", "cls"]
+        sums = [F.sum("n").alias("n"), F.sum("sum_z").alias("sum_z"), F.min("min_z").alias("min_z"),
+                F.max("max_z").alias("max_z"), F.sum("sum_conf").alias("sum_conf"), F.max(_key(0)).alias(_key(0))]
+        parts = parts.groupBy(*keys).agg(*sums)
+    # Runs are named by point indices here, not by blocks of them.
+    leaves = _with_leaves(parts, [replace(params, run_bits=0)], params.risk_adaptive)
+    cells = _cells(leaves.withColumnsRenamed({"leaf_0": "level", _key(0): "key"}), params, [])
+    return cells if keep_tile else cells.drop("tile")
+
+
 def scenario_grids(points: DataFrame, scenarios: dict[str, GridParams]) -> DataFrame:
     """Cells of the same frames under several parameter sets that share one geometry, in one pass: the
     points are shuffled once, and only finished runs fan out, one copy per scenario."""

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from math import ceil, floor
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessgrid.functions import risk, spatial
@@ -11,6 +14,8 @@ from tessgrid.params import GridParams
 
 ELEVATION_BINS = 24
 CONFIDENCE_BINS = 16
+#: Ranges of codes a window is written as, per level, at most; the closest ones are joined beyond it.
+MAX_RANGES = 24
 
 
 def _touches(
@@ -24,22 +29,110 @@ def _touches(
     return near_x & near_y
 
 
+def _nodes_at(low: float, high: float, level: int, params: GridParams) -> tuple[int, int]:
+    """First and last node of a level, along one axis, whose closed span meets low..high."""
+    size = params.cell_size(level)
+    first = ceil((low + params.half_m) / size - 1e-6) - 1
+    last = floor((high + params.half_m) / size + 1e-6)
+    return max(first, 0), min(last, 2**level - 1)
+
+
+def code_ranges(
+    x_from: float, x_to: float, y_from: float, y_to: float, level: int,
+    params: GridParams = GridParams(), most: int = MAX_RANGES,
+) -> list[tuple[int, int]]:
+    """Codes, as at most `most` inclusive ranges, of all finest cells in the nodes of `level` that meet the
+    window. A cell of that level holds no other codes. Where ranges are joined, more codes are let in."""
+    (x0, x1), (y0, y1) = _nodes_at(x_from, x_to, level, params), _nodes_at(y_from, y_to, level, params)
+    if x0 > x1 or y0 > y1:
+        return []
+    found: list[list[int]] = []
+
+    def descend(node: int, nx: int, ny: int, at: int) -> None:
+        span = 1 << (level - at)
+        left, low = nx * span, ny * span
+        if left > x1 or low > y1 or left + span - 1 < x0 or low + span - 1 < y0:
+            return
+        inside = left >= x0 and low >= y0 and left + span - 1 <= x1 and low + span - 1 <= y1
+        if inside or at == level:
+            bits = 2 * (params.max_depth - at)
+            first, last = node << bits, ((node + 1) << bits) - 1
+            if found and found[-1][1] + 1 == first:
+                found[-1][1] = last
+            else:
+                found.append([first, last])
+            return
+        for child in range(4):  # in order of code: x takes the higher bit
+            descend(node * 4 + child, nx * 2 + (child >> 1), ny * 2 + (child & 1), at + 1)
+
+    descend(0, 0, 0, 0)
+    while len(found) > most:
+        at = min(range(1, len(found)), key=lambda i: found[i][0] - found[i - 1][1])
+        found[at - 1 : at + 1] = [[found[at - 1][0], found[at][1]]]
+    return [(a, b) for a, b in found]
+
+
+def in_window_codes(
+    x_from: float, x_to: float, y_from: float, y_to: float, params: GridParams = GridParams(),
+) -> Column:
+    """Ranges of the stored column `code` that hold every cell meeting the window, per `level` down to the
+    coarsest a built grid has. Parquet skips what lies outside if cells are stored by code (`write_cells`)."""
+    window = (x_from, x_to, y_from, y_to)
+
+    def one_of(level: int) -> Column:
+        ranges = [F.col("code").between(a, b) for a, b in code_ranges(*window, level, params)]
+        return reduce(lambda a, b: a | b, ranges, F.lit(False))
+
+    finest = params.coarsest_leaf
+    built = (F.col("level") >= finest) & one_of(finest)
+    return reduce(lambda a, b: a | b, [(F.col("level") == level) & one_of(level) for level in range(finest)], built)
+
+
 def viewport_cells(
     cells: DataFrame, x_from: float, x_to: float, y_from: float, y_to: float,
     params: GridParams = GridParams(),
 ) -> DataFrame:
-    """Cells whose square meets the window."""
-    return cells.where(_touches(x_from, x_to, y_from, y_to, params))
+    """Cells whose square meets the window. Stored cells are read by ranges of their code."""
+    window = (x_from, x_to, y_from, y_to)
+    return cells.where(in_window_codes(*window, params)).where(_touches(*window, params))
 
 
 def viewport_lod(
     cells: DataFrame, x_from: float, x_to: float, y_from: float, y_to: float, pixels_per_m: float,
-    min_pixels: float = 4.0, params: GridParams = GridParams(),
+    min_pixels: float = 4.0, params: GridParams = GridParams(), budget: int | None = None,
 ) -> DataFrame:
-    """Every cell of the window that is large enough on screen to outline."""
-    return viewport_cells(cells, x_from, x_to, y_from, y_to, params).where(
+    """Every cell of the window that is large enough on screen to outline; with `budget`, the first so many
+    of each frame (`first_cells`)."""
+    seen = viewport_cells(cells, x_from, x_to, y_from, y_to, params).where(
         spatial.cell_size(F.col("level"), params) * F.lit(pixels_per_m) >= F.lit(min_pixels)
     )
+    return seen if budget is None else first_cells(seen, budget, params)
+
+
+def first_cells(cells: DataFrame, budget: int, params: GridParams = GridParams()) -> DataFrame:
+    """The first `budget` cells of each frame in the order they are packed: by code, then level.
+
+    Cells are counted by tile. The running count of a frame's tiles (4**tile_level at most) tells the tile
+    in which its budget ends; only that tile's cells are put in order. No frame is sorted.
+    """
+    if budget < 0:
+        raise ValueError("budget must be 0 or more")
+    tiled = cells.withColumn("__tile", spatial.prefix(F.col("code"), params.tile_level, params))
+    counts = tiled.groupBy("frame_id", "__tile").agg(F.count(F.lit(1)).alias("__n"))
+    along = Window.partitionBy("frame_id").orderBy("__tile")
+    upto = F.sum("__n").over(along)
+    ends = (
+        counts.withColumn("__upto", upto)
+        .where((F.col("__upto") > budget) & (F.col("__upto") - F.col("__n") <= budget))
+        .groupBy("frame_id")
+        .agg(F.min(F.struct(F.col("__tile").alias("tile"), (F.lit(budget) - F.col("__upto") + F.col("__n")).alias("room"))).alias("__end"))
+    )
+    placed = salted_join(tiled, ends, ["frame_id"], F.col("code"))
+    whole = placed.where(F.col("__end").isNull() | (F.col("__tile") < F.col("__end.tile")))
+    place = F.row_number().over(Window.partitionBy("frame_id").orderBy("code", "level"))
+    last = placed.where(F.col("__tile") == F.col("__end.tile")).withColumn("__place", place)
+    last = last.where(F.col("__place") <= F.col("__end.room")).drop("__place")
+    return whole.unionByName(last).drop("__tile", "__end")
 
 
 def _bin(share: Column, bins: int) -> Column:

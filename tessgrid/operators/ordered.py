@@ -10,18 +10,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BLOCK = "__block"
+#: Blocks that one summary cuts a key into at most; blocks that are still too large are cut again.
+_CUTS = 64
+#: A quantile is off by one in so many rows of a key at most.
+_ACCURACY = 10_000
+#: Keys that need cutting are broadcast up to this number: 0.5 kB each.
+_BROADCAST_KEYS = 4096
 
 
 def _in_blocks(df: DataFrame, keys: list[str], order: str, rows: int) -> DataFrame:
-    """Adds the block of each row: equal steps of the order column, as many as the key's row count asks
-    for, so a block holds about `rows` rows whether order values are dense or microseconds. Counts are one
-    row per key."""
-    span = F.max(order).cast("double") - F.min(order).cast("double") + 1
-    steps = F.ceil(F.count(F.lit(1)) / F.lit(rows))
-    cut = df.groupBy(*keys).agg(
-        F.min(order).alias("__low"), F.greatest(F.ceil(span / steps), F.lit(1)).cast("long").alias("__step")
-    )
-    return df.join(cut, keys).withColumn(_BLOCK, F.expr(f"({order} - __low) DIV __step")).drop("__low", "__step")
+    """Adds the block of each row, an array of numbers that rises with the order column. Blocks hold at most
+    about 1.1 times `rows` rows, whatever the values: each key is cut at quantiles of its own values, as
+    many as its row count asks for.
+
+    Quantiles come from summaries that tasks merge. A summary gives at most 64 blocks; a key with more
+    than 64 * `rows` rows is cut again inside its blocks. Keys of up to `rows` rows, usually all, stay
+    whole and cost one count. Rows of equal order value share a block.
+    """
+    blocked, by, before = df.withColumn(_BLOCK, F.array().cast("array<int>")), [*keys, _BLOCK], None
+    shares = F.array([F.lit(i / _CUTS) for i in range(1, _CUTS)])
+    while True:
+        sizes = blocked.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min(order).alias("__a"), F.max(order).alias("__b"))
+        large = sizes.where((F.col("__n") > 1.1 * rows) & (F.col("__a") < F.col("__b")))
+        found = large.agg(F.count(F.lit(1)), F.sum("__n")).first()
+        if found[0] == 0 or found == before:
+            return blocked
+        before = found
+        summaries = blocked.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("__n"), F.percentile_approx(order, shares, F.lit(_ACCURACY)).alias("__q")
+        )
+        blocks = F.least(F.ceil(F.col("__n") / F.lit(rows)), F.lit(_CUTS)).cast("int")
+        places = F.transform(
+            F.sequence(F.lit(1), blocks - 1), lambda i: F.greatest(F.round(i * _CUTS / blocks).cast("int"), F.lit(1))
+        )
+        cuts = summaries.where(F.col("__n") > 1.1 * rows).select(
+            *by, F.array_distinct(F.transform(places, lambda i: F.element_at("__q", i))).alias("__cuts")
+        )
+        passed = F.size(F.filter(F.col("__cuts"), lambda c: c < F.col(order)))
+        blocked = _with_few(blocked, cuts, by, order, found[0]).withColumn(
+            _BLOCK, F.concat(_BLOCK, F.array(F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(passed)))
+        ).drop("__cuts")
+
+
+def _with_few(df: DataFrame, few: DataFrame, by: list[str], order: str, n_few: int) -> DataFrame:
+    """Left join with a table of `n_few` rows: broadcast, or salted where it is too large for that."""
+    if n_few <= _BROADCAST_KEYS:
+        return df.join(F.broadcast(few), by, "left")
+    return salted_join(df, few, by, F.xxhash64(order))
 
 
 def ranked(df: DataFrame, keys: list[str], order: str, rows: int = 65_536, name: str = "rank") -> DataFrame:
@@ -47,15 +82,17 @@ def ranked(df: DataFrame, keys: list[str], order: str, rows: int = 65_536, name:
 
 
 def carried_forward(
-    df: DataFrame, keys: list[str], order: str, values: dict[str, Column], rows: int = 65_536
-) -> DataFrame:
-    """Adds, per entry of `values`, the last non-null value at or before each row within `keys`."""
+    df: DataFrame, keys: list[str], order: str, values: dict[str, Column], rows: int = 65_536,
+    then: tuple[str, ...] = (),
+) -> DataFrame:
+    """Adds, per entry of `values`, the last non-null value at or before each row within `keys`, by the LONG
+    column `order`, then by the columns `then`."""
     blocked = _in_blocks(df, keys, order, rows)
     for name, value in values.items():
         blocked = blocked.withColumn(f"__{name}", value)
     ends = blocked.groupBy(*keys, _BLOCK).agg(
         *[
-            F.max_by(f"__{name}", F.when(F.col(f"__{name}").isNotNull(), F.col(order))).alias(name)
+            F.max_by(f"__{name}", F.when(F.col(f"__{name}").isNotNull(), F.struct(order, *then))).alias(name)
             for name in values
         ]
     )
@@ -69,7 +106,7 @@ def carried_forward(
     )
     inside = (
         Window.partitionBy(*keys, _BLOCK)
-        .orderBy(order)
+        .orderBy(order, *then)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     filled = blocked.join(before, [*keys, _BLOCK])

@@ -72,14 +72,15 @@ def settings_asof(
     """Settings in force at each frame of a stream's log.
 
     `log` mixes commands (`setting` names what they set, `value` may be an explicit null) and frames
-    (`setting` is null) in `seq` order. A setting sticks until set again; a null that was set is kept
-    apart from a setting never set, which takes its default.
+    (`setting` is null) in `seq` order; a command at the `seq` of a frame counts for it. A setting sticks
+    until set again; a null that was set is kept apart from a setting never set, which takes its default.
     """
+    log = log.withColumn("_frame", F.col("setting").isNull())
     wrapped = {
         f"set_{name}": F.when(F.col("setting") == name, F.struct(F.col("value").alias("v")))
         for name in settings
     }
-    filled = carried_forward(log, ["stream_id"], "seq", wrapped)
+    filled = carried_forward(log, ["stream_id"], "seq", wrapped, then=("_frame",))
     known = defaults or {}
 
     def current(name: str) -> Column:

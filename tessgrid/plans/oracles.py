@@ -324,6 +324,9 @@ _SEEN = f"""x - {SIZE} / 2 <= 60.01e0 AND x + {SIZE} / 2 >= -40.02e0
 ORACLES["viewport_cells"] = f"{GRID} SELECT {TIDY} FROM cells WHERE {_SEEN}"
 ORACLES["viewport_lod"] = f"""{GRID} SELECT frame_id, code, level FROM cells
 WHERE {_SEEN} AND {SIZE} * 20e0 >= 4e0"""
+ORACLES["viewport_budget"] = f"""{GRID} SELECT frame_id, code, level FROM cells
+WHERE {_SEEN} AND {SIZE} * 20e0 >= 4e0
+QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY code, level) <= 500"""
 ORACLES["elevation_histogram"] = f"""{GRID}, spans AS (
   SELECT frame_id, z, min(z) OVER (PARTITION BY frame_id) AS low, max(z) OVER (PARTITION BY frame_id) AS high
   FROM (SELECT frame_id, round(z, 9) AS z FROM cells) c)
@@ -513,3 +516,23 @@ FROM {_spoilt("n_points", "0", 59)} GROUP BY frame_id"""
 ORACLES["check_hazard_depth"] = f"""{GRID} SELECT frame_id, 'hazard_depth' AS "check",
   CAST(coalesce(avg(z) FILTER (WHERE cls = 40) >= avg(z) FILTER (WHERE cls = 1), false) AS BIGINT) AS violations
 FROM cells GROUP BY frame_id"""
+_SIZES = (
+    f"{SIZE} < 0.05e0 - 1e-9 OR level > 12 OR ({_RANGE} < 10e0 AND {SIZE} > 0.05e0 + 1e-9)"
+    f" OR ({_RANGE} > 90e0 AND {SIZE} > 0.5e0 + 1e-9)"
+)
+_MOVED = (
+    "abs(xq * 0.025e0 - x) > 1e-6 OR abs(yq * 0.025e0 - y) > 1e-6 OR abs(zq / 100e0 - z) > 0.005e0 + 1e-9"
+    " OR abs(confq / 255e0 - conf) > 1e0 / 255e0"
+)
+ORACLES["cell_checks"] = f"""{GRID}, bad AS (SELECT * REPLACE (
+  CASE WHEN code % 31 = 0 THEN y + 0.01e0 ELSE y END AS y, CASE WHEN code % 47 = 0 THEN z + 400e0 ELSE z END AS z,
+  CASE WHEN code % 59 = 0 THEN 0 ELSE n_points END AS n_points) FROM cells),
+packed AS (SELECT *, {_FIXED} FROM bad)
+""" + " UNION ALL ".join(
+    "(" + _CHECK.format(name=name, source="packed", broken=broken) + ")"
+    for name, broken in (("lattice", _OFF), ("sizes", _SIZES), ("elevation", _STEEP), ("roundtrip", _MOVED))
+) + """ UNION ALL SELECT frame_id, 'sparse', count(n_points <= 0 OR NULL)
+  + CASE WHEN count(*) * 100 >= 16000000 THEN 1 ELSE 0 END FROM packed GROUP BY frame_id
+UNION ALL SELECT frame_id, 'hazard_depth',
+  CAST(coalesce(avg(z) FILTER (WHERE cls = 40) >= avg(z) FILTER (WHERE cls = 1), false) AS BIGINT)
+FROM packed GROUP BY frame_id"""

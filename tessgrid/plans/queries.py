@@ -34,6 +34,7 @@ PLAIN = replace(P, risk_adaptive=False)
 # edges off the cell lattice, so that no cell merely touches the window
 WINDOW = (-40.02, 60.01, -30.03, 45.02)
 PIXELS_PER_M = 20.0
+CELL_BUDGET = 500
 SECTOR = (37.7, 52.3)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -401,6 +402,14 @@ def viewport_lod(spark, sf_dir):
     return seen.select("frame_id", "code", "level")
 
 
+@query
+def viewport_budget(spark, sf_dir):
+    seen = mapviews.viewport_lod(
+        _cells(spark, sf_dir), *WINDOW, pixels_per_m=PIXELS_PER_M, params=P, budget=CELL_BUDGET
+    )
+    return seen.select("frame_id", "code", "level")
+
+
 @query
 def elevation_histogram(spark, sf_dir):
     # elevations are multiples of a bin here, so noise in a mean's last bits would move cells
@@ -689,3 +698,10 @@ def check_hazard_depth(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points to cells to per-frame statistics."""
     return frame_stats(spark, sf_dir)
+
+
+@query
+def cell_checks(spark, sf_dir):
+    spoilt = _spoil(_cells(spark, sf_dir), "y", F.col("y") + 0.01, 31)
+    spoilt = _spoil(_spoil(spoilt, "z", F.col("z") + 400.0, 47), "n_points", F.lit(0), 59)
+    return quality.cell_checks(spoilt, P)

@@ -1,46 +1,58 @@
-"""Rolling frame timings on a stream: the batch operator over what is remembered and what arrives.
-
-The last frames of every stream id are kept as a table, a new version per batch. A batch reads the
-version before its own, so a replay gives the same figures and replaces the same folders.
-"""
+"""Rolling frame timings on a stream, from the last frames of each stream id as keyed state."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessgrid.operators.ordered import ranked
-from tessgrid.operators.telemetry import rolling_stats
 from tessgrid.sources.sinks import write_batch
+from tessgrid.streaming.keyed_state import RollingFrames, use_keyed_state
 
-
-def last_frames(timings: DataFrame, n: int) -> DataFrame:
-    """The last `n` frames of every stream id. Ranks count from the end, by blocks of rows."""
-    back = timings.withColumn("__back", -F.col("frame_id"))
-    return ranked(back, ["stream_id"], "__back", name="__age").where(F.col("__age") < n).drop("__back", "__age")
+_RAW = (
+    "stream_id long, frame_id long, frame_ms_mean double, frame_ms_p95 double, perception_ms_mean double, "
+    "grid_ms_mean double, codec_ms_mean double, wire_bytes_mean double, samples long"
+)
 
 
-def start_rolling_stream(
-    timings: DataFrame, out: str, state: str, checkpoint: str, window: int = 60, digits: int = 2, once: bool = False
-) -> StreamingQuery:
-    """Rolling figures for each frame of a streaming `timings`, the frame itself excluded, into `out`.
+def rolling_figures(
+    timings: DataFrame, window: int = 60, digits: int = 2, late: int = 60, idle_ms: int | None = None
+) -> DataFrame:
+    """Streaming `rolling_stats`: per frame, figures over up to `window` frames of its stream before it.
 
-    `state` is a folder for the remembered frames, at most `window` per stream id. Frames of a stream must
-    arrive in order across batches; within a batch they may come in any order. Nulls in a measure are
-    skipped, as in a batch.
+    Frames may come up to `late` frames late: they and the frames after them are then told again, and the
+    last word on a frame is the one of the newest batch (`newest`). Later ones come with `samples` null. Nulls
+    in a measure are skipped. With `idle_ms`, a stream that is silent for so long is forgotten.
     """
+    use_keyed_state(timings.sparkSession)
+    mode = "None" if idle_ms is None else "ProcessingTime"
+    raw = timings.groupBy("stream_id").transformWithState(RollingFrames(window, late, idle_ms), _RAW, "Update", mode)
+    rounded = [
+        F.bround(c, digits).alias(c)
+        for c in ("frame_ms_mean", "frame_ms_p95", "perception_ms_mean", "grid_ms_mean", "codec_ms_mean")
+    ]
+    told = raw.select("stream_id", "frame_id", *rounded, F.floor("wire_bytes_mean").cast("long").alias("wire_bytes_mean"), "samples")
+    mean_ms = F.when(F.col("frame_ms_mean") != 0, F.col("frame_ms_mean"))
+    return told.withColumn("fps", F.bround(F.lit(1000.0) / mean_ms, digits))
+
+
+def start_rolling_stream(
+    timings: DataFrame, out: str, checkpoint: str, window: int = 60, digits: int = 2, late: int = 60,
+    idle_ms: int | None = None, once: bool = False,
+) -> StreamingQuery:
+    """Write the rolling figures of a streaming `timings` into `out`, a folder per batch."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = batch
-        if batch_id > 0:
-            held = spark.read.schema(batch.schema).parquet(f"{state}/batch_id={batch_id - 1}")
-            known = batch.unionByName(held)
-        new = batch.select("stream_id", "frame_id")
-        rolled = rolling_stats(known, window, digits, history=False)
-        write_batch(rolled.join(new, ["stream_id", "frame_id"], "left_semi"), out, batch_id)
-        write_batch(last_frames(known, window), state, batch_id)
-
-    writer = timings.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+        write_batch(batch, out, batch_id)
+
+    figures = rolling_figures(timings, window, digits, late, idle_ms)
+    writer = figures.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def newest(spark: SparkSession, out: str) -> DataFrame:
+    """What a rolling stream wrote, each frame as last told."""
+    rows = spark.read.parquet(out)
+    figures = [c for c in rows.columns if c not in ("stream_id", "frame_id", "batch_id")]
+    last = rows.groupBy("stream_id", "frame_id").agg(F.max_by(F.struct(*figures), "batch_id").alias("last"))
+    return last.select("stream_id", "frame_id", "last.*")

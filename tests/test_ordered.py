@@ -47,6 +47,31 @@ def test_blocks_follow_row_counts_not_order_values(spark):
     assert ranks.where("ok").count() == 20_000
 
 
+def test_an_outlier_and_a_burst_do_not_fill_a_block(spark):
+    """A stream in microseconds with one stamp at 0, and half of its rows within a millisecond."""
+    spread = spark.range(9_000).selectExpr("0L AS k", "1700000000000000L + id * 1000003L AS at")
+    burst = spark.range(1_000_000, 1_009_000).selectExpr("0L AS k", "1700000004000000L + id AS at")
+    outlier = spark.sql("SELECT 0L AS k, 0L AS at")
+    small = spark.range(90).selectExpr("1L AS k", "id AS at")
+    df = spread.unionByName(burst).unionByName(outlier).unionByName(small).distinct()
+    rows = 100  # 181 blocks: more than one summary can cut
+    sizes = ordered._in_blocks(df, ["k"], "at", rows).groupBy("k", "__block").agg(
+        F.count("*").alias("n"), F.min("at").alias("a"), F.max("at").alias("b")
+    )
+    found = sorted((r for r in sizes.collect() if r.k == 0), key=lambda r: r["__block"])
+    assert max(r.n for r in found) <= 1.2 * rows and len(found) <= 4 * df.count() / rows
+    assert all(x.b < y.a for x, y in zip(found, found[1:]))
+    assert sizes.where("k = 1").count() == 1
+    ranks = ordered.ranked(df, ["k"], "at", rows, "n").where("k = 0").orderBy("at").select("n").collect()
+    assert [r.n for r in ranks] == list(range(len(ranks)))
+
+
+def test_keys_of_usual_size_are_not_joined(spark):
+    df = spark.range(500).selectExpr("id % 7 AS k", "id AS at")
+    plan = ordered._in_blocks(df, ["k"], "at", 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
 def timings(spark, n, streams=2):
     rng = random.Random(5)
     rows = [
@@ -151,3 +176,27 @@ def test_all_readable_cells_are_shown(spark):
     shown = mapviews.viewport_lod(cells, -200, 200, -200, 200, pixels_per_m=1000.0)
     assert shown.count() == cells.count() > 25
     assert GridParams().dense_cells == 16_000_000
+
+
+def test_a_model_is_loaded_once_per_worker(spark, tmp_path):
+    log = tmp_path / "loads"
+    log.mkdir()
+
+    def loader(shift):
+        def load():
+            import os
+            import uuid
+
+            (log / f"{os.getpid()}-{shift}-{uuid.uuid4().hex}").touch()
+            return lambda xyz: xyz.assign(cls=(xyz["x"].astype("int64") % 3) + shift, conf=0.5)
+
+        return load
+
+    points = spark.range(4000).selectExpr("0L AS frame_id", "id AS point_idx", "double(id) AS x", "0d AS y", "0d AS z").repartition(16)
+    for _ in range(3):
+        got = attach.predict_loaded(points, loader(1), "first").groupBy("cls").count().collect()
+        assert {r.cls: r["count"] for r in got} == {1: 1334, 2: 1333, 3: 1333}
+    loads = [p.name.split("-")[:2] for p in log.iterdir()]
+    assert len(loads) == len({pid for pid, _ in loads}) <= 16, "one load per worker process"
+    attach.predict_loaded(points, loader(2), "second").where("cls = 2").count()
+    assert {shift for _, shift in (p.name.split("-")[:2] for p in log.iterdir())} == {"1", "2"}
