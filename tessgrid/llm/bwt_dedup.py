@@ -10,7 +10,7 @@
    that repeats; only the others are read again. Equal stretches become one, with the least and the greatest
    document that bears them.
 4. Shards. Stretches are dealt into buckets by key. A bucket is cut into shards, and the Burrows-Wheeler
-   transform of each shard's rotations is built on its own.
+   transform of each shard's rotations is built on its own. (A key with one stretch needs none.)
 5. Merge. The transforms of a bucket are interleaved by refinement: starting from any interleave, each round
    reads the symbols before all rows in the present order and sorts rows by them, stably. After each round
    rows stand in order of a few symbols more, while the shards' own orders never change. A row that
@@ -45,7 +45,7 @@ WIDTH, GRAM = 50, 16
 #: A cut has the least hash among so many grams on either side; pieces are about twice as long.
 REACH = 64
 #: Bytes a bucket and a shard hold, about, and stretches of a key beyond which it is cut into windows.
-BUCKET, SHARD, SPLIT = 1 << 18, 1 << 16, 1 << 14
+BUCKET, SHARD, SPLIT = 1 << 16, 1 << 14, 1 << 14
 #: Keys of that kind that are broadcast at most.
 BROADCAST_KEYS = 10_000
 #: Bytes of text in a file of the bucketed table, about, and files at most.
@@ -110,17 +110,16 @@ def stretches(data: bytes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray,
 
 
 def open_stretches(
-    data: bytes, settled: list[tuple[int, int]], width: int
+    data: bytes, settled: np.ndarray, width: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretches that hold a window outside the settled units, from the first such window to the last."""
     first, last, key = stretches(data, width)
-    if not settled or not len(first):
+    settled = settled[settled[:, 1] - settled[:, 0] >= width]
+    if not len(settled) or not len(first):
         return first, last, key
     edge = np.zeros(last[-1] + 1, np.int32)
-    for a, b in settled:
-        if b - a >= width:
-            edge[a] += 1
-            edge[b - width + 1] -= 1
+    np.add.at(edge, settled[:, 0], 1)
+    np.add.at(edge, settled[:, 1] - width + 1, -1)
     left = np.flatnonzero(np.cumsum(edge)[:-1] == 0)
     low, high = np.searchsorted(left, first), np.searchsorted(left, last)
     some = high > low
@@ -195,12 +194,20 @@ def settled_units(texts: DataFrame, width: int) -> DataFrame:
 
 
 def _spans(found: DataFrame, name: str) -> DataFrame:
-    return found.groupBy("_row").agg(F.collect_list(F.struct("_hash", "start", "end")).alias(name))
+    """_row and an array of _hash, start, end, _hash, start, end and so on."""
+    return found.groupBy("_row").agg(F.flatten(F.collect_list(F.array("_hash", "start", "end"))).alias(name))
 
 
-def _own(spans: list[dict] | None, code: int) -> list[tuple[int, int]]:
-    """Of the spans told for a row those that are meant for it: a few rows share _row."""
-    return [(s["start"], s["end"]) for s in spans or () if s["_hash"] == code]
+def _own(spans: pa.Array, codes: pa.Array) -> list[np.ndarray]:
+    """For each row the spans, start and end, that are meant for it: a few rows share _row."""
+    flat = spans.flatten().to_numpy(zero_copy_only=False).reshape(-1, 3)
+    ends = np.cumsum(spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) // 3)
+    found, begin = [], 0
+    for end, code in zip(ends.tolist(), codes.to_pylist()):
+        some = flat[begin:end]
+        found.append(some[some[:, 0] == code, 1:])
+        begin = end
+    return found
 
 
 def shared_keys(texts: DataFrame, settled: DataFrame, width: int) -> DataFrame:
@@ -228,8 +235,9 @@ def shared_keys(texts: DataFrame, settled: DataFrame, width: int) -> DataFrame:
             )
 
         for batch in slices(batches):
-            for row, code, text, settled in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                mine = np.unique(open_stretches(text.encode(), _own(settled, code), width)[2])
+            done = _own(batch.column(3), batch.column(1))
+            for row, text, settled in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), done):
+                mine = np.unique(open_stretches(text.encode(), settled, width)[2])
                 if len(mine):
                     keys.append(mine)
                     rows.append(np.full(len(mine), row, np.uint64))
@@ -270,9 +278,10 @@ def shared_stretches(texts: DataFrame, settled: DataFrame, keys: DataFrame, widt
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             fixed, found = [], []
-            for row, code, doc, text, settled, shared in zip(*(part.column(i).to_pylist() for i in range(6))):
+            done = _own(part.column(4), part.column(1))
+            for row, code, doc, text, shared, settled in zip(*(part.column(i).to_pylist() for i in (0, 1, 2, 3, 5)), done):
                 data = text.encode()
-                first, last, key = open_stretches(data, _own(settled, code), width)
+                first, last, key = open_stretches(data, settled, width)
                 at = np.isin(key & _KEY_MASK, _long(b"".join(shared), KEY_BYTES))
                 first, last = first[at], last[at]
                 same = (np.full(len(first), x, np.int64) for x in (row, code, doc))
@@ -302,63 +311,62 @@ class Shard:
         self.string = np.repeat(np.arange(len(strings)), sizes)
         self.first, self.size = np.repeat(first, sizes), np.repeat(sizes, sizes)
         self.offset = np.arange(len(self.text)) - self.first
+        eight = self.text.astype(np.uint64)
+        for known in (1, 2, 4):
+            eight = eight << np.uint64(8 * known) | eight[self._at(known)]
+        self.eight = eight
         self.rows = np.argsort(self._ranks(width), kind="stable")
 
-    def _ahead(self, n: int) -> np.ndarray:
-        return self.first + (self.offset + n) % self.size
+    def _at(self, ahead: int) -> np.ndarray:
+        """Place `ahead` symbols on in the same string, or back if negative."""
+        return self.first + (self.offset + ahead) % self.size
 
     def _ranks(self, width: int) -> np.ndarray:
         """Order of the rotations by `width` symbols, by doubling."""
-        known, rank = 1, self.text.astype(np.uint64)
+        if width <= 8:
+            return self.eight >> np.uint64(64 - 8 * width)
+        known, rank = 8, self.eight
         while known < width:
             more = min(known, width - known)
-            other = rank[self._ahead(more)]
-            if known <= 4 and more == known:
-                rank = rank << np.uint64(8 * known) | other
-            else:
-                if known <= 8:
-                    rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
-                    other = rank[self._ahead(more)]
-                rank = rank * np.uint64(len(rank)) + other
-                rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
+            rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
+            rank = rank * np.uint64(len(rank)) + rank[self._at(more)]
             known += more
         return rank
 
-    def before(self, n: int, code: np.ndarray, base: int) -> np.ndarray:
-        total = np.zeros(len(self.rows), np.int64)
-        for i in range(n, 0, -1):
-            at = self.offset - i
-            at = self.first + np.where(at < 0, at % self.size, at)
-            total = total * base + code[self.text[at]]
-        return total[self.rows].astype(np.uint16)
+    def before(self, n: int) -> np.ndarray:
+        return self.eight[self._at(-n)][self.rows] >> np.uint64(64 - 8 * n)
+
+
+def _steps(shards: list[Shard], width: int) -> list[tuple[int, np.ndarray]]:
+    """Symbols per round, and for all rows what stands before them as numbers below 2**16, which keep the
+    order. As many symbols are read in a round as leave no more different numbers."""
+    for stride in (8, 4, 2, 1):
+        found = {}
+        for n in {min(stride, width), width % stride} - {0}:
+            values, codes = np.unique(np.concatenate([s.before(n) for s in shards]), return_inverse=True)
+            if len(values) > 1 << 16:
+                break
+            found[n] = codes.astype(np.uint16)
+        else:
+            steps = [width % stride] * (width % stride > 0) + [stride] * (width // stride)
+            return [(n, found[n]) for n in steps]
+    raise AssertionError("single bytes have 256 values at most")
 
 
 def interleave(shards: list[Shard], width: int) -> tuple[np.ndarray, np.ndarray]:
     """The merged transform. For the rows of all shards, shard after shard: their place among all; and where
     each block of rows with the same first `width` symbols starts."""
     sizes = [len(s.rows) for s in shards]
-    code = np.zeros(256, np.int64)
-    symbols = np.unique(np.concatenate([np.unique(s.text) for s in shards]))
-    code[symbols] = np.arange(len(symbols))
-    base = max(2, len(symbols))
-    stride = 1
-    while base ** (stride + 1) <= 1 << 16 and stride < width:
-        stride += 1
-    steps = [stride] * (width // stride)
-    if width % stride:
-        steps.insert(0, width % stride)
-    told = {n: np.concatenate([s.before(n, code, base) for s in shards]) for n in set(steps)}
     shard = np.repeat(np.arange(len(shards)), sizes).astype(np.uint16)
     opens = np.zeros(len(shard), bool)
     opens[:1] = True
-    for n in steps:
-        at = np.argsort(shard, kind="stable")
-        symbol = np.empty(len(shard), np.uint16)
-        symbol[at] = told[n]
+    symbol = np.empty(len(shard), np.uint16)
+    for _, before in _steps(shards, width):
+        symbol[np.argsort(shard, kind="stable")] = before
         order = np.argsort(symbol, kind="stable")
         block = np.cumsum(opens, dtype=np.int32)[order]
-        symbol, shard = symbol[order], shard[order]
-        opens[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
+        sorted_symbol, shard = symbol[order], shard[order]
+        opens[1:] = (sorted_symbol[1:] != sorted_symbol[:-1]) | (block[1:] != block[:-1])
     return np.argsort(shard, kind="stable"), np.flatnonzero(opens)
 
 
@@ -403,7 +411,14 @@ def _merged(strings: DataFrame, width: int) -> DataFrame:
     def merge(table: pa.Table) -> pa.Table:
         low = table.column("low").to_numpy()
         high = table.column("high").to_numpy()
-        found = least_holders(table.column("bytes").to_pylist(), low, width)
+        strings = table.column("bytes").to_pylist()
+        # A key that has one string has nothing to merge: all its windows are first held by its least holder.
+        _, of_key, strings_of = np.unique(table.column("key").to_numpy(), return_inverse=True, return_counts=True)
+        several = np.flatnonzero(strings_of[of_key] > 1)
+        found = [np.full(max(0, len(s) - width + 1), m, np.int64) for s, m in zip(strings, low)]
+        if len(several):
+            for i, m in zip(several, least_holders([strings[i] for i in several], low[several], width)):
+                found[i] = m
         keep, at, least = [], [], []
         for i, m in enumerate(found):
             if len(m) and m.min() < high[i]:
@@ -501,17 +516,16 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sizes, spans, kept = [], [], []
-            for code, text, found in zip(*(part.column(i).to_pylist() for i in (1, 2, 3))):
-                data, mine = text.encode(), [(a, b) for a, b in _own(found, code) if b - a >= width]
+            for text, mine in zip(part.column(2).to_pylist(), _own(part.column(3), part.column(1))):
+                data, mine = text.encode(), mine[mine[:, 1] - mine[:, 0] >= width]
                 sizes.append(len(data))
-                if not mine:
+                if not len(mine):
                     spans.append([])
                     kept.append(data)
                     continue
-                edge = np.zeros(len(data) + 1, np.int64)
-                a, b = np.array(mine).T
-                np.add.at(edge, a, 1)
-                np.add.at(edge, b, -1)
+                edge = np.zeros(len(data) + 1, np.int32)
+                np.add.at(edge, mine[:, 0], 1)
+                np.add.at(edge, mine[:, 1], -1)
                 gone = np.cumsum(edge) > 0
                 turn = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0))
                 spans.append([{"start": int(x), "end": int(y)} for x, y in zip(turn[::2], turn[1::2])])
