@@ -14,8 +14,9 @@ from tessgrid.params import GridParams
 
 ELEVATION_BINS = 24
 CONFIDENCE_BINS = 16
-#: Ranges of codes a window is written as, per level, at most; the closest ones are joined beyond it.
-MAX_RANGES = 24
+#: Ranges of codes a window is written as at most; the closest ones are joined beyond it. Levels that only
+#: coarsened cells have get one range each. More would outgrow what the JVM compiles.
+MAX_RANGES = 10
 
 
 def _touches(
@@ -79,12 +80,12 @@ def in_window_codes(
     coarsest a built grid has. Parquet skips what lies outside if cells are stored by code (`write_cells`)."""
     window = (x_from, x_to, y_from, y_to)
 
-    def one_of(level: int) -> Column:
-        ranges = [F.col("code").between(a, b) for a, b in code_ranges(*window, level, params)]
+    def one_of(level: int, most: int = 1) -> Column:
+        ranges = [F.col("code").between(a, b) for a, b in code_ranges(*window, level, params, most)]
         return reduce(lambda a, b: a | b, ranges, F.lit(False))
 
     finest = params.coarsest_leaf
-    built = (F.col("level") >= finest) & one_of(finest)
+    built = (F.col("level") >= finest) & one_of(finest, MAX_RANGES)
     return reduce(lambda a, b: a | b, [(F.col("level") == level) & one_of(level) for level in range(finest)], built)
 
 

@@ -326,7 +326,7 @@ ORACLES["viewport_lod"] = f"""{GRID} SELECT frame_id, code, level FROM cells
 WHERE {_SEEN} AND {SIZE} * 20e0 >= 4e0"""
 ORACLES["viewport_budget"] = f"""{GRID} SELECT frame_id, code, level FROM cells
 WHERE {_SEEN} AND {SIZE} * 20e0 >= 4e0
-QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY code, level) <= 500"""
+QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY code, level) <= 300"""
 ORACLES["elevation_histogram"] = f"""{GRID}, spans AS (
   SELECT frame_id, z, min(z) OVER (PARTITION BY frame_id) AS low, max(z) OVER (PARTITION BY frame_id) AS high
   FROM (SELECT frame_id, round(z, 9) AS z FROM cells) c)

@@ -34,7 +34,7 @@ PLAIN = replace(P, risk_adaptive=False)
 # edges off the cell lattice, so that no cell merely touches the window
 WINDOW = (-40.02, 60.01, -30.03, 45.02)
 PIXELS_PER_M = 20.0
-CELL_BUDGET = 500
+CELL_BUDGET = 300
 SECTOR = (37.7, 52.3)
 
 Query = Callable[[SparkSession, str], DataFrame]
