@@ -437,23 +437,31 @@ def _cross_pairs(lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         node, label, size = (table.column(c).to_numpy() for c in ("node", "label", "n_shingles"))
         of_row = [np.array(x, np.int64).view(np.uint64) for x in table.column("sketch").to_pylist()]
         length = np.fromiter(map(len, of_row), np.int64, len(of_row))
-        here = {int(k): np.flatnonzero(~asks & (length == k)) for k in np.unique(length)}
-        whole = {k: np.stack([of_row[i] for i in at]) for k, at in here.items() if len(at)}
-        half = {k: folded(bits) for k, bits in whole.items() if k > 1}
+        # Members by length of sketch, in order of size: only a stretch of sizes can link with a set.
+        here, sizes, whole, half = {}, {}, {}, {}
+        for k in map(int, np.unique(length)):
+            at = np.flatnonzero(~asks & (length == k))
+            if len(at):
+                at = at[np.argsort(size[at], kind="stable")]
+                here[k], sizes[k], whole[k] = at, size[at], np.stack([of_row[i] for i in at])
+                if k > 1:
+                    half[k] = folded(whole[k])
         a, b = [], []
         for i in np.flatnonzero(asks):
-            k = int(length[i])
-            own = [(k, of_row[i], whole.get(k)), (2 * k, of_row[i], half.get(2 * k))]
-            if k > 1:
-                own.append((k // 2, folded(of_row[i]), whole.get(k // 2)))
-            for other, mine, bits in own:
-                if bits is None:
+            k, least, most = int(length[i]), -(-size[i] * percent // 100), size[i] * 100 // percent
+            for other in (k // 2, k, 2 * k):
+                if other not in here:
                     continue
-                at = here[other]
+                low, high = np.searchsorted(sizes[other], least), np.searchsorted(sizes[other], most, "right")
+                if low == high:
+                    continue
+                at = here[other][low:high]
+                mine = folded(of_row[i]) if other < k else of_row[i]
+                bits = (half if other > k else whole)[other][low:high]
                 apart = np.bitwise_count(bits ^ mine).sum(axis=1)
-                small, large = np.minimum(size[at], size[i]), np.maximum(size[at], size[i])
-                may = (label[at] != label[i]) & (large * percent <= small * 100)
-                may &= apart.astype(np.int64) * (100 + percent) <= (small + large) * (100 - percent)
+                may = (label[at] != label[i]) & (
+                    apart.astype(np.int64) * (100 + percent) <= (size[at] + size[i]) * (100 - percent)
+                )
                 found = node[at[may]]
                 a.append(np.minimum(found, node[i]))
                 b.append(np.maximum(found, node[i]))
