@@ -12,7 +12,8 @@ def write_cells(cells: DataFrame, path: str, frames_per_folder: int = 4096, mode
     that is large is split over several tasks."""
     block = F.floor(F.col("frame_id") / frames_per_folder).cast("long")
     gathered = cells.withColumn("frame_block", block).hint("rebalance", "frame_block")
-    gathered = gathered.sortWithinPartitions("frame_block", "code", "frame_id")
+    order = [c for c in ("frame_block", "code", "frame_id") if c in gathered.columns]
+    gathered = gathered.sortWithinPartitions(*order)
     gathered.write.mode(mode).partitionBy("frame_block").parquet(path)
 
 
