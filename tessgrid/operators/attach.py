@@ -6,17 +6,22 @@ import sys
 import types
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessgrid.dims import category_bridge, class_dim
 from tessgrid.functions import risk, spatial
+from tessgrid.operators.layout import gathered
 from tessgrid.operators.ordered import salted_join
 from tessgrid.params import CATEGORIES, GridParams
 
 _PREDICTED = "frame_id LONG, point_idx LONG, cls INT, conf DOUBLE, source STRING"
+#: Rows of whole squares that a Python task holds at a time.
+_SQUARE_ROWS = 2**17
 
 
 def default_confidence(points: DataFrame) -> DataFrame:
@@ -98,20 +103,75 @@ def predict_loaded(
     return points.select("frame_id", "point_idx", "x", "y", "z").mapInPandas(run, _PREDICTED, profile=profile)
 
 
+def _square_starts(table: pa.Table) -> np.ndarray:
+    """Where the squares of a sorted table begin."""
+    frame, tile = table["frame_id"], table["tile"].to_numpy()
+    known, frame = frame.is_valid().to_numpy(), frame.fill_null(0).to_numpy()
+    new = (frame[1:] != frame[:-1]) | (known[1:] != known[:-1]) | (tile[1:] != tile[:-1])
+    return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+
+def _whole_squares(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows as tables of whole squares, with where each square begins. A table holds about
+    `_SQUARE_ROWS` rows, or one square if that is larger."""
+    held, n, due = [], 0, _SQUARE_ROWS
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n < due:
+            continue
+        table = pa.Table.from_batches(held)
+        starts = _square_starts(table)
+        cut = int(starts[-1])  # the last square may go on
+        if cut:
+            yield table.slice(0, cut), starts[:-1]
+        held = table.slice(cut).to_batches()
+        n -= cut
+        due = max(_SQUARE_ROWS, 2 * n)
+    if n:
+        table = pa.Table.from_batches(held)
+        yield table, _square_starts(table)
+
+
 def predict_tiles(
     points: DataFrame,
     model: Callable[[pd.DataFrame], pd.DataFrame],
     tile_level: int,
     source: str = "model",
     params: GridParams = GridParams(),
+    batched: bool = False,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Run a model that uses context: it sees all points of one frame in one square of `tile_level`, in
     index order. The caller chooses the square, and with it how many points a call may hold. Points
-    outside the root square are left out."""
+    outside the root square are left out.
+
+    A call costs far more than the few points of a small square. A `batched` model is given many squares
+    at once, each of them whole; the column `square` tells them apart, and what it says of a point must
+    depend on that point's square alone. `tasks` is how many partitions the squares are dealt to, see
+    `layout.tasks_for`.
+    """
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("point_idx", ignore_index=True)
-        return _predicted(block, model(block[["x", "y", "z"]]), source)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_squares(batches):
+            block = table.select(["x", "y", "z"]).to_pandas()
+            ends = [*starts[1:], len(block)]
+            if batched:
+                sizes = np.diff([*starts, len(block)])
+                found = [model(block.assign(square=np.repeat(np.arange(len(starts)), sizes)))]
+            else:
+                found = [model(block.iloc[a:b].reset_index(drop=True)) for a, b in zip(starts, ends)]
+            conf = np.concatenate([f["conf"].fillna(1.0).to_numpy().astype("float64") for f in found])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[table[name].cast(pa.int64()).combine_chunks() for name in ("frame_id", "point_idx")],
+                    pa.array(np.concatenate([f["cls"].to_numpy().astype("int32") for f in found])),
+                    pa.array(conf),
+                    pa.array([source]).take(pa.array(np.zeros(len(block), "int64"))),
+                ],
+                names=["frame_id", "point_idx", "cls", "conf", "source"],
+            )
 
     x, y = F.col("x"), F.col("y")
     code = spatial.morton_encode(
@@ -120,7 +180,9 @@ def predict_tiles(
     placed = points.where(spatial.in_root(x, y, params)).select(
         "frame_id", "point_idx", "x", "y", "z", spatial.prefix(code, tile_level, params).alias("tile")
     )
-    return placed.groupBy("frame_id", "tile").applyInPandas(run, _PREDICTED)
+    squares = gathered(placed, tasks, "frame_id", "tile")
+    in_order = squares.sortWithinPartitions("frame_id", "tile", F.asc_nulls_last("point_idx"))
+    return in_order.mapInArrow(run, _PREDICTED)
 
 
 def image_bins(points: DataFrame, height: int, width: int, params: GridParams = GridParams()) -> DataFrame:

@@ -18,6 +18,7 @@ from tessgrid.operators import (
     decimate,
     evidence,
     grid,
+    layout,
     mapviews,
     objects,
     quality,
@@ -59,6 +60,10 @@ def _tidy_cells(cells: DataFrame) -> DataFrame:
     return _rounded(cells, "z", "conf")
 
 
+def _tasks(spark: SparkSession, sf_dir: str) -> int | None:
+    return layout.tasks_for(table(spark, sf_dir, "lineitem"))
+
+
 def _cells(spark: SparkSession, sf_dir: str, tile: bool = False) -> DataFrame:
     return grid.adaptive_grid(points(spark, sf_dir), P, keep_tile=tile)
 
@@ -176,13 +181,16 @@ def predict_hook(spark, sf_dir):
 
 def _step_model(block: pd.DataFrame) -> pd.DataFrame:
     """Stand-in for a model with context: what rises above the lowest point around it is a wall."""
-    rise = block["z"] - block["z"].min()
+    rise = block["z"] - block.groupby("square")["z"].transform("min")
     return pd.DataFrame({"cls": np.where(rise < 0.25, 1, 4), "conf": 1.0 / (1.0 + rise)})
 
 
 @query
 def predict_tiles(spark, sf_dir):
-    return _rounded(attach.predict_tiles(points(spark, sf_dir), _step_model, P.tile_level, "step-model"), "conf")
+    found = attach.predict_tiles(
+        points(spark, sf_dir), _step_model, P.tile_level, "step-model", batched=True, tasks=_tasks(spark, sf_dir)
+    )
+    return _rounded(found, "conf")
 
 
 @query

@@ -167,6 +167,53 @@ def test_context_model_sees_a_whole_square_in_index_order(spark):
     assert {r.point_idx: r.cls for r in got} == want
 
 
+def test_many_squares_go_into_one_call(spark, tmp_path, monkeypatch):
+    import uuid
+
+    import pandas as pd
+
+    def model(block, batched=True):
+        (tmp_path / uuid.uuid4().hex).touch()
+        square = block["square"] if batched else pd.Series(0, index=block.index)
+        low = block["z"] - block["z"].groupby(square).transform("min")
+        size = square.groupby(square).transform("size")
+        return pd.DataFrame({"cls": size, "conf": low.where(low > 0)})
+
+    rows = [(f, i, -70.0 + (i * 7 % 100), -3.0 + i % 5, i * 0.01) for f in (None, 3, 4) for i in range(100)]
+    points = spark.createDataFrame(rows, "frame_id LONG, point_idx LONG, x DOUBLE, y DOUBLE, z DOUBLE").repartition(5)
+    calls = []
+    for batched in (True, False):
+        got = attach.predict_tiles(
+            points, lambda b: model(b, batched), tile_level=5, batched=batched, tasks=3
+        ).collect()
+        calls.append(len(list(tmp_path.iterdir())))
+        if batched:
+            want = sorted(map(str, got))
+    assert sorted(map(str, got)) == want and len(got) == 300
+    # 3 frames of 16 squares of 6.4 m each way; three tasks, a call each
+    assert calls[0] <= 3 and calls[1] - calls[0] > 30
+    squares = {}
+    for f, i, x, y, z in rows:
+        squares.setdefault((f, x // 6.4, y // 6.4), []).append(z)
+    found = {(r.frame_id, r.point_idx): (r.cls, r.conf) for r in got}
+    for f, i, x, y, z in rows:
+        own = squares[f, x // 6.4, y // 6.4]
+        assert found[f, i] == (len(own), z - min(own) or 1.0)
+
+
+def test_squares_larger_than_a_batch_stay_whole():
+    import pyarrow as pa
+
+    sizes = [3, 200_000, 1, 150_000, 5, 5]
+    tile = np.repeat(np.arange(len(sizes)), sizes)
+    table = pa.table({"frame_id": pa.array(tile // 2), "tile": pa.array(tile)})
+    seen = []
+    for part, starts in attach._whole_squares(iter(table.to_batches(max_chunksize=10_000))):
+        ends = [*starts[1:], part.num_rows]
+        seen += [(part["tile"][int(a)].as_py(), int(b - a)) for a, b in zip(starts, ends)]
+    assert seen == list(enumerate(sizes))
+
+
 def test_all_readable_cells_are_shown(spark):
     from test_grid import cloud, random_rows
 
