@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessgrid.dims import category_bridge, class_dim
 from tessgrid.functions import risk, spatial
-from tessgrid.operators.layout import gathered
+from tessgrid.operators.layout import gathered, whole_groups
 from tessgrid.operators.ordered import salted_join
 from tessgrid.params import CATEGORIES, GridParams
 
@@ -103,37 +103,6 @@ def predict_loaded(
     return points.select("frame_id", "point_idx", "x", "y", "z").mapInPandas(run, _PREDICTED, profile=profile)
 
 
-def _square_starts(table: pa.Table) -> np.ndarray:
-    """Where the squares of a sorted table begin."""
-    frame, tile = table["frame_id"], table["tile"].to_numpy()
-    known, frame = frame.is_valid().to_numpy(), frame.fill_null(0).to_numpy()
-    new = (frame[1:] != frame[:-1]) | (known[1:] != known[:-1]) | (tile[1:] != tile[:-1])
-    return np.concatenate([[0], np.flatnonzero(new) + 1])
-
-
-def _whole_squares(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Sorted rows as tables of whole squares, with where each square begins. A table holds about
-    `_SQUARE_ROWS` rows, or one square if that is larger."""
-    held, n, due = [], 0, _SQUARE_ROWS
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            n += batch.num_rows
-        if n < due:
-            continue
-        table = pa.Table.from_batches(held)
-        starts = _square_starts(table)
-        cut = int(starts[-1])  # the last square may go on
-        if cut:
-            yield table.slice(0, cut), starts[:-1]
-        held = table.slice(cut).to_batches()
-        n -= cut
-        due = max(_SQUARE_ROWS, 2 * n)
-    if n:
-        table = pa.Table.from_batches(held)
-        yield table, _square_starts(table)
-
-
 def predict_tiles(
     points: DataFrame,
     model: Callable[[pd.DataFrame], pd.DataFrame],
@@ -154,7 +123,7 @@ def predict_tiles(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in _whole_squares(batches):
+        for table, starts in whole_groups(batches, ("frame_id", "tile"), _SQUARE_ROWS):
             block = table.select(["x", "y", "z"]).to_pandas()
             ends = [*starts[1:], len(block)]
             if batched:

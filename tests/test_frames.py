@@ -126,3 +126,25 @@ def test_tiers_cost_less_the_coarser_they_are(spark, cells):
     assert got["level8_plain"].wire_bytes <= got["level11_plain"].wire_bytes
     assert got["level9_plain"].wire_bytes <= got["level9_risk_preserved"].wire_bytes
     assert all(abs(r.mbps - r.wire_bytes * 80 / 1e6) < 0.001 for r in got.values())
+
+
+def test_many_frames_are_packed_from_one_shuffle(spark):
+    import zlib
+
+    sizes = {(v, f): 1 + (7 * f + len(v)) % 60 for f in range(90) for v in ("a", "bb", "ccc")}
+    rows = [(v, f, c << 4, 10, c * 0.2, 0.1, c * 0.01, 1, 0.5, 0) for (v, f), n in sizes.items() for c in range(n)]
+    cells = spark.createDataFrame(
+        rows, "variant STRING, frame_id LONG, code LONG, level INT, x DOUBLE, y DOUBLE, z DOUBLE, cls INT, conf DOUBLE, driver INT"
+    )
+    packed = frames.pack_frames(cells.repartition(7), params=P, tasks=5)
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    # the cells meet Python once, frame by frame, not first as fragments of as many frames as a batch holds
+    assert "FlatMapGroups" not in plan and "MapInPandas" not in plan and plan.count("MapInArrow") == 1
+    assert ", 5)" in plan
+    got = {(r.variant, r.frame_id): r for r in packed.collect()}
+    assert {k: r.n_cells for k, r in got.items()} == sizes
+    for (_, f), r in got.items():
+        body = zlib.decompress(bytes(r.wire)[frames.HEADER_BYTES :])
+        xq = list(memoryview(body[: 2 * r.n_cells]).cast("h"))
+        assert xq == [round(c * 0.2 / P.quant_m) for c in range(r.n_cells)]
+        assert r.raw_bytes == frames.HEADER_BYTES + len(body) and r.wire_bytes == len(r.wire)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessgrid.operators import attach, mapviews, ordered, telemetry
+from tessgrid.operators import attach, layout, mapviews, ordered, telemetry
 from tessgrid.params import GridParams
 
 
@@ -167,7 +167,7 @@ def test_context_model_sees_a_whole_square_in_index_order(spark):
     assert {r.point_idx: r.cls for r in got} == want
 
 
-def test_many_squares_go_into_one_call(spark, tmp_path, monkeypatch):
+def test_many_squares_go_into_one_call(spark, tmp_path):
     import uuid
 
     import pandas as pd
@@ -208,7 +208,7 @@ def test_squares_larger_than_a_batch_stay_whole():
     tile = np.repeat(np.arange(len(sizes)), sizes)
     table = pa.table({"frame_id": pa.array(tile // 2), "tile": pa.array(tile)})
     seen = []
-    for part, starts in attach._whole_squares(iter(table.to_batches(max_chunksize=10_000))):
+    for part, starts in layout.whole_groups(iter(table.to_batches(max_chunksize=10_000)), ("frame_id", "tile"), 2**17):
         ends = [*starts[1:], part.num_rows]
         seen += [(part["tile"][int(a)].as_py(), int(b - a)) for a, b in zip(starts, ends)]
     assert seen == list(enumerate(sizes))
