@@ -22,7 +22,9 @@ from tessgrid.params import DRIVERS, GridParams
 from tessgrid.sources.frames import pack_frames
 
 
-def ab_grids(points: DataFrame, params: GridParams = GridParams()) -> DataFrame:
+def ab_grids(
+    points: DataFrame, params: GridParams = GridParams(), tasks: int | None = None
+) -> DataFrame:
     """Risk-adaptive and range-only cells (`scenario`), both from one pass over the points."""
     return scenario_grids(
         points,
@@ -30,18 +32,23 @@ def ab_grids(points: DataFrame, params: GridParams = GridParams()) -> DataFrame:
             "risk_adaptive": replace(params, risk_adaptive=True),
             "range_only": replace(params, risk_adaptive=False),
         },
+        tasks,
     )
 
 
-def ab_wire(points: DataFrame, params: GridParams = GridParams()) -> DataFrame:
+def ab_wire(
+    points: DataFrame, params: GridParams = GridParams(), tasks: int | None = None
+) -> DataFrame:
     """What the frames of either scenario cost once packed."""
-    grids = ab_grids(points, params).withColumnRenamed("scenario", "variant")
-    return pack_frames(grids, params=params).drop("wire").withColumnRenamed("variant", "scenario")
+    grids = ab_grids(points, params, tasks).withColumnRenamed("scenario", "variant")
+    return pack_frames(grids, params=params, tasks=tasks).drop("wire").withColumnRenamed("variant", "scenario")
 
 
-def ab_compare(points: DataFrame, params: GridParams = GridParams()) -> DataFrame:
+def ab_compare(
+    points: DataFrame, params: GridParams = GridParams(), tasks: int | None = None
+) -> DataFrame:
     """Risk-adaptive against range-only, per frame."""
-    grids = ab_grids(points, params)
+    grids = ab_grids(points, params, tasks)
     far, size = far_hazard(params), spatial.cell_size(F.col("level"), params)
     sums = grids.groupBy("frame_id", "scenario").agg(
         F.count(F.lit(1)).alias("n_cells"),

@@ -8,8 +8,9 @@ conserved, the result is no longer a disjoint tiling.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessgrid.functions import spatial
@@ -20,6 +21,10 @@ from tessgrid.operators.stats import far_hazard, level_counts, median_size, memo
 from tessgrid.params import DRIVER_RANGE, GridParams
 from tessgrid.sources.frames import pack_frames
 
+#: Tiers that one pass over the cells makes; more take a pass each.
+_TIERS_AT_ONCE = 62
+
+
 @dataclass(frozen=True)
 class Tier:
     """A link tier: cells finer than `max_level` are merged, unless a risk rule set their size."""
@@ -47,23 +52,48 @@ def decimate_tiers(
     the tile that `cells` carry if no square reaches beyond it: cells already lie together by tile, so
     nothing moves.
     """
+    if len(tiers) > _TIERS_AT_ONCE:
+        parts = [tiers[i : i + _TIERS_AT_ONCE] for i in range(0, len(tiers), _TIERS_AT_ONCE)]
+        return reduce(DataFrame.unionByName, [decimate_tiers(cells, part, params) for part in parts])
     coarsest = min(t.max_level for t in tiers)
     if "tile" in cells.columns and coarsest >= params.tile_level:
         gathered, place = cells, "tile"
     else:
         place = "square"
         gathered = cells.withColumn(place, spatial.prefix(F.col("code"), coarsest, params))
+    # A cell is one row for all tiers that keep it, and one for each tier that merges it. Tiers are bits.
+    stay = [
+        F.when(_stays(F.lit(t.max_level), F.lit(t.preserve_risk)), F.lit(1 << i)).otherwise(F.lit(0))
+        for i, t in enumerate(tiers)
+    ]
     wanted = F.array(
+        *[
+            F.struct(F.lit(1 << i).cast("long").alias("bit"), F.lit(t.max_level).alias("max_level"))
+            for i, t in enumerate(tiers)
+        ]
+    )
+    held = F.col("held")
+    fanned = (
+        gathered.withColumn("held", reduce(Column.bitwiseOR, stay).cast("long"))
+        .withColumn("t", F.explode(wanted))
+        .select("*", "t.*")
+        .withColumn("kept", held.bitwiseAND(F.col("bit")) != 0)
+        .where(~F.col("kept") | (held.bitwiseAND(F.negative(held)) == F.col("bit")))
+        .withColumn("tiers", F.when(F.col("kept"), held).otherwise(F.col("bit")))
+    )
+    named = F.array(
         *[
             F.struct(
+                F.lit(1 << i).cast("long").alias("bit"),
                 F.lit(t.name).alias("tier"),
                 F.lit(t.max_level).alias("max_level"),
-                F.lit(t.preserve_risk).alias("preserve"),
             )
-            for t in tiers
+            for i, t in enumerate(tiers)
         ]
     )
-    return _coarsen(gathered.withColumn("t", F.explode(wanted)).select("*", "t.*").drop("t"), place, params)
+    merged = _coarsen(fanned, place, params).withColumn("t", F.explode(named))
+    own = merged.where(F.col("tiers").bitwiseAND(F.col("t.bit")) != 0)
+    return own.select("t.tier", "t.max_level", "kept", "merged_from", *CELL_COLUMNS)
 
 
 def decimate_asof(cells: DataFrame, settings: DataFrame, params: GridParams = GridParams()) -> DataFrame:
@@ -71,25 +101,35 @@ def decimate_asof(cells: DataFrame, settings: DataFrame, params: GridParams = Gr
     `link_tier` (null: as built) and `preserve_risk`."""
     own = settings.select(
         "frame_id",
-        F.lit("link").alias("tier"),
         F.coalesce(F.col("link_tier").cast("int"), F.lit(params.max_depth)).alias("max_level"),
         F.coalesce("preserve_risk", F.lit(True)).alias("preserve"),
     )
     joined = salted_join(cells, own, ["frame_id"], F.col("code")).where(F.col("max_level").isNotNull())
     # tiers differ by row, so no square is known to hold every merge: shuffle partial sums
-    return _coarsen(joined.withColumn("square", F.lit(0)), "square", params).select(*CELL_COLUMNS)
+    asked = joined.withColumns(
+        {
+            "square": F.lit(0),
+            "tiers": F.lit(1).cast("long"),
+            "kept": _stays(F.col("max_level"), F.col("preserve")),
+        }
+    )
+    return _coarsen(asked, "square", params).select(*CELL_COLUMNS)
+
+
+def _stays(max_level: Column, preserve: Column) -> Column:
+    """Whether a tier leaves a cell as it is."""
+    return (F.col("level") <= max_level) | (preserve & (F.col("driver") != DRIVER_RANGE))
 
 
 def _coarsen(asked: DataFrame, place: str, params: GridParams) -> DataFrame:
-    """Merge cells that carry (tier, max_level, preserve), grouped under `place`."""
-    protected = F.col("preserve") & (F.col("driver") != DRIVER_RANGE)
+    """Merge cells that carry (tiers, max_level, kept), grouped under `place`. `tiers` are the tiers a row
+    stands for, as bits."""
     up = F.lit(2) * (F.lit(params.max_depth) - F.col("max_level"))
     node = spatial.prefix_at(F.col("code"), F.col("max_level"), params)
-    tagged = asked.withColumn("kept", (F.col("level") <= F.col("max_level")) | protected).select(
+    tagged = asked.select(
         "frame_id",
         place,
-        "tier",
-        "max_level",
+        "tiers",
         "kept",
         F.when(F.col("kept"), F.col("level")).otherwise(F.col("max_level")).alias("level"),
         F.when(F.col("kept"), F.col("code"))
@@ -103,7 +143,7 @@ def _coarsen(asked: DataFrame, place: str, params: GridParams) -> DataFrame:
         "conf",
         "n_points",
     )
-    out = ["frame_id", place, "tier", "max_level", "kept", "level", "code"]
+    out = ["frame_id", place, "tiers", "kept", "level", "code"]
     n = F.col("n_points")
     votes = tagged.groupBy(*out, "cls").agg(
         F.count(F.lit(1)).alias("merged_from"),
@@ -140,7 +180,7 @@ def _coarsen(asked: DataFrame, place: str, params: GridParams) -> DataFrame:
                 "x": x,
                 "y": y,
             }
-        ).select("tier", "max_level", "kept", "merged_from", *CELL_COLUMNS)
+        ).select("tiers", "kept", "merged_from", *CELL_COLUMNS)
     )
 
 
@@ -220,9 +260,12 @@ def tier_matrix(
 
 
 def tier_wire(
-    cells: DataFrame, tiers: list[Tier] | None = None, params: GridParams = GridParams()
+    cells: DataFrame,
+    tiers: list[Tier] | None = None,
+    params: GridParams = GridParams(),
+    tasks: int | None = None,
 ) -> DataFrame:
     """What each tier of each frame costs once packed, and its rate at the target frame rate."""
     coarse = decimate_tiers(cells, tiers or link_tiers(), params).withColumnRenamed("tier", "variant")
-    packed = pack_frames(coarse, params=params).drop("wire").withColumnRenamed("variant", "tier")
+    packed = pack_frames(coarse, params=params, tasks=tasks).drop("wire").withColumnRenamed("variant", "tier")
     return link_budget(packed, params.target_hz)

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessgrid.functions import risk, spatial
+from tessgrid.operators.layout import gathered
 from tessgrid.params import GridParams
 
 TILE = ["frame_id", "tile"]
@@ -157,14 +158,14 @@ def _class_runs(keyed: DataFrame, params: list[GridParams], by_run: bool, carry:
     )
 
 
-def by_tile(runs: DataFrame) -> DataFrame:
+def by_tile(runs: DataFrame, tasks: int | None = None) -> DataFrame:
     """Runs gathered by tile, once: the tile summary and the neighbour windows read the same shuffle.
 
     A shuffle is shared only by readers that want the same columns, so `head`, which both need, is made
     to depend on every column. The comparison holds for any hash.
     """
     whole = F.xxhash64(*runs.columns) >= F.lit(-(2**63))
-    return runs.repartition(*TILE).withColumn("head", F.col("head") & whole)
+    return gathered(runs, tasks, *TILE).withColumn("head", F.col("head") & whole)
 
 
 def tile_edges(runs: DataFrame, params: GridParams) -> DataFrame:
@@ -232,22 +233,30 @@ def leaf_runs(
     scenarios: list[GridParams],
     overrides: dict[str, str] | None = None,
     by_run: bool = False,
+    tasks: int | None = None,
 ) -> DataFrame:
     """(run, class) tallies with `leaf_i`, the level of the leaf they belong to, per scenario. The largest
-    `key_i` among the rows of a leaf tells its driver."""
+    `key_i` among the rows of a leaf tells its driver. Points are dealt to `tasks` partitions by run, runs
+    to as many by tile."""
     keyed = keyed_points(points, scenarios, overrides)
     risky = any(s.risk_adaptive for s in scenarios) or "risk_adaptive" in (overrides or {})
+    if tasks and (by_run or risky):
+        keyed = gathered(keyed, tasks, *RUN)
     runs = _class_runs(keyed, scenarios, by_run or risky)
     if by_run:
         runs = runs.drop(*TALLIES)
-    return _with_leaves(runs, scenarios, risky)
+    return _with_leaves(runs, scenarios, risky, tasks)
 
 
-def _with_leaves(runs: DataFrame, scenarios: list[GridParams], risky: bool) -> DataFrame:
+def _with_leaves(
+    runs: DataFrame, scenarios: list[GridParams], risky: bool, tasks: int | None = None
+) -> DataFrame:
     """Adds `leaf_i` to class runs, once what lies across the edges of runs is known."""
     p = scenarios[0]
+    if tasks and not risky:
+        runs = gathered(runs, tasks, *TILE)
     if risky:
-        runs = by_tile(runs)
+        runs = by_tile(runs, tasks)
         edges = tile_edges(runs, p)
     runs, nodes = _nested_nodes(runs, p)
     if risky:
@@ -327,14 +336,17 @@ def adaptive_grid(
     params: GridParams = GridParams(),
     overrides: dict[str, str] | None = None,
     keep_tile: bool = False,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Cells of every frame in `points`.
 
     `overrides` maps a setting (`risk_adaptive`, `conf_threshold`, `hazard_factor`) to a column of
     `points` that sets it per row. `keep_tile` leaves the `tile` column in, which lets a following
-    `decimate` reuse the partitioning.
+    `decimate` reuse the partitioning. `tasks`, what `layout.tasks_for` says of the points, keeps what a
+    task holds the same however many points there are; without it the session's number of partitions
+    is used.
     """
-    leaves = leaf_runs(points, [params], overrides)
+    leaves = leaf_runs(points, [params], overrides, tasks=tasks)
     cells = _cells(
         leaves.withColumnsRenamed({"leaf_0": "level", _key(0): "key"}), params, []
     )
@@ -379,7 +391,9 @@ def grid_of_parts(parts: DataFrame, params: GridParams = GridParams(), keep_tile
     return cells if keep_tile else cells.drop("tile")
 
 
-def scenario_grids(points: DataFrame, scenarios: dict[str, GridParams]) -> DataFrame:
+def scenario_grids(
+    points: DataFrame, scenarios: dict[str, GridParams], tasks: int | None = None
+) -> DataFrame:
     """Cells of the same frames under several parameter sets that share one geometry, in one pass: the
     points are shuffled once, and only finished runs fan out, one copy per scenario."""
     named = list(scenarios.items())
@@ -389,7 +403,7 @@ def scenario_grids(points: DataFrame, scenarios: dict[str, GridParams]) -> DataF
             base.root_size_m, base.max_depth, base.tile_level, base.run_bits,
         ):
             raise ValueError("scenarios must share geometry and layout")
-    leaves = leaf_runs(points, [p for _, p in named])
+    leaves = leaf_runs(points, [p for _, p in named], tasks=tasks)
     variants = F.array(
         *[
             F.struct(
@@ -407,12 +421,14 @@ def scenario_grids(points: DataFrame, scenarios: dict[str, GridParams]) -> DataF
     return _cells(fanned, base, ["scenario"]).drop("tile")
 
 
-def required_levels(points: DataFrame, params: GridParams = GridParams()) -> DataFrame:
+def required_levels(
+    points: DataFrame, params: GridParams = GridParams(), tasks: int | None = None
+) -> DataFrame:
     """Level and priority each point asks for, class boundaries included."""
     keyed = keyed_points(points, [params])
     key = F.col("key_0")
     if params.risk_adaptive:
-        keyed = _flag_edges(keyed, params)
+        keyed = _flag_edges(keyed, params, tasks)
         key = F.when(F.col("edge"), _edge_key(0, params)).otherwise(key)
     return keyed.select(
         "frame_id",
@@ -423,15 +439,17 @@ def required_levels(points: DataFrame, params: GridParams = GridParams()) -> Dat
     )
 
 
-def _flag_edges(keyed: DataFrame, params: GridParams) -> DataFrame:
+def _flag_edges(keyed: DataFrame, params: GridParams, tasks: int | None = None) -> DataFrame:
     """Adds `edge` to every keyed point. Only the two ends of a run need to look outside it."""
+    if tasks:
+        keyed = gathered(keyed, tasks, *RUN)
     ends = keyed.groupBy(*RUN, "tile").agg(
         F.min_by("cls", "point_idx").alias("first_cls"),
         F.max_by("cls", "point_idx").alias("last_cls"),
     )
-    gathered = by_tile(ends.withColumn("head", F.lit(True)))
-    ends, nodes = _nested_nodes(gathered, params)
-    around = _with_neighbour_classes(ends, tile_edges(gathered, params), nodes).select(
+    by_place = by_tile(ends.withColumn("head", F.lit(True)), tasks)
+    ends, nodes = _nested_nodes(by_place, params)
+    around = _with_neighbour_classes(ends, tile_edges(by_place, params), nodes).select(
         *RUN, "run_before", "run_after"
     )
     return (
@@ -445,16 +463,20 @@ def _flag_edges(keyed: DataFrame, params: GridParams) -> DataFrame:
     )
 
 
-def class_edges(points: DataFrame, params: GridParams = GridParams()) -> DataFrame:
+def class_edges(
+    points: DataFrame, params: GridParams = GridParams(), tasks: int | None = None
+) -> DataFrame:
     """Points whose class differs from their neighbour's in (Morton code, point index) order."""
-    return _flag_edges(keyed_points(points, [params]), params).select(
+    return _flag_edges(keyed_points(points, [params]), params, tasks).select(
         "frame_id", "point_idx", "code", "cls", "edge"
     )
 
 
-def assign_points(points: DataFrame, params: GridParams = GridParams()) -> DataFrame:
+def assign_points(
+    points: DataFrame, params: GridParams = GridParams(), tasks: int | None = None
+) -> DataFrame:
     """Each point with its one leaf. Joined per run, so no key holds more points than a run does."""
-    leaves = leaf_runs(points, [params], by_run=True)
+    leaves = leaf_runs(points, [params], by_run=True, tasks=tasks)
     node = spatial.prefix_at(F.col("code"), F.col("level"), params)
     top = F.max(_key(0)).over(Window.partitionBy(*TILE, "level", "node"))
     leaves = (
@@ -465,6 +487,8 @@ def assign_points(points: DataFrame, params: GridParams = GridParams()) -> DataF
         .select(*RUN, "level", "node", "driver")
     )
     keyed = keyed_points(points, [params], carry=["x", "y"])
+    if tasks:
+        keyed = gathered(keyed, tasks, *RUN)
     return keyed.join(leaves.hint("merge"), RUN).select(
         "frame_id", "point_idx", "x", "y", "z", "code", "level", "node", "driver"
     )

@@ -65,7 +65,7 @@ def _tasks(spark: SparkSession, sf_dir: str) -> int | None:
 
 
 def _cells(spark: SparkSession, sf_dir: str, tile: bool = False) -> DataFrame:
-    return grid.adaptive_grid(points(spark, sf_dir), P, keep_tile=tile)
+    return grid.adaptive_grid(points(spark, sf_dir), P, keep_tile=tile, tasks=_tasks(spark, sf_dir))
 
 
 # ------------------------------------------------------------- points and expressions
@@ -114,12 +114,12 @@ def target_size_schedule(spark, sf_dir):
 
 @query
 def required_level(spark, sf_dir):
-    return grid.required_levels(points(spark, sf_dir), P)
+    return grid.required_levels(points(spark, sf_dir), P, _tasks(spark, sf_dir))
 
 
 @query
 def class_edges(spark, sf_dir):
-    return grid.class_edges(points(spark, sf_dir), P)
+    return grid.class_edges(points(spark, sf_dir), P, _tasks(spark, sf_dir))
 
 
 @query
@@ -195,7 +195,7 @@ def predict_tiles(spark, sf_dir):
 
 @query
 def point_cell_assignment(spark, sf_dir):
-    found = grid.assign_points(points(spark, sf_dir), P)
+    found = grid.assign_points(points(spark, sf_dir), P, _tasks(spark, sf_dir))
     return found.select("frame_id", "point_idx", "level", "node", "driver")
 
 
@@ -299,7 +299,7 @@ def decimation_report(spark, sf_dir):
 
 @query
 def ab_compare(spark, sf_dir):
-    return compare.ab_compare(points(spark, sf_dir), P)
+    return compare.ab_compare(points(spark, sf_dir), P, _tasks(spark, sf_dir))
 
 
 @query
@@ -316,12 +316,12 @@ def _proved(packed: DataFrame, *keys: str) -> DataFrame:
 
 @query
 def tier_wire(spark, sf_dir):
-    return _proved(decimate.tier_wire(_cells(spark, sf_dir, tile=True), params=P), "frame_id", "tier")
+    return _proved(decimate.tier_wire(_cells(spark, sf_dir, tile=True), params=P, tasks=_tasks(spark, sf_dir)), "frame_id", "tier")
 
 
 @query
 def ab_wire(spark, sf_dir):
-    return _proved(compare.ab_wire(points(spark, sf_dir), P), "frame_id", "scenario")
+    return _proved(compare.ab_wire(points(spark, sf_dir), P, _tasks(spark, sf_dir)), "frame_id", "scenario")
 
 
 @query
@@ -360,20 +360,20 @@ def link_budget(spark, sf_dir):
 
 @query
 def pack_frames(spark, sf_dir):
-    packed = frames.pack_frames(_cells(spark, sf_dir), params=P, tail_of=frames.size_tail)
+    packed = frames.pack_frames(_cells(spark, sf_dir), params=P, tail_of=frames.size_tail, tasks=_tasks(spark, sf_dir))
     return _proved(packed, "frame_id")
 
 
 @query
 def unpack_roundtrip(spark, sf_dir):
-    back = frames.unpack_frames(frames.pack_frames(_cells(spark, sf_dir), params=P))
+    back = frames.unpack_frames(frames.pack_frames(_cells(spark, sf_dir), params=P, tasks=_tasks(spark, sf_dir)))
     return _rounded(back, "x", "y").drop("position")
 
 
 @query
 def unpack_damaged(spark, sf_dir):
     """Every frame, each damaged in one of three ways or left whole: cells, or the reason there are none."""
-    packed = frames.pack_frames(_cells(spark, sf_dir), compress=False, params=P)
+    packed = frames.pack_frames(_cells(spark, sf_dir), compress=False, params=P, tasks=_tasks(spark, sf_dir))
     cut = F.expr("substring(wire, 1, length(wire) - 1)")
     spoilt = packed.withColumn(
         "wire",
@@ -392,7 +392,7 @@ def check_tail(spark, sf_dir):
         odd = len(records) % 2
         return {**tail, "n_cells": tail["n_cells"] + odd}
 
-    packed = frames.pack_frames(_cells(spark, sf_dir), params=P, tail_of=told)
+    packed = frames.pack_frames(_cells(spark, sf_dir), params=P, tail_of=told, tasks=_tasks(spark, sf_dir))
     # headers and cells come from one packing: the bytes are read twice, the grid is built once
     packed = packed.select("frame_id", "wire").repartition("frame_id")
     return quality.check_tail(frames.frame_headers(packed), frames.unpack_frames(packed))
@@ -633,7 +633,7 @@ def _spoil(rows: DataFrame, column: str, value: Column, every: int, key: str = "
 @query
 def check_conservation(spark, sf_dir):
     pts = points(spark, sf_dir)
-    spoilt = _spoil(grid.adaptive_grid(pts, P), "n_points", F.col("n_points") + 1, 97)
+    spoilt = _spoil(grid.adaptive_grid(pts, P, tasks=_tasks(spark, sf_dir)), "n_points", F.col("n_points") + 1, 97)
     return quality.check_conservation(pts, spoilt, P)
 
 
@@ -645,7 +645,7 @@ def check_conservation_link(spark, sf_dir):
 
 @query
 def check_containment(spark, sf_dir):
-    assigned = grid.assign_points(points(spark, sf_dir), P)
+    assigned = grid.assign_points(points(spark, sf_dir), P, _tasks(spark, sf_dir))
     return quality.check_containment(_spoil(assigned, "x", F.col("x") + 0.17, 7), P)
 
 
@@ -672,7 +672,7 @@ def check_elevation_link(spark, sf_dir):
 
 @query
 def check_range_only(spark, sf_dir):
-    plain = grid.adaptive_grid(points(spark, sf_dir), PLAIN)
+    plain = grid.adaptive_grid(points(spark, sf_dir), PLAIN, tasks=_tasks(spark, sf_dir))
     return quality.check_range_only(_spoil(plain, "driver", F.lit(1), 43))
 
 

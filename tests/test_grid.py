@@ -1,4 +1,5 @@
 import random
+import re
 from dataclasses import replace
 
 import pytest
@@ -231,3 +232,32 @@ def test_one_sort_serves_every_window_of_a_tile(spark, small):
     plan = grid.adaptive_grid(points(spark, small))._jdf.queryExecution().executedPlan().toString()
     by_tile = [line for line in plan.splitlines() if "Sort [frame_id" in line and "tile#" in line and "node_" in line]
     assert len(by_tile) == 1
+
+
+def test_tasks_grow_with_the_points(spark, monkeypatch):
+    from tessgrid.operators import compare, decimate, layout
+
+    monkeypatch.setattr(layout, "POINTS_PER_TASK", 50)
+    points = cloud(spark, random_rows(1000, 51))
+    tasks = layout.tasks_for(points)
+    assert tasks == 20 and layout.tasks_for(points.limit(400)) is None
+    cells = grid.adaptive_grid(points, P, keep_tile=True, tasks=tasks)
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"hashpartitioning\(frame_id#\d+L?, tile#\d+L?, 20\)", plan)) >= 1
+    assert re.search(r"hashpartitioning\(frame_id#\d+L?, code#\d+L?, run#\d+L?, 20\)", plan)
+
+    def told(df):
+        return sorted(map(str, df.select("frame_id", "code", "level", "cls", "driver", "n_points").collect()))
+
+    assert told(cells) == told(grid.adaptive_grid(points, P))
+    plain = replace(P, risk_adaptive=False)
+    assert told(grid.adaptive_grid(points, plain, tasks=tasks)) == told(grid.adaptive_grid(points, plain))
+    both = compare.ab_compare(points, P, tasks)
+    assert sorted(map(str, both.collect())) == sorted(map(str, compare.ab_compare(points, P).collect()))
+    # every tier from one pass, in the partitions the cells have
+    tiers = decimate.link_tiers()
+    every = decimate.decimate_tiers(cells, tiers, P)
+    assert "square" not in every._jdf.queryExecution().executedPlan().toString()
+    found = every.cache()
+    for t in tiers[1:7:3]:
+        assert told(found.where(F.col("tier") == t.name)) == told(decimate.decimate(cells, t.max_level, t.preserve_risk, P))
