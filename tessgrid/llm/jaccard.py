@@ -14,8 +14,8 @@
    of hot keys hold documents that consist of hot passages, not all that contain one.
 3. Rounds. In each list of nodes with a common key, first every member is held against one leader; links
    merge nodes into components. In a list whose members then still lie in different components, the
-   members of different components whose bit sketches allow a link are held against each other. Sketches
-   have a bit or more for each shingle, so unlike sets do not pass, however long. A group
+   members of different components whose bit sketches allow a link are held against each other, lists with
+   much the same members as one list. Sketches have a bit or more for each shingle, so unlike sets do not pass, however long. A group
    of near copies thus costs one comparison per member, and no list is ever turned into all its pairs.
 4. T-occurrence search. A comparison searches the leader's shingles in the inverted lists of its
    candidates: the longest lists are left out, the short ones are merged by a heap, candidates that may
@@ -417,9 +417,27 @@ def _filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(_may_link(percent)).select("a", "b")
 
 
+def _pooled(lists: DataFrame) -> DataFrame:
+    """list_id, node, label: lists that hold much the same nodes as one list of all of them, so that a pair
+    meets once and not in each of its common lists. Lists whose nodes have the same least hash are pooled
+    unless the pool has more than twice the pairs of its lists together. No pair is lost."""
+    sizes = lists.groupBy("list_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node")).alias("pool")
+    )
+    placed = lists.join(sizes.select("list_id", "pool").hint("merge"), "list_id")
+    inside = placed.groupBy("pool", "node").agg(F.first("label").alias("label"))
+    held = inside.groupBy("pool").agg(F.count(F.lit(1)).cast("double").alias("held"))
+    work = sizes.groupBy("pool").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("work"))
+    close = held.join(work.hint("merge"), "pool").where("held * held <= 2 * work").select("pool")
+    apart = placed.join(close.hint("merge"), "pool", "left_anti").select("list_id", "node", "label")
+    pools = inside.join(close.hint("merge"), "pool", "left_semi").select(F.col("pool").alias("list_id"), "node", "label")
+    return pools.unionByName(apart)
+
+
 def _cross_pairs(lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Members of a list with different labels that may link. Members outside the largest label of a list
     meet all members; a long list is met chunk by chunk."""
+    lists = stored(_pooled(lists))
     by_label = lists.groupBy("list_id", "label").agg(F.count(F.lit(1)).alias("n"))
     about = by_label.groupBy("list_id").agg(
         F.max_by("label", F.struct("n", "label")).alias("most"), F.ceil(F.sum("n") / CHUNK).alias("chunks")

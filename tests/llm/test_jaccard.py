@@ -219,3 +219,20 @@ def test_keeping_one_row_of_each_component(documents):
     assert sorted((str(r.doc_id), r.text) for r in left.collect()) == [
         ("1", "p q s"), ("2", long), ("7", ""), ("7", ""), ("None", "p q r"),
     ]
+
+
+def test_lists_of_much_the_same_members_are_met_once(spark):
+    rng = random.Random(11)
+    lists = {100 + i: rng.sample(range(40), 36) for i in range(30)}  # a group of near copies, key by key
+    lists |= {200 + i: [50, *range(1000 + 30 * i, 1030 + 30 * i)] for i in range(30)}  # one node in common
+    rows = [(k, n, n // 2) for k, nodes in lists.items() for n in nodes]
+    pooled = jaccard._pooled(spark.createDataFrame(rows, "list_id long, node long, label long")).collect()
+    now = defaultdict(set)
+    for r in pooled:
+        assert r.label == r.node // 2
+        now[r.list_id].add(r.node)
+    assert sum(map(len, now.values())) == len(pooled)
+    for nodes in lists.values():  # no pair is lost
+        assert any(set(nodes) <= x for x in now.values())
+    assert sum(1 for x in now.values() if max(x) < 50) <= 8
+    assert sum(len(x) ** 2 for x in now.values()) <= 2 * sum(len(x) ** 2 for x in lists.values())
