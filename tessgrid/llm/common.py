@@ -84,7 +84,7 @@ def stored(df: DataFrame, compression: str | None = None, batch_rows: int = BATC
 def numbered(docs: DataFrame) -> DataFrame:
     """`docs` stored as _doc, one struct of all its columns whatever their names, and _row: a number of the
     stored row, which no other row bears."""
-    return stored(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row")))
+    return stored(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row")), "zstd")
 
 
 def one_per_group(rows: DataFrame, groups: DataFrame, first: list[Column]) -> DataFrame:
@@ -98,7 +98,7 @@ def one_per_group(rows: DataFrame, groups: DataFrame, first: list[Column]) -> Da
         .groupBy("_group")
         .agg(F.min("_order")["_row"].alias("_row"))
     )
-    return rows.join(kept.select("_row").hint("merge"), "_row", "left_semi").select("_doc.*")
+    return rows.join(stored(kept.select("_row")).hint("merge"), "_row", "left_semi").select("_doc.*")
 
 
 def free_names(taken: list[str], *names: str) -> list[str]:

@@ -66,3 +66,10 @@ def test_many_rows_of_one_id_and_text(documents):
     rows = [(7, "same")] * 500 + [(None, "same")] * 500
     got = exact_dedup.exact_groups(documents(rows).repartition(5)).collect()
     assert sum(r.kept for r in got) == 1 and {r.group_size for r in got} == {1000} and {r.keep_id for r in got} == {7}
+
+
+def test_shuffles_that_find_the_copies_end_before_the_rows_move(documents):
+    rows = [(i, f"text {i % 7}") for i in range(40)]
+    kept = exact_dedup.drop_copies(documents(rows))
+    assert kept._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(7))
