@@ -4,8 +4,10 @@
    A unit that an earlier document holds whole is removed whole, and its windows need not be looked at
    again: the first document to hold a window has it outside such units. This settles copies early.
 2. Routing. The minimizer of a window of `width` bytes is its gram of least hash, the leftmost of several.
-   Equal windows have equal minimizers, so all places of a repeated string meet under one key. Windows in a
-   row with the same minimizer are one *stretch*.
+   The key of a window is its minimizer and a gram further on, or further back if the minimizer stands in the
+   right half. Equal windows have equal keys, so all places of a repeated string meet under one key; a phrase
+   much shorter than a window seldom makes two others meet. Windows in a row with the same minimizer and key
+   are one *stretch*.
 3. Filter. Each document offers its keys once. Stretches whose key no other document offers hold nothing
    that repeats; only the others are read again. Equal stretches become one, with the least and the greatest
    document that bears them.
@@ -31,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,8 +105,13 @@ def stretches(data: bytes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray,
     for base in range(0, max(0, len(data) - width + 1), BLOCK):
         hashed = _hashes(data[base : base + BLOCK + width - 1], gram)
         at = _least(hashed, width - gram + 1)
-        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        found.append((first + base, np.append(first[1:], len(at)) + base, hashed[at[first]]))
+        # The other gram lies as far off as every window on this side of `half` reaches.
+        half = (width - gram + 1) // 2
+        right = at - np.arange(len(at)) >= half
+        first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (right[1:] != right[:-1]))))
+        least = at[first]
+        other = hashed[np.where(right[first], least - half, least + width - gram + 1 - half)]
+        found.append((first + base, np.append(first[1:], len(at)) + base, mixed(hashed[least] * _PRIME + other)))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*found))
@@ -126,6 +134,11 @@ def open_stretches(
     return left[low[some]], left[high[some] - 1] + 1, key[some]
 
 
+def _utf8(texts: pa.Array) -> pa.Array:
+    """The bytes of the texts, as Arrow holds them."""
+    return texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
+
+
 def _short(a: np.ndarray, size: int) -> bytes:
     return a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
@@ -175,8 +188,7 @@ def settled_units(texts: DataFrame, width: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             rows, found = [], []
-            for row, code, doc, text in zip(*(part.column(i).to_pylist() for i in range(4))):
-                data = text.encode()
+            for row, code, doc, data in zip(*(x.to_pylist() for x in (*part.columns[:3], _utf8(part.column(3))))):
                 for a, b in units(data, width):
                     rows.append((row, code, doc, a, b))
                     found.append(xxhash.xxh3_128_intdigest(data[a:b]))
@@ -236,8 +248,8 @@ def shared_keys(texts: DataFrame, settled: DataFrame, width: int) -> DataFrame:
 
         for batch in slices(batches):
             done = _own(batch.column(3), batch.column(1))
-            for row, text, settled in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), done):
-                mine = np.unique(open_stretches(text.encode(), settled, width)[2])
+            for row, data, settled in zip(batch.column(0).to_pylist(), _utf8(batch.column(2)).to_pylist(), done):
+                mine = np.unique(open_stretches(data, settled, width)[2])
                 if len(mine):
                     keys.append(mine)
                     rows.append(np.full(len(mine), row, np.uint64))
@@ -279,8 +291,8 @@ def shared_stretches(texts: DataFrame, settled: DataFrame, keys: DataFrame, widt
         for part in slices(batches):
             fixed, found = [], []
             done = _own(part.column(4), part.column(1))
-            for row, code, doc, text, shared, settled in zip(*(part.column(i).to_pylist() for i in (0, 1, 2, 3, 5)), done):
-                data = text.encode()
+            told = (*part.columns[:3], _utf8(part.column(3)), part.column(5))
+            for row, code, doc, data, shared, settled in zip(*(x.to_pylist() for x in told), done):
                 first, last, key = open_stretches(data, settled, width)
                 at = np.isin(key & _KEY_MASK, _long(b"".join(shared), KEY_BYTES))
                 first, last = first[at], last[at]
@@ -370,8 +382,8 @@ def interleave(shards: list[Shard], width: int) -> tuple[np.ndarray, np.ndarray]
     return np.argsort(shard, kind="stable"), np.flatnonzero(opens)
 
 
-def least_holders(strings: list[bytes], holders: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
-    """For each string, for each of its windows: the least holder of any string that has this window."""
+def least_holders(strings: list[bytes], holders: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """For each window of each string, string after string: the least holder of any string that has it."""
     shards, string_of, valid, now, size = [], [], [], [], 0
     for i, s in enumerate(strings):
         now.append(i)
@@ -395,12 +407,12 @@ def least_holders(strings: list[bytes], holders: np.ndarray, width: int = WIDTH)
         in_text = np.empty(len(shard.rows), np.int64)
         in_text[shard.rows] = per_row[done : done + len(shard.rows)]
         done += len(shard.rows)
-        ends = np.flatnonzero(shard.text == _END)
-        begin = 0
-        for end in ends:
-            out.append(in_text[begin : max(begin, end - width + 1)])
-            begin = end + 1
-    return out
+        out.append(in_text[shard.offset + width < shard.size])
+    return np.concatenate(out)
+
+
+def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
 
 def _merged(strings: DataFrame, width: int) -> DataFrame:
@@ -409,29 +421,31 @@ def _merged(strings: DataFrame, width: int) -> DataFrame:
     low, high."""
 
     def merge(table: pa.Table) -> pa.Table:
-        low = table.column("low").to_numpy()
-        high = table.column("high").to_numpy()
-        strings = table.column("bytes").to_pylist()
+        low, high = table.column("low").to_numpy(), table.column("high").to_numpy()
+        windows = np.maximum(0, pc.binary_length(table.column("bytes")).to_numpy().astype(np.int64) - width + 1)
+        begin, string = np.cumsum(windows) - windows, np.repeat(np.arange(len(windows)), windows)
+        least = low[string]
         # A key that has one string has nothing to merge: all its windows are first held by its least holder.
         _, of_key, strings_of = np.unique(table.column("key").to_numpy(), return_inverse=True, return_counts=True)
-        several = np.flatnonzero(strings_of[of_key] > 1)
-        found = [np.full(max(0, len(s) - width + 1), m, np.int64) for s, m in zip(strings, low)]
-        if len(several):
-            for i, m in zip(several, least_holders([strings[i] for i in several], low[several], width)):
-                found[i] = m
-        keep, at, least = [], [], []
-        for i, m in enumerate(found):
-            if len(m) and m.min() < high[i]:
-                first = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
-                keep.append(i)
-                at.append(np.append(first, len(m)))
-                least.append(m[first])
+        several = strings_of[of_key] > 1
+        if several.any():
+            strings = table.column("bytes").filter(pa.array(several)).to_pylist()
+            least[several[string]] = least_holders(strings, low[several], width)
+        first = np.ones(len(least), bool)
+        first[1:] = (least[1:] != least[:-1]) | (string[1:] != string[:-1])
+        keep = np.zeros(len(windows), bool)
+        keep[string[least < high[string]]] = True
+        at = np.flatnonzero(first & keep[string])
+        # Where each run starts, and where the last one of a string ends.
+        ends = np.cumsum(np.bincount(string[at], minlength=len(windows))[keep])
+        stops = np.insert(at - begin[string[at]], ends, windows[keep])
+        offsets = np.insert(ends, 0, 0)
         return pa.table(
             {
-                "key": table.column("key").take(pa.array(keep, pa.int64())),
-                "digest": table.column("digest").take(pa.array(keep, pa.int64())),
-                "at": pa.array(at, pa.list_(pa.int64())),
-                "low": pa.array(least, pa.list_(pa.int64())),
+                "key": table.column("key").filter(pa.array(keep)),
+                "digest": table.column("digest").filter(pa.array(keep)),
+                "at": _lists(offsets + np.arange(len(offsets)), stops),
+                "low": _lists(offsets, least[at]),
             }
         )
 
@@ -516,8 +530,8 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sizes, spans, kept = [], [], []
-            for text, mine in zip(part.column(2).to_pylist(), _own(part.column(3), part.column(1))):
-                data, mine = text.encode(), mine[mine[:, 1] - mine[:, 0] >= width]
+            for data, mine in zip(_utf8(part.column(2)).to_pylist(), _own(part.column(3), part.column(1))):
+                mine = mine[mine[:, 1] - mine[:, 0] >= width]
                 sizes.append(len(data))
                 if not len(mine):
                     spans.append([])

@@ -120,3 +120,36 @@ def test_long_texts_go_by_blocks(monkeypatch):
     cut = bwt_dedup.stretches(data)
     per_window = [np.repeat(k, b - a) for a, b, k in (whole, cut)]
     assert len(per_window[0]) == 4951 and (per_window[0] == per_window[1]).all()
+
+
+def test_a_phrase_shorter_than_a_window_shares_no_key():
+    rng = random.Random(8)
+    other = lambda n: bytes(rng.randrange(97, 123) for _ in range(n))
+    phrase, passage = other(26), other(60)
+    short = [set(bwt_dedup.stretches(other(70) + phrase + other(70))[2].tolist()) for _ in range(40)]
+    assert len(set().union(*short)) == sum(map(len, short))
+    whole = [set(bwt_dedup.stretches(other(70) + passage + other(70))[2].tolist()) for _ in range(40)]
+    assert set.intersection(*whole)
+
+
+@pytest.mark.parametrize("width", [2, 16, 17, 23, 50])
+def test_equal_windows_have_equal_keys(width):
+    rng = random.Random(width)
+    keys = {}
+    for _ in range(30):
+        data = bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 200)))
+        for first, last, key in zip(*bwt_dedup.stretches(data, width)):
+            for i in range(first, last):
+                assert keys.setdefault(data[i : i + width], key) == key
+
+
+def test_holders_of_windows_by_strings():
+    rng = random.Random(4)
+    strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(3, 40))) for _ in range(50)]
+    holders = np.array([rng.randrange(1000) for _ in strings])
+    first = {}
+    for s, h in zip(strings, holders):
+        for i in range(len(s) - 6):
+            first[s[i : i + 7]] = min(first.get(s[i : i + 7], h), h)
+    wanted = [first[s[i : i + 7]] for s in strings for i in range(len(s) - 6)]
+    assert bwt_dedup.least_holders(strings, holders, 7).tolist() == wanted
