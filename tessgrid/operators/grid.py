@@ -168,9 +168,9 @@ def by_tile(runs: DataFrame, tasks: int | None = None) -> DataFrame:
     return gathered(runs, tasks, *TILE).withColumn("head", F.col("head") & whole)
 
 
-def tile_edges(runs: DataFrame, params: GridParams) -> DataFrame:
+def tile_edges(runs: DataFrame, params: GridParams, tasks: int | None = None) -> DataFrame:
     """Per tile, the last class of the occupied tile before it and the first class of the one after.
-    `runs` comes from `by_tile` and has head, first_cls and last_cls."""
+    `runs` comes from `by_tile` and has head, first_cls and last_cls. Frames are dealt to `tasks` partitions."""
     spare = 63 - 2 * (params.max_depth - params.tile_level)
     in_tile = F.col("code") - F.shiftleft("tile", 63 - spare)
     # One LONG for (code in tile, run) keeps this a hash aggregate.
@@ -182,6 +182,8 @@ def tile_edges(runs: DataFrame, params: GridParams) -> DataFrame:
         F.min_by("first_cls", F.when(F.col("head"), at)).alias("opens"),
         F.max_by("last_cls", F.when(F.col("head"), at)).alias("closes"),
     )
+    if tasks:
+        ends = gathered(ends, tasks, "frame_id")
     along = Window.partitionBy("frame_id").orderBy("tile")
     return ends.select(
         *TILE,
@@ -257,7 +259,7 @@ def _with_leaves(
         runs = gathered(runs, tasks, *TILE)
     if risky:
         runs = by_tile(runs, tasks)
-        edges = tile_edges(runs, p)
+        edges = tile_edges(runs, p, tasks)
     runs, nodes = _nested_nodes(runs, p)
     if risky:
         runs = _with_neighbour_classes(runs, edges, nodes)
@@ -449,7 +451,7 @@ def _flag_edges(keyed: DataFrame, params: GridParams, tasks: int | None = None)
     )
     by_place = by_tile(ends.withColumn("head", F.lit(True)), tasks)
     ends, nodes = _nested_nodes(by_place, params)
-    around = _with_neighbour_classes(ends, tile_edges(by_place, params), nodes).select(
+    around = _with_neighbour_classes(ends, tile_edges(by_place, params, tasks), nodes).select(
         *RUN, "run_before", "run_after"
     )
     return (

@@ -261,3 +261,12 @@ def test_tasks_grow_with_the_points(spark, monkeypatch):
     found = every.cache()
     for t in tiers[1:7:3]:
         assert told(found.where(F.col("tier") == t.name)) == told(decimate.decimate(cells, t.max_level, t.preserve_risk, P))
+
+
+def test_frames_of_tile_edges_are_dealt_to_as_many_tasks(spark):
+    points = cloud(spark, random_rows(300, 52))
+    for found in (grid.adaptive_grid(points, P, tasks=21), grid.class_edges(points, P, 21)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"hashpartitioning\(frame_id#\d+L?, 21\)", plan)
+    told = [sorted(map(str, grid.class_edges(points, P, n).collect())) for n in (21, None)]
+    assert told[0] == told[1]
