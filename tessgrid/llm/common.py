@@ -53,13 +53,15 @@ def shared_folder(spark: SparkSession) -> str:
 #: get so many rows at a time at most, as rows hold whole texts.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_READ = "spark.sql.parquet.columnarReaderBatchSize"
 BATCH_ROWS = 2048
 
 
 @contextmanager
-def tidy(spark: SparkSession, batch_rows: int = BATCH_ROWS) -> Iterator[None]:
-    """Writes inside drop their shuffle files at their end and hand Python tasks small batches."""
-    wanted = {_CLEANUP: "true", _BATCH: str(batch_rows)}
+def tidy(spark: SparkSession, batch_rows: int = BATCH_ROWS, read_rows: int | None = None) -> Iterator[None]:
+    """Writes inside drop their shuffle files at their end and hand Python tasks small batches. `read_rows`:
+    rows of Parquet files that a task decodes at a time, where the usual 4,096 are too large."""
+    wanted = {_CLEANUP: "true", _BATCH: str(batch_rows)} | ({_READ: str(read_rows)} if read_rows else {})
     before = {name: spark.conf.get(name, None) for name in wanted}
     try:
         for name, value in wanted.items():
@@ -73,11 +75,16 @@ def tidy(spark: SparkSession, batch_rows: int = BATCH_ROWS) -> Iterator[None]:
                 spark.conf.set(name, value)
 
 
-def stored(df: DataFrame, compression: str | None = None, batch_rows: int = BATCH_ROWS) -> DataFrame:
-    """`df` written to the shared folder and read back: computed once, and safe from lost executors."""
+def stored(
+    df: DataFrame, compression: str | None = None, batch_rows: int = BATCH_ROWS, read_rows: int | None = None,
+    options: dict[str, str] | None = None,
+) -> DataFrame:
+    """`df` written to the shared folder and read back: computed once, and safe from lost executors. `options`
+    are those of the writer."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    with tidy(spark, batch_rows):
-        (df.write.option("compression", compression) if compression else df.write).parquet(path)
+    write = df.write.options(**(options or {}))
+    with tidy(spark, batch_rows, read_rows):
+        (write.option("compression", compression) if compression else write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -42,10 +42,19 @@ TOP, LEAST, LONGEST, WITHIN = 2000, 30, 4, 80
 SCALE = 2_000_000
 #: Size of the first slice of a language's frontier as a multiple of TOP, and how much larger each next is.
 SLICE, WIDER = 4, 8
-#: Rows of hashed words, up to 512 documents each, that a task is handed at a time.
-ROWS_AT_ONCE = 8
-#: Bits of a filter; keys a task counts at a time; bounds per step of a histogram.
-FILTER_BITS, HELD, STEP = 24, 2_000_000, 1000
+#: Words to a row of hashes, cut where pieces part; rows that a task is handed at a time. What a task holds
+#: follows from these, not from how the documents were stored.
+WORDS_AT_ONCE, ROWS_AT_ONCE = 32_768, 8
+#: Rows of hashes are stored in small pages and row groups, of which a task reads one at a time, and decoded a
+#: few at a time, as equal texts take next to no room in a row group. By default sizes are looked at every 100
+#: rows only.
+_SMALL = {
+    "parquet.block.size": str(4 << 20), "parquet.page.size": str(1 << 20),
+    "parquet.page.size.row.check.min": "2", "parquet.page.size.row.check.max": "8",
+}
+#: Bits of a filter; keys a task counts at a time, and in how many batches it sends them; words a task merges
+#: at a time, about; bounds per step of a histogram; phrases that a task remembers it has told.
+FILTER_BITS, HELD, BATCHES, MERGED, STEP, TOLD_BITS = 24, 2_000_000, 16, 1_000_000, 1000, 18
 
 #: What parts a text, [.,;:!?\x0A-\x0D]. 0xFF never occurs in UTF-8 and stands for them here.
 _PARTS = b".,;:!?\n\x0b\x0c\r"
@@ -65,9 +74,16 @@ def word_id(word: bytes) -> int:
     return 0 if word == _CUT else xxhash.xxh3_64_intdigest(word) or 1
 
 
+def cut_rows(ids: np.ndarray) -> list[np.ndarray]:
+    """The same hashes in rows of about WORDS_AT_ONCE, each of whole pieces. The last of `ids` is 0."""
+    ends = np.flatnonzero(ids == 0) + 1
+    at = ends[np.searchsorted(ends, np.arange(WORDS_AT_ONCE, len(ids), WORDS_AT_ONCE))]
+    return np.split(ids, np.unique(at[at < len(ids)]))
+
+
 def word_rows(docs: DataFrame) -> DataFrame:
-    """lang, n_words, ids, words: hashes of the words of some documents of a language (0 parts pieces and
-    documents), and the words that the task had not met before, by lines."""
+    """lang, n_words, ids, words: hashes of some words of a language (0 parts pieces and documents), and the
+    words that the task had not met before, by lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh: list[bytes] = []
@@ -85,12 +101,12 @@ def word_rows(docs: DataFrame) -> DataFrame:
                 ids = np.zeros(len(found) + 1, np.uint64)
                 ids[:-1] = np.fromiter(map(memo.__getitem__, found), np.uint64, len(found))
                 by_lang.setdefault(lang, []).append(ids)
-            told = {lang: np.concatenate(ids) for lang, ids in by_lang.items()}
+            told = [(lang, x) for lang, ids in by_lang.items() for x in cut_rows(np.concatenate(ids))]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(list(told), pa.string()),
-                    pa.array([int(np.count_nonzero(x)) for x in told.values()], pa.int64()),
-                    pa.array([x.tobytes() for x in told.values()], pa.binary()),
+                    pa.array([lang for lang, _ in told], pa.string()),
+                    pa.array([int(np.count_nonzero(x)) for _, x in told], pa.int64()),
+                    pa.array([x.tobytes() for _, x in told], pa.binary()),
                     pa.array([b"\n".join(fresh)] + [b""] * (len(told) - 1), pa.binary()),
                 ],
                 ["lang", "n_words", "ids", "words"],
@@ -101,7 +117,7 @@ def word_rows(docs: DataFrame) -> DataFrame:
         release()
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), whole_text().alias("text"))
-    return stored(rows.mapInArrow(run, "lang string, n_words long, ids binary, words binary"), "zstd")
+    return stored(rows.mapInArrow(run, "lang string, n_words long, ids binary, words binary"), "zstd", options=_SMALL)
 
 
 def word_keys(lang: str, ids: np.ndarray) -> np.ndarray:
@@ -174,25 +190,45 @@ def key_filter(keys: DataFrame) -> np.ndarray:
 Choose = Callable[[Grams, int], np.ndarray]
 
 
-def counted(rows: DataFrame, n: int, choose: Choose | None, least: int) -> DataFrame:
+def dealt(rows: DataFrame) -> int:
+    """Parts of the key space, such that each holds about MERGED words of all rows at most."""
+    n_words = rows.agg(F.sum("n_words")).first()[0] or 0
+    return max(4 * max(2, rows.rdd.getNumPartitions()), -(-n_words // MERGED))
+
+
+def counted(rows: DataFrame, n: int, choose: Choose | None, least: int, parts: int) -> DataFrame:
     """key, f, place: phrases of n words that occur `least` times or more, among those that `choose` lets pass.
     The place is a hash of the key and a row that holds the phrase.
 
     Each task counts what it holds before it sends it on, packed by part of the key space.
     """
-    parts = 4 * max(2, rows.rdd.getNumPartitions())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         of_rows: list[int] = []
 
-        def packed() -> pa.RecordBatch:
-            keys, first, n_each = np.unique(np.concatenate(held), return_index=True, return_counts=True)
-            ends = np.cumsum([len(h) for h in held])
-            row = np.array(of_rows, np.uint32)[np.searchsorted(ends, first, side="right")]
+        def packed() -> Iterator[pa.RecordBatch]:
+            """What is held, some parts to a batch."""
+            keys = np.concatenate(held)
+            row = np.repeat(np.array(of_rows, np.uint32), [len(h) for h in held])
+            held.clear()
+            of_rows.clear()
+            part = (keys % np.uint64(parts)).astype(np.int32)
+            width = -(-parts // BATCHES)
+            for low in range(0, parts, width):
+                mine = np.flatnonzero((part >= low) & (part < low + width))
+                if len(mine):
+                    yield of_parts(keys[mine], row[mine])
+
+        def of_parts(keys: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
+            order = np.argsort(keys)
+            keys, row = keys[order], row[order]
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            n_each = np.diff(np.append(first, len(keys))).astype(np.int32)
+            keys, row = keys[first], row[first]
             part = (keys % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
-            keys, n_each, row, part = keys[order], n_each[order].astype(np.int32), row[order], part[order]
+            keys, n_each, row, part = keys[order], n_each[order], row[order], part[order]
             at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
             ends = np.append(at[1:], len(part))
             return pa.RecordBatch.from_arrays(
@@ -214,11 +250,9 @@ def counted(rows: DataFrame, n: int, choose: Choose | None, least: int) -> DataF
                 held.append(row.keys(n)[use])
                 of_rows.append(row.row)
             if sum(map(len, held)) >= HELD:
-                yield packed()
-                held, of_rows = [], []
+                yield from packed()
         if held:
-            yield packed()
-        held = []
+            yield from packed()
         release()
 
     def merge(table: pa.Table) -> pa.Table:
@@ -241,7 +275,7 @@ def counted(rows: DataFrame, n: int, choose: Choose | None, least: int) -> DataF
 
     packed_rows = rows.select("lang", "ids").mapInArrow(count, "part int, keys binary, counts binary, rows binary")
     found = packed_rows.groupBy("part").applyInArrow(merge, "key long, f long, place long")
-    return stored(found, batch_rows=ROWS_AT_ONCE)
+    return stored(found, batch_rows=ROWS_AT_ONCE, read_rows=ROWS_AT_ONCE)
 
 
 def described(rows: DataFrame, counts: DataFrame, n: int) -> DataFrame:
@@ -251,7 +285,9 @@ def described(rows: DataFrame, counts: DataFrame, n: int) -> DataFrame:
     columns = [f"w{i}" for i in range(n)]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        # What was told last at each place of a table of fixed size; told again, a phrase is only more to gather.
+        seen = np.zeros(1 << TOLD_BITS, np.uint64)
+        seen[0] = 1
         for batch in slices(batches, 1):
             lang = batch.column(0)[0].as_py()
             row = Grams(lang, batch.column(1)[0].as_py())
@@ -259,13 +295,15 @@ def described(rows: DataFrame, counts: DataFrame, n: int) -> DataFrame:
             at = np.flatnonzero(row.whole(n) & within(bits, keys))
             at = at[within(at_place, placed(keys[at], row.row))]
             new, first = np.unique(keys[at], return_index=True)
-            mine = np.array([int(k) not in seen for k in new], bool)
-            seen.update(map(int, new[mine]))
-            at = at[first[mine]]
+            slot = (new & np.uint64(len(seen) - 1)).astype(np.int64)
+            fresh = seen[slot] != new
+            seen[slot[fresh]] = new[fresh]
+            at = at[first[fresh]]
+            if not len(at):
+                continue
             words = [pa.array(row.ids[at + i].view(np.int64)) for i in range(n)]
             langs = pa.array([lang] * len(at), pa.string())
             yield pa.RecordBatch.from_arrays([langs, pa.array(keys[at].view(np.int64)), *words], ["lang", "key", *columns])
-        seen.clear()
         release()
 
     def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +328,7 @@ def described(rows: DataFrame, counts: DataFrame, n: int) -> DataFrame:
 
     fixed = ", ".join(f"{c} long" for c in columns)
     met = rows.select("lang", "ids").mapInArrow(find, f"lang string, key long, {fixed}")
-    once = stored(met.groupBy("lang", "key").agg(*[F.max(c).alias(c) for c in columns]), batch_rows=ROWS_AT_ONCE)
+    once = stored(met.groupBy("lang", "key").agg(*[F.max(c).alias(c) for c in columns]), batch_rows=ROWS_AT_ONCE, read_rows=ROWS_AT_ONCE)
     told = once.join(counts.select("key", "f"), "key").select("lang", "key", "f", *columns)
     schema = "lang string, n int, key long, f long, ids array<long>, parts array<long>"
     return stored(told.mapInArrow(take_apart, schema))
@@ -364,14 +402,15 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST) -> DataFra
     phrase occurs `least` times, gives no rows.
     """
     rows = word_rows(docs.select("lang", "text"))
-    words = counted(rows, 1, None, least)
+    parts = dealt(rows)
+    words = counted(rows, 1, None, least, parts)
     known = key_filter(words)
 
     def of_known(row: Grams, n: int) -> np.ndarray:
         use = within(known, row.word)
         return use[:-1] & use[1:]
 
-    pairs = counted(rows, 2, of_known, least)
+    pairs = counted(rows, 2, of_known, least, parts)
     pairs = described(rows, pairs, 2)
     counts = words.select("key", "f").unionByName(pairs.select("key", "f"))
     frontier = stored(bounded(pairs, counts))
@@ -388,7 +427,7 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST) -> DataFra
                 use, grow = within(often, shorter), within(chosen, shorter)
                 return use[:-1] & use[1:] & (grow[:-1] | grow[1:])
 
-            longer = described(rows, counted(rows, n, grows, least), n)
+            longer = described(rows, counted(rows, n, grows, least, parts), n)
             all_counts = all_counts.unionByName(longer.select("key", "f"))
             grown = grown.unionByName(longer)
             near = stored(bounded(longer, all_counts))
@@ -425,7 +464,7 @@ def _ranked(best: DataFrame, rows: DataFrame, total: DataFrame, top: int) -> Dat
         release()
 
     words = rows.select("words").mapInArrow(read, "id long, word string").dropDuplicates(["id"])
-    words = stored(words, batch_rows=ROWS_AT_ONCE)
+    words = stored(words, batch_rows=ROWS_AT_ONCE, read_rows=ROWS_AT_ONCE)
     phrases = wanted.join(words, "id").groupBy("key").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("phrase")
     )

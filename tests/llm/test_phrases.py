@@ -5,9 +5,11 @@ import re
 import string
 from collections import Counter
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
-from tessgrid.llm import phrases
+from tessgrid.llm import common, phrases
 
 SCHEMA = "doc_id long, text string, lang string, n int, rank int"
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -90,3 +92,48 @@ def test_scores_beyond_64_bits(spark):
     a = 6 * 10**18
     df = spark.createDataFrame([(a, a, a)], "a long, l long, r long")
     assert df.select(phrases._ratio(df.a, df.l, df.r)).first()[0] == 1_000_000
+
+
+def test_tasks_hold_little_at_a_time(spark):
+    """However many documents a task reads, rows of hashes, and the row groups they are read by, are small."""
+    word = "concat('w', pmod(xxhash64(k, i), 1000000), if(i % 5 = 0, ',', ''))"
+    texts = f"array_join(transform(sequence(1, 1000), i -> {word}), ' ') AS text"
+    docs = spark.range(4000).withColumnRenamed("id", "k").selectExpr("'en' AS lang", texts).coalesce(1)
+    rows = phrases.word_rows(docs)
+    sizes = [len(r.ids) for r in rows.select("ids").collect()]
+    assert sum(sizes) == 8 * 4000 * 1201 and max(sizes) <= 2**19
+    files = [pq.ParquetFile(f.removeprefix("file:")) for f in rows.inputFiles()]
+    groups = [f.metadata.row_group(i).column(2) for f in files for i in range(f.metadata.num_row_groups)]
+    assert max(g.total_compressed_size for g in groups) <= 2**23
+
+
+def test_few_rows_are_decoded_at_a_time(spark, monkeypatch):
+    """Rows of equal texts take next to no room in a file, so a row group may hold many."""
+    seen = []
+    rows = phrases.word_rows(spark.createDataFrame([("a b a b", "en")] * 3, "text string, lang string"))
+    usual = spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")
+    run = phrases.stored
+    monkeypatch.setattr(phrases, "stored", lambda df, *a, **k: seen.append(k.get("read_rows")) or run(df, *a, **k))
+    found = phrases.counted(rows, 2, None, 3, 2)
+    assert sorted(r.f for r in found.collect()) == [3, 6] and seen == [phrases.ROWS_AT_ONCE]
+    with common.tidy(spark, 8, 16):
+        assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "16"
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == usual
+
+
+def test_rows_end_where_pieces_do(monkeypatch):
+    monkeypatch.setattr(phrases, "WORDS_AT_ONCE", 4)
+    ids = np.array([1, 2, 0, 3, 4, 5, 0, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 0, 0, 1, 0], np.uint64)
+    rows = phrases.cut_rows(ids)
+    assert [len(r) for r in rows] == [7, 11, 3] and np.array_equal(np.concatenate(rows), ids)
+    assert all(r[-1] == 0 for r in rows)
+    assert [list(r) for r in phrases.cut_rows(np.zeros(1, np.uint64))] == [[0]]
+
+
+@pytest.mark.parametrize("held,batches,merged,told_bits", [(1, 3, 10, 1), (300, 16, 100, 3)])
+def test_small_limits(spark, monkeypatch, held, batches, merged, told_bits):
+    for name, value in (("HELD", held), ("BATCHES", batches), ("MERGED", merged), ("TOLD_BITS", told_bits)):
+        monkeypatch.setattr(phrases, name, value)
+    monkeypatch.setattr(phrases, "WORDS_AT_ONCE", 50)
+    rows = some_texts(7, 100)
+    assert told(spark, rows, 20, 3) == plain(rows, 20, 3)
